@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrec.llm import simhash, token_store, url_filter, warc_store
+from tallyrec.llm import packing, passages, quality_model, quality_rules, simhash, token_store, toxicity, url_filter, warc_store
 
 END_ID = 2
 #: host, path, verdict
@@ -28,17 +28,37 @@ def op2_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_store.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge_quality(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents")).select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
 
 
+def op5_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_runs(table(spark, sf_dir, "documents"))
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, url_filter.RULES)
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op8_conflict_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_offsets, op2_warc_dictionary, op4_simhash_trie, op7_url_rules)}
+    return {f.__name__: f for f in (op1_token_offsets, op2_warc_dictionary, op3_quality_divergence, op4_simhash_trie, op5_quality_discriminant, op6_paragraph_minhash, op7_url_rules, op8_conflict_packing, op10_toxicity_kernel)}
 
 
 _URL_PARTS = r"""

@@ -44,7 +44,9 @@ SAMPLE = 64
 #: Ids after which a task closes a segment.
 SEGMENT_IDS = 1 << 20
 #: Distinct pieces of text a task remembers the ids of.
-CACHE = 400_000
+CACHE = 800_000
+#: Texts that are encoded at once.
+BLOCK = 128
 #: White space as the tokenizer's own rule has it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The byte-level tokenizer never joins what this splits, so ids can be kept by piece.
@@ -126,8 +128,14 @@ def pack(doc_ids: list, lengths: list[int], ids: bytes, width: int) -> bytes:
     return HEADER.pack(MAGIC, width, low, len(doc_ids), total, *map(len, parts)) + b"".join(parts) + ids
 
 
+#: What a worker process has loaded and learned, kept from task to task.
+_ENCODERS: dict[str, tuple] = {}
+
+
 def _encoder(tokenizer_path: str):
-    """text -> little-endian ids, remembering the ids of pieces seen before."""
+    """(texts -> little-endian ids of each, id width), remembering the ids of pieces seen before."""
+    if tokenizer_path in _ENCODERS:
+        return _ENCODERS[tokenizer_path]
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -135,17 +143,28 @@ def _encoder(tokenizer_path: str):
     width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
     known: dict[str, bytes] = {}
 
-    def encode(text: str) -> bytes:
-        pieces = PIECE.findall(text)
-        fresh = [p for p in set(pieces) if p not in known]
+    def learn(fresh: list[str]) -> None:
+        # The tokenizer always parts a letter from a point or comma behind it.
+        stems = {p[:-1] if p[-1] in ".," and p[-2:-1].isalpha() else p for p in fresh} | {".", ","}
+        stems = [p for p in stems if p not in known]
+        for piece, found in zip(stems, tokenizer.encode_batch(stems, add_special_tokens=False), strict=True):
+            known[piece] = np.array(found.ids, f"<u{width}").tobytes()
+        for p in fresh:
+            if p not in known:
+                known[p] = known[p[:-1]] + known[p[-1]]
+
+    def encode(texts: list[str]) -> list[bytes]:
+        pieces = [PIECE.findall(text) for text in texts]
+        every = set().union(*pieces)
+        fresh = [p for p in every if p not in known]
+        if fresh and len(known) + len(fresh) > CACHE:
+            known.clear()
+            fresh = list(every)
         if fresh:
-            if len(known) > CACHE:
-                known.clear()
-                fresh = list(set(pieces))
-            for piece, found in zip(fresh, tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-                known[piece] = np.array(found.ids, f"<u{width}").tobytes()
-        return b"".join(map(known.__getitem__, pieces))
+            learn(fresh)
+        return [b"".join(map(known.__getitem__, p)) for p in pieces]
 
+    _ENCODERS[tokenizer_path] = encode, width
     return encode, width
 
 
@@ -169,13 +188,15 @@ def _write_tasks(tokenizer_path: str, end_id: int, segment_ids: int):
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("ids_before", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())]))
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids.append(encode(text.as_py()) + end)
-                lengths.append(len(ids[-1]) // width)
-                docs.append(doc_id)
-                held += lengths[-1]
-                if held >= segment_ids:
-                    yield close()
+            for at in range(0, len(batch), BLOCK):
+                block = batch.slice(at, BLOCK)
+                for doc_id, found in zip(block["doc_id"].to_pylist(), encode(block["text"].to_pylist()), strict=True):
+                    ids.append(found + end)
+                    lengths.append(len(ids[-1]) // width)
+                    docs.append(doc_id)
+                    held += lengths[-1]
+                    if held >= segment_ids:
+                        yield close()
         if docs:
             yield close()
 

@@ -91,7 +91,7 @@ def dictionary(records: list[bytes]):
     """A dictionary of these records; None where they are too few or too small for one."""
     import zstandard as zstd
 
-    if len(records) < 16:
+    if len(records) < 8:
         return None
     try:
         return zstd.train_dictionary(DICT_BYTES, records, k=256, d=8, f=18, split_point=1.0, accel=4)
