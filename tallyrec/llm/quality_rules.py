@@ -31,9 +31,9 @@ from tallyrec.llm.common import text_or_empty
 
 COMMON_WORDS = 60
 MIN_SHARE = 1e-4
-MIN_WORDS, MIN_CHARS = 50, 200
+MIN_WORDS, MIN_CHARS = 50, 400
 #: Largest distances of a document that is kept.
-MAX_WORD_DISTANCE, MAX_CHAR_DISTANCE = 0.66, 0.30
+MAX_WORD_DISTANCE, MAX_CHAR_DISTANCE = 0.43, 0.24
 #: Languages with fewer words than this in the corpus give no reference.
 MIN_LANGUAGE_WORDS = 2000
 SYMBOLS = "#*$%&|<>"
