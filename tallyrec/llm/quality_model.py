@@ -30,7 +30,7 @@ from tallyrec.llm.quality_rules import SYMBOLS, char_classes
 STATISTICS = ("words", "word_length", "distinct", "upper", "symbol", "point", "digit", "top_word", "adjacent", "shout", "marked", "short", "dup_lines", "line_words", "wide", "capital")
 SHRINK_POOLED, SHRINK_DIAGONAL, RIDGE = 0.1, 0.1, 1e-3
 #: Log-density differences are divided by this before the logistic, as the statistics aren't normal.
-TEMPERATURE = 4.0
+TEMPERATURE = 20.0
 FOLDS = 5
 FEATURES = "doc_id long, " + ", ".join(f"f{i} double" for i in range(len(STATISTICS)))
 

@@ -44,7 +44,11 @@ DECAY, SPAN = 0.6, 8
 TRAIN_DOCS = 40_000
 #: Tokens of either class that the machine is trained on, landmarks, and mined negatives, at most.
 EXAMPLES, LANDMARKS, MINED = 4000, 320, 3000
-COST, SLOPE = 10.0, 5.0
+#: Stems that are tried as explanations of the toxic texts, at most.
+CANDIDATES = 3000
+COST = 10.0
+#: A document's score is the logistic of SLOPE * (decision - CENTRE).
+SLOPE, CENTRE = 5.0, 1.2
 STEMS = (4, 5, 6, 7)
 FOLDS = 3
 #: Tokens longer than this are read in overlapping windows.
@@ -207,16 +211,55 @@ class Scorer:
         return out
 
 
-def _token_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def stems_of(token: str) -> list[str]:
+    """The token and its beginnings."""
+    return [token, *(token[:n] for n in STEMS if n < len(token))]
+
+
+def _unit_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many clean and toxic texts each token, and each stem, is."""
     for batch in batches:
-        counts: dict[str, list[int]] = {}
+        counts: dict[tuple[str, bool], list[int]] = {}
         for text, label in zip(batch["text"], batch["label"].to_pylist(), strict=True):
-            for token in set(plain(list(set(tokens_of(text.as_py()))))):
-                if 2 < len(token) <= WINDOW:
-                    counts.setdefault(token, [0, 0])[label] += 1
+            tokens = {t for t in plain(list(set(tokens_of(text.as_py())))) if 2 < len(t) <= WINDOW}
+            for unit in tokens:
+                counts.setdefault((unit, False), [0, 0])[label] += 1
+            for unit in {s for t in tokens for s in stems_of(t)}:
+                counts.setdefault((unit, True), [0, 0])[label] += 1
         if counts:
+            units, stems = zip(*counts, strict=True)
             clean, toxic = zip(*counts.values(), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(counts), pa.array(clean, pa.int64()), pa.array(toxic, pa.int64())], ["token", "clean", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(units), pa.array(stems), pa.array(clean, pa.int64()), pa.array(toxic, pa.int64())], ["unit", "is_stem", "clean", "toxic"])
+
+
+def _place_tasks(stems: frozenset[str]):
+    """Which of ``stems`` each text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(d, s) for d, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True) for s in {s for t in plain(list(set(tokens_of(text.as_py())))) for s in stems_of(t)} & stems]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found])], ["doc_id", "stem"])
+
+    return run
+
+
+def explain(places: dict[str, set[int]], least: float) -> list[str]:
+    """Stems that explain the toxic texts, the most frequent first.
+
+    Texts that a stem explains are taken out before the next one is chosen, so that words
+    that only come along in copies of the same texts are not.
+    """
+    chosen, left = [], {s: set(d) for s, d in places.items()}
+    while left:
+        stem = max(left, key=lambda s: (len(left[s]), len(s), s))
+        docs = left.pop(stem)
+        if len(docs) < least:
+            break
+        chosen.append(stem)
+        for other in left.values():
+            other -= docs
+    return chosen
 
 
 def _margin_tasks(model: dict):
@@ -240,14 +283,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int, held_out_fold: int, t
         return {"constant": share}
     # at most train_docs ids, so they can go to every task
     texts = docs.select("doc_id", text_or_empty()).join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("text", "label").mapInArrow(_token_tasks, "token string, clean long, toxic long")
-    words = stage(rows.groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxic-tokens")
-    # A stem is significant if chance would hardly put it in toxic texts alone that often, over all stems there are.
-    stems = F.array_distinct(F.array(F.col("token"), *[F.substring("token", 1, n) for n in STEMS]))
-    grouped = words.select(F.explode(stems).alias("stem"), "clean", "toxic").filter(F.length("stem") >= 3).groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    least = max(3.0, log(0.02 / max(1, words.count())) / log(max(share, 1e-3)))
-    strong = grouped.filter((F.col("toxic") >= least) & (F.col("clean") <= 0.01 * F.col("toxic"))).orderBy(F.desc("toxic"), "stem").limit(EXAMPLES)
-    flagged = words.select("token", "toxic", "clean", F.explode(stems).alias("stem")).join(F.broadcast(strong.select("stem")), "stem").filter("clean = 0").groupBy("token").agg(F.max("toxic").alias("toxic"))
+    texts = stage(texts.dropDuplicates(["text", "label"]), "toxic-texts")
+    rows = texts.select("text", "label").mapInArrow(_unit_tasks, "unit string, is_stem boolean, clean long, toxic long")
+    units = stage(rows.groupBy("unit", "is_stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxic-units")
+    stems, words = units.filter("is_stem"), units.filter("not is_stem").withColumnRenamed("unit", "token")
+    # A stem counts if chance would hardly put it in toxic texts alone that often, over all stems there are.
+    least = max(3.0, log(0.02 / max(1, stems.count())) / log(max(share, 1e-3)))
+    strong = [r["unit"] for r in stems.filter((F.col("toxic") >= least) & (F.col("clean") <= 0.01 * F.col("toxic"))).orderBy(F.desc("toxic"), "unit").limit(CANDIDATES).collect()]
+    places: dict[str, set[int]] = {}
+    for r in texts.filter("label = 1").select("doc_id", "text").mapInArrow(_place_tasks(frozenset(strong)), "doc_id long, stem string").collect():
+        places.setdefault(r["stem"], set()).add(r["doc_id"])
+    roots = explain(places, least)
+    stem = F.array(F.col("token"), *[F.substring("token", 1, n) for n in STEMS])
+    flagged = words.filter("clean = 0").filter(F.arrays_overlap(stem, F.array(*[F.lit(s) for s in roots]))) if roots else words.limit(0)
     positive = [r["token"] for r in flagged.orderBy(F.desc("toxic"), "token").limit(EXAMPLES).collect()]
     clean = words.filter("clean > 0")
     negative = [r["token"] for r in clean.orderBy(F.desc("clean"), "token").limit(EXAMPLES // 2).collect()]
@@ -271,7 +319,7 @@ def _score_tasks(model: dict):
             if scorer is None:
                 score = np.full(len(batch), model["constant"])
             else:
-                score = 1 / (1 + np.exp(-np.clip(SLOPE * np.array(scorer.decide([t.as_py() for t in batch["text"]]), float), -500, 500)))
+                score = 1 / (1 + np.exp(-np.clip(SLOPE * (np.array(scorer.decide([t.as_py() for t in batch["text"]]), float) - CENTRE), -500, 500)))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(score)], ["doc_id", "score"])
 
     return run
