@@ -1,12 +1,59 @@
-"""The corpus pipeline: five stages over ``documents``."""
+"""The corpus pipeline: five stages over ``documents``.
+
+Each stage takes what the one before has kept (``docs``) and the folder of the tables.
+All but the last return the columns of ``documents``; the last returns where each
+piece of each document is packed.  Rows without an id pass the stages that need one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tallyrec.llm import decontaminate, packing, passages, quality_model, simhash
+from tallyrec.llm.common import stage
+from tallyrec.llm.queries import table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the discriminant takes for good."""
+    scores = quality_model.score_quality(docs, table(spark, sf_dir, "labels"))
+    bad = scores.filter("predicted = 0 and doc_id is not null").select("doc_id").distinct()
+    return docs.join(stage(bad, "rejected"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one that names the group, once."""
+    groups = simhash.near_groups(docs)
+    others = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(stage(others, "copies"), "doc_id", "left_anti")
+    # rows that repeat an id are one document; rows without an id aren't compared
+    first = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    return first.unionByName(kept.filter("doc_id is null")).select(*docs.columns)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that another document keeps."""
+    return passages.remove_repeats(docs)
+
+
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, each with its bin."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality", quality), ("near_copies", near_copies), ("substrings", substrings), ("benchmarks", benchmarks), ("bins", bins)]
+#: The discriminant, SimHash and the latent search can't be said in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, each written as Parquet and read again as the next one's input."""
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrec.llm import packing, passages, quality_model, quality_rules, simhash, token_store, toxicity, url_filter, warc_store
+from tallyrec.llm import decontaminate, packing, passages, quality_model, quality_rules, simhash, token_store, toxicity, url_filter, warc_store
 
 END_ID = 2
 #: host, path, verdict
@@ -53,12 +53,16 @@ def op8_conflict_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_offsets, op2_warc_dictionary, op3_quality_divergence, op4_simhash_trie, op5_quality_discriminant, op6_paragraph_minhash, op7_url_rules, op8_conflict_packing, op10_toxicity_kernel)}
+    return {f.__name__: f for f in (op1_token_offsets, op2_warc_dictionary, op3_quality_divergence, op4_simhash_trie, op5_quality_discriminant, op6_paragraph_minhash, op7_url_rules, op8_conflict_packing, op9_latent_decontamination, op10_toxicity_kernel)}
 
 
 _URL_PARTS = r"""
