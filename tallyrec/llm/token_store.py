@@ -24,9 +24,12 @@ empty store; further columns are not read.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,14 +46,21 @@ HEADER = struct.Struct("<4sBBxxIQIIIII")
 SAMPLE = 64
 #: Ids after which a task closes a segment.
 SEGMENT_IDS = 1 << 20
-#: Distinct pieces of text a task remembers the ids of.
-CACHE = 800_000
-#: Texts that are encoded at once.
-BLOCK = 128
-#: White space as the tokenizer's own rule has it.
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The byte-level tokenizer never joins what this splits, so ids can be kept by piece.
-PIECE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: Distinct units of text a worker remembers the ids of.
+CACHE = 1_200_000
+#: Texts up to here are cut into the tokenizer's own units by the standard library's regex.
+LATIN_END = 0x250
+SPACE = "\t-\r \x85\xa0"
+BEYOND = re.compile(f"[^\\x00-{chr(LATIN_END - 1)}]")
+
+
+def _latin_units() -> re.Pattern:
+    """The byte-level tokenizer's published rule (contractions, letters, numbers, others, white space) for Latin texts."""
+    chars = [chr(c) for c in range(LATIN_END)]
+    letters = "".join(re.escape(c) for c in chars if c.isalpha())
+    numbers = "".join(c for c in chars if unicodedata.category(c)[0] == "N")
+    return re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+| ?[^{SPACE}{letters}{numbers}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+
 
 SEGMENTS = "part int, seg int, ids_before long, n_docs long, n_ids long, payload binary"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -132,8 +142,25 @@ def pack(doc_ids: list, lengths: list[int], ids: bytes, width: int) -> bytes:
 _ENCODERS: dict[str, tuple] = {}
 
 
+class _Units(dict):
+    """Unit of text -> its ids' bytes, asked of the tokenizer's model once."""
+
+    def __init__(self, model, width: int):
+        super().__init__()
+        self.model, self.code = model, "H" if width == 2 else "I"
+        # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in own]
+        self.alphabet = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self.model.tokenize(unit.encode().decode("latin-1").translate(self.alphabet))
+        value = self[unit] = array(self.code, [t.id for t in found]).tobytes()
+        return value
+
+
 def _encoder(tokenizer_path: str):
-    """(texts -> little-endian ids of each, id width), remembering the ids of pieces seen before."""
+    """(texts -> little-endian ids of each, id width), remembering the ids of units seen before."""
     if tokenizer_path in _ENCODERS:
         return _ENCODERS[tokenizer_path]
     from tokenizers import Tokenizer
@@ -141,28 +168,17 @@ def _encoder(tokenizer_path: str):
     tokenizer = Tokenizer.from_file(tokenizer_path)
     tokenizer.encode_special_tokens = True
     width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
-    known: dict[str, bytes] = {}
-
-    def learn(fresh: list[str]) -> None:
-        # The tokenizer always parts a letter from a point or comma behind it.
-        stems = {p[:-1] if p[-1] in ".," and p[-2:-1].isalpha() else p for p in fresh} | {".", ","}
-        stems = [p for p in stems if p not in known]
-        for piece, found in zip(stems, tokenizer.encode_batch(stems, add_special_tokens=False), strict=True):
-            known[piece] = np.array(found.ids, f"<u{width}").tobytes()
-        for p in fresh:
-            if p not in known:
-                known[p] = known[p[:-1]] + known[p[-1]]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        pieces = [PIECE.findall(text) for text in texts]
-        every = set().union(*pieces)
-        fresh = [p for p in every if p not in known]
-        if fresh and len(known) + len(fresh) > CACHE:
+    spec = json.loads(tokenizer.to_str())
+    rule = spec.get("pre_tokenizer") or {}
+    plain = rule.get("type") == "ByteLevel" and rule.get("use_regex", True) and not rule.get("add_prefix_space") and spec.get("normalizer") is None
+    units, known = _latin_units(), _Units(tokenizer.model, width)
+
+    def encode(text: str) -> bytes:
+        if not plain or BEYOND.search(text):
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, f"<u{width}").tobytes()
+        if len(known) > CACHE:
             known.clear()
-            fresh = list(every)
-        if fresh:
-            learn(fresh)
-        return [b"".join(map(known.__getitem__, p)) for p in pieces]
+        return b"".join(map(known.__getitem__, units.findall(text)))
 
     _ENCODERS[tokenizer_path] = encode, width
     return encode, width
@@ -188,15 +204,13 @@ def _write_tasks(tokenizer_path: str, end_id: int, segment_ids: int):
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("ids_before", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())]))
 
         for batch in batches:
-            for at in range(0, len(batch), BLOCK):
-                block = batch.slice(at, BLOCK)
-                for doc_id, found in zip(block["doc_id"].to_pylist(), encode(block["text"].to_pylist()), strict=True):
-                    ids.append(found + end)
-                    lengths.append(len(ids[-1]) // width)
-                    docs.append(doc_id)
-                    held += lengths[-1]
-                    if held >= segment_ids:
-                        yield close()
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                ids.append(encode(text.as_py()) + end)
+                lengths.append(len(ids[-1]) // width)
+                docs.append(doc_id)
+                held += lengths[-1]
+                if held >= segment_ids:
+                    yield close()
         if docs:
             yield close()
 
