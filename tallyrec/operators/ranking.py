@@ -17,7 +17,7 @@ from tallyrec.operators.features import PAIR_FEATURES, PRODUCT_FEATURES, USER_FE
 
 RANKED_SOURCES = ("collaborative", "content", "covisitation", "category_affinity", "trending")
 SCORED_SOURCES = ("frequently_bought", "brand_affinity", "popularity", "recently_viewed")
-SOURCE_FEATURES = (*(f"{s}_{x}" for s in RANKED_SOURCES for x in ("score", "rank")), *(f"{s}_score" for s in SCORED_SOURCES), "source_agreement", "candidate_rank")
+SOURCE_FEATURES = (*(f"source_{s}_{x}" for s in RANKED_SOURCES for x in ("score", "rank")), *(f"source_{s}_score" for s in SCORED_SOURCES), "source_agreement", "candidate_rank")
 FEATURES = (*(f"user_{c}" for c in USER_FEATURES), *(f"product_{c}" for c in PRODUCT_FEATURES), *PAIR_FEATURES, *SOURCE_FEATURES)
 
 
@@ -29,8 +29,8 @@ def labels(rows: DataFrame) -> DataFrame:
 def source_features(gathered: DataFrame, pooled: DataFrame) -> DataFrame:
     """16 columns on where a candidate came from; a missing rank is 999, a missing score 0."""
     of = lambda s, c: F.max(F.when(F.col("source") == s, F.col(c)))
-    columns = [x for s in RANKED_SOURCES for x in (F.coalesce(of(s, "score"), F.lit(0.0)).alias(f"{s}_score"), F.coalesce(of(s, "rank"), F.lit(999)).alias(f"{s}_rank"))]
-    columns += [F.coalesce(of(s, "score"), F.lit(0.0)).alias(f"{s}_score") for s in SCORED_SOURCES]
+    columns = [x for s in RANKED_SOURCES for x in (F.coalesce(of(s, "score"), F.lit(0.0)).alias(f"source_{s}_score"), F.coalesce(of(s, "rank"), F.lit(999)).alias(f"source_{s}_rank"))]
+    columns += [F.coalesce(of(s, "score"), F.lit(0.0)).alias(f"source_{s}_score") for s in SCORED_SOURCES]
     wide = gathered.groupBy("user_id", "product_id").agg(*columns, F.countDistinct("source").alias("source_agreement"))
     return pooled.select("user_id", "product_id", F.col("rank").alias("candidate_rank")).join(wide, ["user_id", "product_id"]).select("user_id", "product_id", *SOURCE_FEATURES)
 

@@ -89,9 +89,8 @@ def assign(subjects: DataFrame, experiments: DataFrame, subject: str = "subject"
 def merge_configs(assigned: DataFrame, configs: DataFrame) -> DataFrame:
     """One map of settings for each subject; a later key (by name) wins."""
     met = assigned.join(configs.select("key", "variant", "config"), ["key", "variant"])
-    ordered = F.array_sort(F.collect_list(F.struct("key", "config")))
-    merged = F.aggregate(ordered, F.create_map().cast("map<string,string>"), lambda a, x: F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(x["config"], k)), x["config"]))
-    return met.groupBy("subject").agg(merged.alias("config"))
+    settings = met.select("subject", "key", F.explode("config").alias("name", "value")).groupBy("subject", "name").agg(F.max_by("value", "key").alias("value"))
+    return settings.groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("config"))
 
 
 def parse_experiments(raw: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,0 +1,310 @@
+"""Queries of co-occurrence, models, retrieval, ranking, re-ranking and evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyrec.operators import candidates as cand
+from tallyrec.operators import collaborative, content, cooccurrence, evaluation, features, popularity, ranking, rerank
+from tallyrec.config import CollaborativeConfig
+from tallyrec.functions.columns import top_k
+from tallyrec.plans.queries_base import AFF_SQL, FOLD_SQL, MATRIX_SQL, POP_SQL, TREND_FIT, folds, matrix, pair_table, product_table, user_table
+from tallyrec.plans.registry import Tables, on, register, rounded
+
+BASE = "ev prod ia clock"
+SEEN_SQL = "sn as (select distinct user_id, product_id from ia)"
+MINMAX_SQL = "case when max(score) over (partition by user_id) > min(score) over (partition by user_id) then (score - min(score) over (partition by user_id)) / (max(score) over (partition by user_id) - min(score) over (partition by user_id)) when max(score) over (partition by user_id) = 0 then 0 else 1 end"
+
+
+def seen(t: Tables):
+    return t.rows.select("user_id", "product_id").distinct()
+
+
+def people(t: Tables):
+    return t.rows.select("user_id").distinct()
+
+
+# G. co-occurrence
+EDGE_SQL = """it as (select distinct basket, product_id from bs), sz as (select basket, count(*) as n from it group by 1 having count(*) between {least} and {most}),
+ok as (select it.* from it join sz using (basket)), mg as (select product_id, count(*) as n from ok group by 1),
+pr as (select a.product_id as x, b.product_id as y, count(*) as support from ok a join ok b on a.basket = b.basket and a.product_id < b.product_id group by all having count(*) >= {support}),
+lf as (select x, y, support, support * (select count(*) from sz)::double / (mx_.n * my_.n) as lift from pr join mg mx_ on mx_.product_id = x join mg my_ on my_.product_id = y),
+ed as (select *, row_number() over (partition by item order by lift desc, neighbour)::int as rank from (select x as item, y as neighbour, lift, support from lf union all select y, x, lift, support from lf) qualify rank <= {k})"""
+VISIT_SQL = "bs as (select session_key as basket, product_id from ia where event_type in ('PRODUCT_VIEW', 'PRODUCT_CLICK')), " + EDGE_SQL.format(least=2, most=30, support=3, k=60)
+BOUGHT_SQL = "bs as (select order_id as basket, product_id from items), " + EDGE_SQL.format(least=1, most=1_000_000_000, support=2, k=30)
+EDGES = ("item", "neighbour", "lift", "support", "rank")
+visited = lambda t: cooccurrence.covisited(t.rows)
+register("g23_covisitation", on(lambda t: rounded(visited(t), "lift").select(*EDGES)), f"with {VISIT_SQL} select item, neighbour, round(lift, 6) as lift, support, rank from ed", "ev prod ia")
+register("g25_bought_together", on(lambda t: rounded(cooccurrence.bought_together(t.items), "lift").select(*EDGES)), f"with {BOUGHT_SQL} select item, neighbour, round(lift, 6) as lift, support, rank from ed", "items")
+RECENT_SQL = "rx as (select user_id, product_id, row_number() over (partition by user_id order by latest desc, product_id)::int as rank from (select user_id, product_id, max(us) as latest from ia group by all) qualify rank <= 20)"
+register("h15_contexts", on(lambda t: cand.contexts(t.rows)), f"with {RECENT_SQL} select * from rx", "ev prod ia")
+NEAR_SQL = "nb as (select user_id, neighbour as product_id, {how} as score from rx join ed on rx.product_id = ed.item where rx.rank <= {anchors} and not exists (select 1 from sn where sn.user_id = rx.user_id and sn.product_id = ed.neighbour) group by all), nk as (select *, row_number() over (partition by user_id order by score desc, product_id)::int as rank from nb qualify rank <= {k})"
+register(
+    "g24_also_viewed",
+    on(lambda t: rounded(cooccurrence.recommend(cand.contexts(t.rows), visited(t), seen(t), 20), "score").select("user_id", "product_id", "score", "rank")),
+    f"with {VISIT_SQL}, {RECENT_SQL}, {SEEN_SQL}, {NEAR_SQL.format(how='sum(pow(0.85, rx.rank - 1) * lift)', anchors=20, k=20)} select user_id, product_id, round({MINMAX_SQL}, 6) as score, rank from nk",
+    "ev prod ia",
+)
+register(
+    "g26_bought_for_users",
+    on(lambda t: rounded(cooccurrence.recommend(cand.contexts(t.rows), cooccurrence.bought_together(t.items), seen(t), 20, how="max"), "score").select("user_id", "product_id", "score", "rank")),
+    f"with {BOUGHT_SQL}, {RECENT_SQL}, {SEEN_SQL}, {NEAR_SQL.format(how='max(lift)', anchors=20, k=20)} select user_id, product_id, round({MINMAX_SQL}, 6) as score, rank from nk",
+    "ev prod ia items",
+)
+register("g1_normalise_scores", on(lambda t: rounded(popularity.normalise(matrix(t).select("user_id", "product_id", F.col("weight").alias("score")), ["user_id"]), "score")), f"with {MATRIX_SQL}, n as (select user_id, product_id, weight as score from mx) select user_id, product_id, round({MINMAX_SQL}, 6) as score from n", BASE)
+register("g2_top_k", on(lambda t: top_k(matrix(t).select("user_id", "product_id", F.col("n_events").alias("score")), ["user_id"], "score", "product_id", 5)), f"with {MATRIX_SQL} select user_id, product_id, n_events as score, row_number() over (partition by user_id order by n_events desc, product_id)::int as rank from mx qualify rank <= 5", BASE)
+register("g17_supported_index", on(lambda t: collaborative.dense_index(collaborative.supported(matrix(t), 2), "product_id", "item_index")), f"with {MATRIX_SQL} select product_id, (row_number() over (order by product_id) - 1)::int as item_index from (select product_id from mx group by 1 having count(*) >= 2)", BASE)
+register("g8_product_text", on(lambda t: content.product_text(t.products)), "select id as product_id, lower(concat_ws(' ', name, replace(category_id, '-', ' '), replace(category_id, '-', ' '), price_band, '')) as text from prod", "prod")
+register("g16_changed_text", on(lambda t: content.changed(content.product_text(t.products), content.product_text(t.products).filter("product_id % 3 = 0").withColumn("source_hash", F.sha2("text", 256))).select("product_id")), "select id as product_id from prod where id % 3 <> 0", "prod")
+
+
+def text_vectors(t: Tables):
+    texts = content.product_text(t.products).persist()
+    return content.tfidf(texts)(texts)
+
+
+def content_vectors(t: Tables, rank: int = 16):
+    reduced, _ = content.reduce_rank(text_vectors(t), rank)
+    return content.combine(reduced, content.attribute_vectors(t.products))
+
+
+SMALL = CollaborativeConfig(factors=16, iterations=8)
+register("g9_tfidf", on(lambda t: text_vectors(t).select("product_id", F.size(content.vector_to_array("vector")).alias("terms"))))
+register("g10_reduced_text", on(lambda t: content.reduce_rank(text_vectors(t), 16)[0]))
+register("g11_attributes", on(lambda t: content.attribute_vectors(t.products)))
+register("g12_content_vectors", on(content_vectors))
+register("g13_similar_products", on(lambda t: content.similar(content_vectors(t), 10)))
+register("g13_similar_embeddings", on(lambda t: rounded(content.similar(content.as_vectors(t.raw("embeddings")), 5), "score", digits=5).select("item", "neighbour", "score", "rank")))
+register("g14_taste", on(lambda t: content.taste(cand.contexts(t.rows), content_vectors(t))))
+register("g15_content_for_users", on(lambda t: content.recommend(content.taste(cand.contexts(t.rows), v := content_vectors(t)), v, seen(t), 10)))
+register("g18_als_factors", on(lambda t: collaborative.fit(collaborative.supported(matrix(t)), SMALL).items))
+register("g19_fold_in", on(lambda t: collaborative.fold_in(collaborative.fit(collaborative.supported(matrix(t)).filter("user_id % 10 <> 0"), SMALL), seen(t))))
+register("g20_als_for_users", on(lambda t: collaborative.recommend((f := collaborative.fit(collaborative.supported(matrix(t)), SMALL)).users, f, seen(t), 10)))
+register("g21_als_similar", on(lambda t: collaborative.similar_items(collaborative.fit(collaborative.supported(matrix(t)), SMALL), 10)))
+register("g22_pair_triples", on(lambda t: collaborative.triples(matrix(t), slots=8)))
+
+# H. retrieval.  The sources that SQL can say; exclusion is what was bought.
+bought = lambda t: t.rows.filter("event_type = 'PURCHASE'").select("user_id", "product_id").distinct()
+EXCLUDE_SQL = "ex as (select distinct user_id, product_id from ia where event_type = 'PURCHASE')"
+BUDGETS = {"covisitation": 80, "category_affinity": 60, "brand_affinity": 40, "trending": 40, "popularity": 40, "recently_viewed": 20}
+
+
+def sources(t: Tables) -> dict:
+    w, ex = matrix(t), bought(t)
+    recent, scores = cand.contexts(t.rows), popularity.popular(w)
+    brand = popularity.top_by_group(scores, t.products, "brand_id", 40)
+    category = popularity.top_by_group(scores, t.products, "category_id", 60)
+    return {
+        "covisitation": cand.neighbour_source(recent, visited(t), ex, 80),
+        "category_affinity": cand.affinity_source(features.affinity(t.rows, w, t.products, "category_id", 10), category, "category_id", ex, 60, 6),
+        "brand_affinity": cand.affinity_source(features.affinity(t.rows, w, t.products, "brand_id", 6), brand, "brand_id", ex, 40, 5),
+        "trending": cand.static_source(popularity.trending(t.rows, t.now, 300), people(t), ex, 40),
+        "popularity": cand.static_source(scores.filter("rank <= 500"), people(t), ex, 40),
+        "recently_viewed": cand.recent_source(recent, ex, 20),
+    }
+
+
+def gathered(t: Tables):
+    return cand.gather(sources(t), BUDGETS)
+
+
+_TOP = "row_number() over (partition by user_id order by score desc, product_id) - 1"
+SOURCES_SQL = f"""{MATRIX_SQL}, {POP_SQL}, al as (select product_id, (s - min(s) over ()) / (max(s) over () - min(s) over ()) as score from sp), {RECENT_SQL}, {EXCLUDE_SQL}, {VISIT_SQL},
+tg as (select category_id, id as product_id, coalesce(score, 0) as score from prod left join al on al.product_id = prod.id qualify row_number() over (partition by category_id order by coalesce(score, 0) desc, id) <= 60),
+tb as (select brand_id, id as product_id, coalesce(score, 0) as score from prod left join al on al.product_id = prod.id qualify row_number() over (partition by brand_id order by coalesce(score, 0) desc, id) <= 40),
+ca as (select * from (with {AFF_SQL.format(level="category_id", n=10)} select * from af)), ba as (select * from (with {AFF_SQL.format(level="brand_id", n=6)} select * from af)),
+{TREND_FIT}, tl as (select product_id, (s - min(s) over ()) / (max(s) over () - min(s) over ()) as score from ft order by score desc, product_id limit 300), pl as (select * from al order by score desc, product_id limit 500), us_ as (select distinct user_id from ia),
+sc as (
+    select 'covisitation' as source, user_id, neighbour as product_id, sum(pow(0.85, rx.rank - 1) * lift) as score from rx join ed on rx.product_id = ed.item where rx.rank <= 10 group by all
+    union all select 'category_affinity', user_id, product_id, max(affinity * score) from ca join tg on ca.key_id = tg.category_id where rank <= 6 group by all
+    union all select 'brand_affinity', user_id, product_id, max(affinity * score) from ba join tb on ba.key_id = tb.brand_id where rank <= 5 group by all
+    union all select 'trending', user_id, product_id, score from us_, tl union all select 'popularity', user_id, product_id, score from us_, pl),
+fr as (select source, user_id, product_id, score, row_number() over (partition by source, user_id order by score desc, product_id) - 1 as rank from sc where not exists (select 1 from ex where ex.user_id = sc.user_id and ex.product_id = sc.product_id)),
+ga as (select source, user_id, product_id, rank from fr where rank < case source when 'covisitation' then 80 when 'category_affinity' then 60 else 40 end
+    union all select 'recently_viewed', user_id, product_id, rank - 1 from rx where rank <= 20 and not exists (select 1 from ex where ex.user_id = rx.user_id and ex.product_id = rx.product_id)),
+fu as (select user_id, product_id, sum(1.0::double / (60 + rank)) as fused, count(distinct source) as agreement, string_agg(distinct source, ',' order by source) as sources from ga group by all)"""
+register("h8_gathered_sources", on(lambda t: gathered(t).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.sum("rank").alias("ranks"))), f"with {SOURCES_SQL} select source, count(*) as n, count(distinct user_id) as users, sum(rank)::bigint as ranks from ga group by 1", BASE)
+register("h9_fused", on(lambda t: rounded(cand.fuse(gathered(t)), "fused", digits=9)), f"with {SOURCES_SQL} select user_id, product_id, round(fused, 9) as fused, agreement, sources from fu", BASE)
+register("h10_rules", on(lambda t: rounded(cand.allowed(cand.fuse(gathered(t)), t.products, bought(t)), "fused", digits=9).select("user_id", "product_id", "fused")), f"with {SOURCES_SQL} select user_id, product_id, round(fused, 9) as fused from fu join prod on fu.product_id = prod.id where is_active and stock_quantity > 0", BASE)
+register("h11_pool", on(lambda t: cand.pool(cand.fuse(gathered(t)).withColumn("fused", F.round("fused", 12)), 50).select("user_id", "product_id", "rank")), f"with {SOURCES_SQL} select user_id, product_id, row_number() over (partition by user_id order by round(fused, 12) desc, product_id)::int as rank from fu qualify rank <= 50", BASE)
+register("h12_provenance", on(lambda t: cand.provenance(gathered(t)).select("user_id", "product_id", F.size("ranks").alias("n"), F.array_join(F.array_sort(F.map_keys("ranks")), ",").alias("sources"))), f"with {SOURCES_SQL} select user_id, product_id, agreement::int as n, sources from fu", BASE)
+WANTED_SQL = "wt as (select distinct user_id, product_id from ia where event_type = 'PRODUCT_CLICK')"
+clicked = lambda t: t.rows.filter("event_type = 'PRODUCT_CLICK'").select("user_id", "product_id").distinct()
+register("h13_recall", on(lambda t: rounded(cand.recall(cand.pool(cand.fuse(gathered(t)).withColumn("fused", F.round("fused", 12)), 50), clicked(t)), "recall")), f"with {SOURCES_SQL}, {WANTED_SQL}, pl_ as (select user_id, product_id from fu qualify row_number() over (partition by user_id order by round(fused, 12) desc, product_id) <= 50) select round(avg(r), 6) as recall, count(*) as users from (select wt.user_id, avg((pl_.user_id is not null)::int) as r from wt left join pl_ using (user_id, product_id) group by 1)", BASE)
+register("h14_contribution", on(lambda t: rounded(cand.contribution(gathered(t), clicked(t)), "share")), f"with {SOURCES_SQL}, {WANTED_SQL} select source, count(*) as hits, round(count(*) / (select count(*) from wt), 6) as share from ga join wt using (user_id, product_id) group by 1", BASE)
+register("h7_exploration", on(lambda t: cand.exploration_source(t.products.filter("id >= 100").select(F.col("id").alias("product_id")), people(t), bought(t), 15)), """with sl as (select id as product_id, ('0x' || substr(sha256('42:' || id), 1, 16))::ubigint % 64 as slot from prod where id >= 100), u as (select distinct user_id, ('0x' || substr(sha256('42:' || user_id), 1, 16))::ubigint % 64 as slot from ia),
+    d as (select user_id, product_id, row_number() over (partition by user_id order by sha256('42:' || user_id || ':' || product_id)) - 1 as rank from u join sl using (slot)) select user_id, product_id, 0.01::double as score, rank::int as rank from d where rank < 15""", "ev prod ia")
+register("h10_price_rule", on(lambda t: cand.near_in_price(clicked(t), product_table(t), user_table(t)).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))))
+
+# I. ranking data
+LABEL_SQL = "lb as (select user_id, product_id, max(case event_type when 'PURCHASE' then 3 when 'ADD_TO_CART' then 2 when 'PRODUCT_CLICK' then 1 else 0 end) as label from ia group by all having label > 0)"
+register("i1_labels", on(lambda t: ranking.labels(t.rows)), f"with {LABEL_SQL} select user_id, product_id, label::int as label from lb", "ev prod ia")
+
+
+def pooled(t: Tables, size: int = 50):
+    g = gathered(t)
+    return g, cand.pool(cand.fuse(g).withColumn("fused", F.round("fused", 12)), size)
+
+
+register(
+    "i2_source_features",
+    on(lambda t: ranking.source_features(*pooled(t)).select("user_id", "product_id", "candidate_rank", "source_agreement", "source_covisitation_rank", "source_category_affinity_rank", "source_trending_rank", "source_collaborative_rank")),
+    f"with {SOURCES_SQL}, pl_ as (select user_id, product_id, row_number() over (partition by user_id order by round(fused, 12) desc, product_id)::int as candidate_rank from fu qualify candidate_rank <= 50) select user_id, product_id, candidate_rank, count(distinct source) as source_agreement, coalesce(max(rank) filter (source = 'covisitation'), 999)::int as source_covisitation_rank, coalesce(max(rank) filter (source = 'category_affinity'), 999)::int as source_category_affinity_rank, coalesce(max(rank) filter (source = 'trending'), 999)::int as source_trending_rank, 999 as source_collaborative_rank from pl_ join ga using (user_id, product_id) group by all",
+    BASE,
+)
+
+
+def ranking_rows(t: Tables):
+    g, p = pooled(t, 40)
+    rows = ranking.assemble(user_table(t), product_table(t), pair_table(t, p), ranking.source_features(g, p))
+    return ranking.keep_answered(ranking.with_labels(rows, ranking.labels(t.rows.filter("event_type <> 'PURCHASE'"))))
+
+
+MIXED_SQL = "mi as (select distinct ia.user_id, ia.product_id, coalesce(lb.label, 0) as label from ia left join lb using (user_id, product_id))"
+mixed = lambda t: ranking.with_labels(seen(t), ranking.labels(t.rows))
+register("i3_feature_rows", on(lambda t: ranking_rows(t)))
+register("i4_answered", on(lambda t: ranking.keep_answered(mixed(t)).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))), f"with {LABEL_SQL}, {MIXED_SQL} select user_id, count(*) as n from mi group by 1 having max(label) > 0", "ev prod ia")
+register("i5_negatives", on(lambda t: ranking.sample_negatives(mixed(t), 5)), f"with {LABEL_SQL}, {MIXED_SQL} select user_id, product_id, label::int as label from (select *, row_number() over (partition by user_id, label > 0 order by sha256('42:' || user_id || ':' || product_id)) as n from mi) where label > 0 or n <= 5", "ev prod ia")
+register("i6_fit_or_stop", on(lambda t: ranking.fit_or_stop(people(t))), "select distinct user_id, case when ('0x' || substr(sha256('42:' || user_id), 1, 16))::ubigint % 10000 < 8500 then 'fit' else 'stop' end as part from ia", "ev prod ia")
+register("i12_summary", on(lambda t: rounded(ranking.summary(mixed(t)), "positive_rate", "mean_group")), f"with {LABEL_SQL}, {MIXED_SQL} select count(*) as n_rows, count(distinct user_id) as queries, round(avg((label > 0)::int), 6) as positive_rate, round(count(*) / count(distinct user_id), 6) as mean_group from mi", "ev prod ia")
+
+
+def scored(t: Tables, fit):
+    rows = ranking_rows(t).persist()
+    return ranking.score_pool(fit(rows), rows)
+
+
+register("i7_pointwise", on(lambda t: scored(t, ranking.pointwise)))
+register("i8_gain_trees", on(lambda t: scored(t, lambda rows: ranking.gain_trees(rows, trees=5, depth=3))))
+register("i9_pairwise", on(lambda t: scored(t, ranking.pairwise)))
+register("i10_importances", on(lambda t: ranking.importances(ranking.pointwise(ranking_rows(t)), t.spark)))
+register("j17_attributions", on(lambda t: ranking.attributions(ranking.pointwise(rows := ranking_rows(t).persist()), rows)))
+
+# J. blending and re-ranking
+COUNT_SQL = "ct as (select user_id, count(*) as n from ia group by 1)"
+register("j1_regimes", on(lambda t: t.rows.filter("product_id < 20").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", rerank.regime(F.col("n")).alias("regime"))), "select user_id, case when count(*) < 1 then 'cold' when count(*) < 5 then 'sparse' when count(*) < 20 then 'warm' else 'rich' end as regime from ia where product_id < 20 group by 1", "ev prod ia")
+
+
+def blended(t: Tables):
+    w = matrix(t)
+    every = {
+        "popularity": people(t).crossJoin(F.broadcast(popularity.popular(w, 30).select("product_id", "score"))),
+        "trending": people(t).crossJoin(F.broadcast(popularity.trending(t.rows, t.now, 30).select("product_id", "score"))),
+    }
+    counts = t.rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return rerank.blend(rerank.component_scores(every), counts)
+
+
+BLEND_SQL = f"""{MATRIX_SQL}, {POP_SQL}, {TREND_FIT}, us_ as (select distinct user_id from ia), {COUNT_SQL},
+pp as (select product_id, (s - min(s) over ()) / (max(s) over () - min(s) over ()) as score from sp), tt as (select product_id, (s - min(s) over ()) / (max(s) over () - min(s) over ()) as score from ft),
+p3 as (select 'popularity' as component, * from pp order by score desc, product_id limit 30), t3 as (select 'trending' as component, * from tt order by score desc, product_id limit 30),
+ls as (select *, (score - min(score) over (partition by component)) / (max(score) over (partition by component) - min(score) over (partition by component)) as u from (select * from p3 union all select * from t3)),
+bl as (select us_.user_id, product_id, sum(u * case component when 'popularity' then case when n < 5 then 0.30::double when n < 20 then 0.18 else 0.05 end else case when n < 5 then 0.04::double when n < 20 then 0.06 else 0.08 end end) as score from us_ cross join ls join ct using (user_id) group by all)"""
+register("j3_blend", on(lambda t: rounded(blended(t), "score").select("user_id", "product_id", "score")), f"with {BLEND_SQL} select user_id, product_id, round(score, 6) as score from bl", BASE)
+register("j4_novelty_boost", on(lambda t: rounded(rerank.boost_novelty(blended(t).select("user_id", "product_id", "score"), product_table(t)), "score")))
+keyed = lambda t: blended(t).withColumn("score", F.round("score", 9)).join(t.products.select(F.col("id").alias("product_id"), "category_id", "brand_id"), "product_id")
+register("j5_diversify", on(lambda t: rerank.diversify(keyed(t), 10)))
+register(
+    "j6_cap_groups",
+    on(lambda t: rerank.cap_groups(keyed(t), 10).select("user_id", "product_id", "rank")),
+    f"with {BLEND_SQL}, kd as (select user_id, product_id, round(score, 9) as score, category_id, brand_id from bl join prod on bl.product_id = prod.id), cp as (select *, row_number() over (partition by user_id, category_id order by score desc, product_id) as c, row_number() over (partition by user_id, brand_id order by score desc, product_id) as b from kd) select user_id, product_id, row_number() over (partition by user_id order by score desc, product_id)::int as rank from cp where c <= 4 and b <= 3 qualify rank <= 10",
+    BASE,
+)
+STATIC_SQL = "st as (select product_id, row_number() over (order by score desc, product_id) as place from pp)"
+also = lambda t: cooccurrence.recommend(cand.contexts(t.rows), visited(t), seen(t), 10)
+common = lambda t, n=60: people(t).crossJoin(F.broadcast(rerank.static_scores(popularity.popular(matrix(t), n)).select("product_id", "score")))
+register(
+    "j7_fallback",
+    on(lambda t: rerank.fallback([("hybrid", also(t)), ("popular", common(t))], people(t), 10).groupBy("strategy").agg(F.countDistinct("user_id").alias("users"), F.count(F.lit(1)).alias("n"))),
+    f"with {VISIT_SQL}, {RECENT_SQL}, {SEEN_SQL}, {NEAR_SQL.format(how='sum(pow(0.85, rx.rank - 1) * lift)', anchors=20, k=10)}, us_ as (select distinct user_id from ia), c as (select user_id, count(nk.product_id) as n from us_ left join nk using (user_id) group by 1), {MATRIX_SQL}, m as (select least(count(distinct product_id), 10) as n from mx) select case when c.n >= m.n then 'hybrid' else 'popular' end as strategy, count(*) as users, sum(case when c.n >= m.n then c.n else m.n end)::bigint as n from c, m group by 1",
+    BASE,
+)
+register("j8_static_scores", on(lambda t: rounded(rerank.static_scores(popularity.popular(matrix(t), 60)), "score")), f"with {MATRIX_SQL}, {POP_SQL}, r as (select product_id, row_number() over (order by s desc, product_id)::int as rank from sp) select product_id, round(1 - 0.001::double * (rank - 1), 6) as score, rank from r where rank <= 60", BASE)
+edges_as = lambda df: df.select("item", "neighbour", F.col("lift").alias("score"))
+register("j9_similar_or", on(lambda t: rerank.similar_or(edges_as(visited(t)), edges_as(cooccurrence.bought_together(t.items))).groupBy("item").agg(F.count(F.lit(1)).alias("n"))), f"with v as (with {VISIT_SQL} select item, count(*) as n from ed group by 1), b as (with {BOUGHT_SQL} select item, count(*) as n from ed group by 1) select * from v union all select * from b where item not in (select item from v)", "ev prod ia items")
+register(
+    "j10_because_you_viewed",
+    on(lambda t: rounded(rerank.because_you_viewed(cand.contexts(t.rows), edges_as(visited(t)), bought(t), 10), "score").select("user_id", "product_id", "score", F.col("rank").alias("place"))),
+    f"with {VISIT_SQL}, {RECENT_SQL}, {EXCLUDE_SQL} select user_id, neighbour as product_id, round(lift, 6) as score, row_number() over (partition by user_id order by lift desc, neighbour)::int as place from rx join ed on rx.product_id = ed.item where rx.rank = 1 and not exists (select 1 from ex where ex.user_id = rx.user_id and ex.product_id = neighbour) qualify place <= 10",
+    "ev prod ia",
+)
+
+
+def home(t: Tables):
+    recent = cand.contexts(t.rows)
+    return rerank.home_page({"for_you": common(t), "because_you_viewed": rerank.because_you_viewed(recent, edges_as(visited(t)), bought(t), 10), "continue_shopping": also(t), "trending": people(t).crossJoin(F.broadcast(popularity.trending(t.rows, t.now, 10).select("product_id", "score")))}, 10)
+
+
+register(
+    "j11_home_page",
+    on(lambda t: home(t).groupBy("user_id", "section").agg(F.count(F.lit(1)).alias("n"))),
+    f"""with {VISIT_SQL}, {RECENT_SQL}, {EXCLUDE_SQL}, {SEEN_SQL}, {MATRIX_SQL}, {TREND_FIT}, {NEAR_SQL.format(how='sum(pow(0.85, rx.rank - 1) * lift)', anchors=20, k=10)}, us_ as (select distinct user_id from ia)
+    select user_id, 'for_you' as section, (select least(10, count(distinct product_id)) from mx) as n from us_ union all select user_id, 'trending', (select least(10, count(*)) from ft) from us_
+    union all select user_id, 'continue_shopping', count(*) from nk group by 1 union all select user_id, 'because_you_viewed', least(10, count(*)) from rx join ed on rx.product_id = ed.item where rx.rank = 1 and not exists (select 1 from ex where ex.user_id = rx.user_id and ex.product_id = neighbour) group by 1""",
+    BASE,
+)
+register("j12_recent_products", on(lambda t: rerank.recent_products(cand.contexts(t.rows.filter("user_id % 2 = 0"), 5), cand.contexts(t.rows, 3)).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))), "select user_id, least(count(distinct product_id), case when user_id % 2 = 0 then 5 else 3 end) as n from ia group by 1", "ev prod ia")
+REASON_SQL = "case when list_contains(l, 'covisitation') then 'viewed_together' when list_contains(l, 'recently_viewed') then 'seen_lately' when list_contains(l, 'category_affinity') then 'category' when list_contains(l, 'brand_affinity') then 'brand' when list_contains(l, 'trending') then 'trending' else 'popular' end"
+explained = lambda t: cand.fuse(gathered(t)).withColumn("list", F.split("sources", ",")).withColumn("reason", rerank.reason_of(F.col("list")))
+register("j13_reasons", on(lambda t: explained(t).select("user_id", "product_id", "reason")), f"with {SOURCES_SQL}, e as (select *, string_split(sources, ',') as l from fu) select user_id, product_id, {REASON_SQL} as reason from e", BASE)
+register(
+    "j14_reason_texts",
+    on(lambda t: explained(t).join(t.products.select(F.col("id").alias("product_id"), "category_id", "brand_id"), "product_id").withColumn("text", rerank.reason_text(F.col("reason"), F.lit("your last item"), F.col("category_id"), F.col("brand_id"))).groupBy("text").agg(F.count(F.lit(1)).alias("n"))),
+    f"with {SOURCES_SQL}, e as (select *, string_split(sources, ',') as l from fu), r as (select *, {REASON_SQL} as reason from e join prod on e.product_id = prod.id) select case reason when 'viewed_together' then 'People who viewed your last item also viewed this' when 'seen_lately' then 'You looked at this recently' when 'category' then 'Because you like ' || category_id when 'brand' then 'From ' || brand_id || ', a brand you like' when 'trending' then 'Trending now' else 'Popular with shoppers' end as text, count(*) as n from r group by 1",
+    BASE,
+)
+register("j15_confidence", on(lambda t: explained(t).select("user_id", "product_id", rerank.confidence(F.col("list"), F.create_map(F.lit("popularity"), F.lit(0.25))).alias("confidence"))), f"with {SOURCES_SQL} select user_id, product_id, round(0.6 * least(agreement / 3.0, 1) + 0.1, 4) as confidence from fu", BASE)
+register("j16_explain_pairs", on(lambda t: rerank.explain_pairs(seen(t), cand.pool(cand.fuse(gathered(t)).withColumn("fused", F.round("fused", 12)), 100).withColumnRenamed("fused", "score"), 20).groupBy("recommended").agg(F.count(F.lit(1)).alias("n"))), f"with {SOURCES_SQL}, {SEEN_SQL}, r as (select user_id, product_id from fu qualify row_number() over (partition by user_id order by round(fused, 12) desc, product_id) <= 20) select r.user_id is not null as recommended, count(*) as n from sn left join r using (user_id, product_id) group by 1", BASE)
+register("j18_distribution", on(lambda t: rounded(rerank.distribution(gathered(t), "source"), "share_of_users")), f"with {SOURCES_SQL} select source as key, count(*) as n, round(count(distinct user_id) / (select count(distinct user_id) from ga), 6) as share_of_users from ga group by 1", BASE)
+
+# K. evaluation: two models trained on the train fold, against the test fold
+MODELS_SQL = f"""{FOLD_SQL}, tn as (select * from folds where fold = 'train'), us_ as (select distinct user_id from folds where fold = 'test'),
+pc_ as (select product_id, count(*) as n from tn group by 1), p as (select product_id, row_number() over (order by n desc, product_id) as place from pc_), rl as (select user_id, product_id, max(us) as latest from tn group by all), rv as (select user_id, product_id, row_number() over (partition by user_id order by latest desc, product_id) as rank from rl),
+rc as (select 'popular' as model, user_id, product_id, place as rank from us_, p where place <= 20 union all select 'recent', user_id, product_id, rank from rv where rank <= 20 and user_id in (select user_id from us_)),
+tg as (select user_id, product_id, max(case event_type when 'PURCHASE' then 3 when 'ADD_TO_CART' then 2 when 'PRODUCT_CLICK' then 1 else 0 end) as gain from folds where fold = 'test' group by all having gain > 0)"""
+
+
+def models(t: Tables):
+    f = folds(t).persist()
+    train = f.filter("fold = 'train'")
+    users = f.filter("fold = 'test'").select("user_id").distinct()
+    counts = train.groupBy("product_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    popular = users.crossJoin(F.broadcast(popularity.top_items(counts, 20))).select(F.lit("popular").alias("model"), "user_id", "product_id", "rank")
+    recent = cand.contexts(train).join(users, "user_id", "left_semi").select(F.lit("recent").alias("model"), "user_id", "product_id", "rank")
+    return f, popular.unionByName(recent), evaluation.graded_targets(f, "test")
+
+
+ACCURACY_SQL = f"""{MODELS_SQL}, wn as (select user_id, count(*) as n, sum(case when place <= 10 then (pow(2, gain) - 1) / log2(place + 1) else 0 end) as ideal from (select *, row_number() over (partition by user_id order by gain desc, product_id) as place from tg) group by 1),
+ht as (select rc.*, gain, row_number() over (partition by model, user_id order by rank) as so_far from rc join tg using (user_id, product_id)),
+ag as (select model, user_id, count(*) filter (rank <= 10) as hits, sum(case when rank <= 10 then so_far / rank else 0 end) as ap, sum(case when rank <= 10 then 1 / log2(rank + 1) else 0 end) as dcg, sum(case when rank <= 10 then (pow(2, gain) - 1) / log2(rank + 1) else 0 end) as graded, min(rank) as first from ht group by all),
+ac as (select m.model, wn.user_id, coalesce(hits, 0) / 10 as precision, coalesce(hits, 0) / n as recall, coalesce(ap, 0) / least(n, 10) as map, coalesce(dcg, 0) / (select sum(1 / log2(i + 1)) from range(1, 11) r(i) where i <= least(n, 10)) as ndcg, coalesce(graded, 0) / ideal as graded_ndcg, (coalesce(hits, 0) > 0)::int as hit, coalesce(1 / first, 0) as mrr from wn cross join (select distinct model from rc) m left join ag on ag.model = m.model and ag.user_id = wn.user_id)"""
+
+
+def accuracy(t: Tables):
+    _, recs, targets = models(t)
+    return evaluation.accuracy(recs, targets)
+
+
+register("k1_accuracy_by_user", on(lambda t: rounded(accuracy(t), *[m for m in evaluation.METRICS if m != "hit"])), f"with {ACCURACY_SQL} select model, user_id, round(precision, 6) as precision, round(recall, 6) as recall, round(map, 6) as map, round(ndcg, 6) as ndcg, round(graded_ndcg, 6) as graded_ndcg, hit, round(mrr, 6) as mrr from ac", "ev prod ia")
+
+
+def by_segment(t: Tables):
+    f, recs, targets = models(t)
+    return evaluation.means(evaluation.accuracy(recs, targets), evaluation.segments(f.filter("fold = 'train'"), targets))
+
+
+MEANS = ", ".join(f"round(avg({m}), 6) as {m}" for m in evaluation.METRICS)
+SEGMENT_SQL = "sg as (select wn.user_id, case when count(tn.user_id) < 1 then 'cold' when count(tn.user_id) < 5 then 'sparse' when count(tn.user_id) < 20 then 'warm' else 'rich' end as segment from wn left join tn using (user_id) group by 1)"
+register("k17_means", on(lambda t: rounded(by_segment(t), *evaluation.METRICS)), f"with {ACCURACY_SQL}, {SEGMENT_SQL} select model, coalesce(segment, 'all') as segment, count(*) as users, {MEANS} from ac join sg using (user_id) group by grouping sets ((model), (model, segment))", "ev prod ia")
+register("k18_comparison", on(lambda t: rounded(evaluation.comparison(by_segment(t)), *evaluation.METRICS)), f"with {ACCURACY_SQL} select model, count(*) as users, {MEANS} from ac group by 1", "ev prod ia")
+register("k18_segment_table", on(lambda t: rounded(evaluation.by_segment(by_segment(t)), "all", "cold", "sparse", "warm", "rich")), f'with {ACCURACY_SQL}, {SEGMENT_SQL} select model, round(avg(ndcg), 6) as "all", round(avg(ndcg) filter (segment = \'cold\'), 6) as cold, round(avg(ndcg) filter (segment = \'sparse\'), 6) as sparse, round(avg(ndcg) filter (segment = \'warm\'), 6) as warm, round(avg(ndcg) filter (segment = \'rich\'), 6) as rich from ac join sg using (user_id) group by 1', "ev prod ia")
+register("k7_coverage", on(lambda t: rounded(evaluation.coverage(models(t)[1], t.products.count()), "coverage")), f"with {MODELS_SQL} select model, round(count(distinct product_id) / (select count(*) from prod), 6) as coverage from rc where rank <= 10 group by 1", "ev prod ia")
+register("k8_diversity", on(lambda t: rounded(evaluation.intra_list_diversity(models(t)[1], t.products), "diversity")), f"with {MODELS_SQL}, c as (select model, user_id, category_id, count(*) as n from rc join prod on rc.product_id = prod.id where rank <= 10 group by all), l as (select model, user_id, sum(n * (n - 1) / 2) as same, sum(n) as total from c group by all) select model, round(avg(case when total > 1 then 1 - same / (total * (total - 1) / 2) else 0 end), 6) as diversity from l group by 1", "ev prod ia")
+register("k9_novelty", on(lambda t: rounded(evaluation.novelty((m := models(t))[1], m[0].filter("fold = 'train'")), "novelty")), f"with {MODELS_SQL}, s as (select product_id, -log2(count(*) / (select count(*) from tn)) as s from tn group by 1), e as (select model, user_id, avg(coalesce(s, 0)) as x from rc left join s using (product_id) where rank <= 10 group by all) select model, round(avg(x), 6) as novelty from e group by 1", "ev prod ia")
+register("k10_serendipity", on(lambda t: rounded(evaluation.serendipity((m := models(t))[1], m[2], m[1].filter("model = 'popular'")), "serendipity")), f"with {MODELS_SQL}, o as (select user_id, product_id from rc where model = 'popular' and rank <= 10) select model, round(avg(n / 10), 6) as serendipity from (select model, user_id, count(*) filter (tg.user_id is not null and o.user_id is null) as n from rc left join tg using (user_id, product_id) left join o using (user_id, product_id) where rank <= 10 group by all) group by 1", "ev prod ia")
+register("k11_exposure_gini", on(lambda t: rounded(evaluation.exposure_gini(models(t)[1]), "gini")), f"with {MODELS_SQL}, c as (select model, product_id, count(*) as n from rc where rank <= 10 group by all), r as (select *, row_number() over (partition by model order by n) as i, count(*) over (partition by model) as m from c) select model, round(2 * sum(i * n) / (any_value(m) * sum(n)) - (any_value(m) + 1) / any_value(m), 6) as gini from r group by 1", "ev prod ia")
+register("k12_personalisation", on(lambda t: rounded(evaluation.personalisation(models(t)[1], most=60), "personalisation")), f"""with {MODELS_SQL}, ch as (select user_id from (select distinct user_id from rc) order by sha256('42:' || user_id), user_id limit 60), tp as (select distinct model, user_id, product_id from rc where rank <= 10 and user_id in (select user_id from ch)), n as (select model, user_id, count(*) as n from tp group by all),
+    b as (select a.model, a.user_id as u, b.user_id as v, count(*) as both_ from tp a join tp b on a.model = b.model and a.product_id = b.product_id and a.user_id < b.user_id group by all), l as (select b.model, sum(both_ / (x.n + y.n - both_)) as s from b join n x on x.model = b.model and x.user_id = u join n y on y.model = b.model and y.user_id = v group by 1)
+    select n.model, round(1 - coalesce(any_value(s), 0) / (count(*) * (count(*) - 1) / 2), 6) as personalisation from n left join l using (model) group by 1""", "ev prod ia")
+register("k13_graded_targets", on(lambda t: evaluation.graded_targets(folds(t), "test")), f"with {MODELS_SQL} select user_id, product_id, gain::int as gain from tg", "ev prod ia")
+register("k15_sampled_users", on(lambda t: evaluation.sample_users(t.rows, 50)), "select user_id from (select distinct user_id from ia) order by sha256('42:' || user_id), user_id limit 50", "ev prod ia")
