@@ -148,9 +148,10 @@ def trie_groups(codes: np.ndarray, fixed: int, budget: int = BUDGET, chunk: int
 
 def _link_tasks(budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if len(b)]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         codes = table["fp"].to_numpy().view(np.uint64)
         first, second = table["block"].to_numpy(), table["sub"].to_numpy()
         outer = blocks(64, budget + 1)
