@@ -23,12 +23,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one that names the group, once."""
-    groups = simhash.near_groups(docs)
-    others = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(stage(others, "copies"), "doc_id", "left_anti")
-    # rows that repeat an id are one document; rows without an id aren't compared
-    first = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return first.unionByName(kept.filter("doc_id is null")).select(*docs.columns)
+    groups = stage(simhash.near_groups(docs), "groups")
+    others = stage(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    kept = docs.join(others, "doc_id", "left_anti")
+    # rows that repeat an id are one document; only those are dealt out to find the first of each
+    again = stage(groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    once = kept.join(again, "doc_id", "left_anti")
+    return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
