@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyrec.config import EVENT_TYPES, REFRESH_TYPES, SCOPED_TYPES
+from tallyrec.config import EVENT_TYPES, REFRESH_TYPES, SCOPED_TYPES, UNSCOPED_TYPES
 
 #: key -> (kind, least, most); for texts the bounds are of the length.  Fixed values.
 _CART = {"quantity": ("int", 1, 999), "variant_id": ("int", None, None)}
@@ -89,7 +89,7 @@ def validate(events: DataFrame, now: Column, rules: dict | None = None) -> DataF
             F.when(F.length("source") > 64, F.lit("bad_source")),
             F.when(at < now - F.expr(f"interval {LATE_DAYS} days"), F.lit("too_old")),
             F.when(scoped & F.col("product_id").isNull(), F.lit("missing_product")),
-            F.when(~scoped & F.col("product_id").isNotNull(), F.lit("needless_product")),
+            F.when(kind.isin(*UNSCOPED_TYPES) & F.col("product_id").isNotNull(), F.lit("needless_product")),
             F.when(F.col("payload").isNull(), F.lit("bad_payload")),
         )
     )
