@@ -55,7 +55,10 @@ def keyless_sessions(events: DataFrame, gap: str = "30 minutes", late: str = LAT
 
 
 def recent_lists(events: DataFrame, key: str, *, distinct: bool, cap: int = 50, ttl_hours: int = 24 * 30) -> DataFrame:
-    """``key, products`` (newest first), kept as state; ``distinct`` moves a product to the front instead of repeating it."""
+    """``key, products`` (newest first), kept as state; ``distinct`` moves a product to the front instead of repeating it.
+
+    A list is dropped once the events' time has passed its last one by ``ttl_hours``.
+    """
 
     def update(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -70,13 +73,14 @@ def recent_lists(events: DataFrame, key: str, *, distinct: bool, cap: int = 50,
             held = [h for h in held if not (h[2] in seen or seen.add(h[2]))]
         held = held[:cap]
         state.update(tuple(list(x) for x in zip(*held, strict=True)))
-        state.setTimeoutDuration(ttl_hours * 3_600_000)
+        expiry = held[0][0] // 1_000_000 + ttl_hours * 3_600_000
+        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [keys[0]], "products": [[h[2] for h in held]]})
 
     kinds = ("PRODUCT_VIEW",) if distinct else ("PRODUCT_VIEW", "PRODUCT_CLICK")
     looked = events.filter(F.col("event_type").isin(*kinds) & F.col("product_id").isNotNull() & F.col(key).isNotNull())
     kind = dict(looked.dtypes)[key]
-    return looked.select(key, "occurred_at", "event_id", "product_id").groupBy(key).applyInPandasWithState(update, f"{key} {kind}, products array<long>", "at array<long>, ids array<long>, products array<long>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return looked.withWatermark("occurred_at", LATE).select(key, "occurred_at", "event_id", "product_id").groupBy(key).applyInPandasWithState(update, f"{key} {kind}, products array<long>", "at array<long>, ids array<long>, products array<long>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def session_merger(path: str):
