@@ -46,6 +46,8 @@ TRAIN_DOCS = 40_000
 EXAMPLES, LANDMARKS, MINED = 4000, 320, 3000
 #: Stems that are tried as explanations of the toxic texts, at most.
 CANDIDATES = 3000
+#: Texts that a stem must explain beyond the stems chosen before it.
+NEW_TEXTS = 2
 COST = 10.0
 #: A document's score is the logistic of SLOPE * (decision - CENTRE).
 SLOPE, CENTRE = 5.0, 1.2
@@ -293,7 +295,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int, held_out_fold: int, t
     places: dict[str, set[int]] = {}
     for r in texts.filter("label = 1").select("doc_id", "text").mapInArrow(_place_tasks(frozenset(strong)), "doc_id long, stem string").collect():
         places.setdefault(r["stem"], set()).add(r["doc_id"])
-    roots = explain(places, least)
+    roots = explain(places, NEW_TEXTS)
     stem = F.array(F.col("token"), *[F.substring("token", 1, n) for n in STEMS])
     flagged = words.filter("clean = 0").filter(F.arrays_overlap(stem, F.array(*[F.lit(s) for s in roots]))) if roots else words.limit(0)
     positive = [r["token"] for r in flagged.orderBy(F.desc("toxic"), "token").limit(EXAMPLES).collect()]
