@@ -3,7 +3,8 @@
 Each task writes archives of bounded size.  It trains a dictionary on a bounded
 run of the archive's own records (``TRAIN_BYTES``), puts it in a skippable frame at
 the head of the file, and compresses every record as a frame of its own, so that
-any record can be read from its offset alone.
+any record can be read from its offset and that dictionary alone.  Archives of too few
+or too small records for training carry some of the records' own bytes as their dictionary.
 
 Of pages with the same payload of at least ``min_bytes``, the one with the largest
 id is a ``response``; the others are ``revisit`` records that name it.
@@ -13,7 +14,8 @@ manifest lists (written by Spark's own commit) are ever read.
 
 Cases: null html is an empty payload; a null id is below all ids, and payloads
 known by null ids only stay responses; rows that repeat both the largest id and
-the payload are each a response; a null url gives no target line.
+the payload are each a response; a null url gives no target line; a url that is no
+valid header value is written percent-encoded, and read back as it was.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +36,8 @@ from tallyrec.llm.common import new_path, tasks_of
 MIN_BYTES = 1000
 #: Bytes of an archive's first records that its dictionary is built from, and the dictionary's size.
 TRAIN_BYTES, DICT_BYTES = 1 << 20, 32 << 10
+#: Bytes of the samples that a few records are cut into.
+PIECE = 128
 #: Uncompressed bytes after which a task opens its next archive.
 ARCHIVE_BYTES = 64 << 20
 SKIPPABLE = 0x184D2A5D
@@ -51,10 +55,14 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("digest"), F.octet_length(html).alias("size"))
     # The group's size is reduced in each task first: a payload shared by a third of all pages is one row a task.
-    groups = rows.filter(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"))
-    joined = rows.join(groups.filter("n > 1").drop("n"), ["digest", "size"], "left")
+    large = rows.filter(F.col("size") >= min_bytes)
+    groups = large.groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    joined = large.join(groups.filter("n > 1").drop("n"), ["digest", "size"], "left")
     other = F.col("last").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("last")))
-    return joined.select("page_id", "url", "html", "digest", "size", F.when(other, F.col("last")).alias("refers_to"))
+    found = joined.select("page_id", "url", "html", "digest", F.when(other, F.col("last")).alias("refers_to"))
+    # Small payloads are often the same (empty ones above all) and need no partner: they stay out of the join.
+    small = rows.filter(F.col("size") < min_bytes).select("page_id", "url", "html", "digest", F.lit(None).cast("long").alias("refers_to"))
+    return found.unionByName(small)
 
 
 def _name(page_id: int | None, digest: str) -> str:
@@ -66,7 +74,10 @@ def record(page_id: int | None, url: str | None, html: bytes, digest: str, refer
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(html)
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_name(page_id, digest)}", f"WARC-Date: {CAPTURED}"]
     if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}")
+        shown = quote(url, safe=":/?#[]@!$&'()*+,;=%~")
+        head.append(f"WARC-Target-URI: {shown}")
+        if shown != url:
+            head.append(f"X-Page-URL: {quote(url, safe='')}")
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
@@ -88,15 +99,15 @@ def parse(raw: bytes) -> dict:
 
 
 def dictionary(records: list[bytes]):
-    """A dictionary of these records; None where they are too few or too small for one."""
+    """A dictionary of these records."""
     import zstandard as zstd
 
-    if len(records) < 8:
-        return None
+    # training wants several samples: few records are cut into pieces
+    samples = records if len(records) >= 8 else [r[i : i + PIECE] for r in records for i in range(0, len(r), PIECE)]
     try:
-        return zstd.train_dictionary(DICT_BYTES, records, k=256, d=8, f=18, split_point=1.0, accel=4)
+        return zstd.train_dictionary(DICT_BYTES, samples, k=256, d=8, f=18, split_point=1.0, accel=4)
     except zstd.ZstdError:
-        return None
+        return zstd.ZstdCompressionDict(b"".join(records)[:DICT_BYTES], dict_type=zstd.DICT_TYPE_RAWCONTENT)
 
 
 def _files(uri: str):
@@ -112,12 +123,12 @@ def _write_tasks(folder: str, archive_bytes: int):
         files, root = _files(folder)
         path = f"{root}/{uuid.uuid4().hex}.warc.zst"
         trained = dictionary(first)
-        press = zstd.ZstdCompressor(level=LEVEL, dict_data=trained) if trained else zstd.ZstdCompressor(level=LEVEL)
+        press = zstd.ZstdCompressor(level=LEVEL, dict_data=trained)
         n = size = 0
-        with files.open_output_stream(path) as out:
-            if trained:
-                data = trained.as_bytes()
-                out.write(struct.pack("<II", SKIPPABLE, len(data)) + data)
+        # the stream must take the bytes as they are: by default it would compress them again for the file's suffix
+        with files.open_output_stream(path, compression=None) as out:
+            data = trained.as_bytes()
+            out.write(struct.pack("<II", SKIPPABLE, len(data)) + data)
             for source in (first, rest):
                 for raw in source:
                     out.write(press.compress(raw))
@@ -189,7 +200,7 @@ def _read_tasks(folder: str, with_payload: bool):
         body = x["payload"]
         return {
             "page_id": int(x["X-Page-ID"]) if "X-Page-ID" in x else None,
-            "url": x.get("WARC-Target-URI"),
+            "url": unquote(x["X-Page-URL"]) if "X-Page-URL" in x else x.get("WARC-Target-URI"),
             "payload_bytes": int(x["X-Payload-Length"]) if body is None else len(body),
             "payload_digest": x["WARC-Payload-Digest"].removeprefix("sha1:") if body is None else hashlib.sha1(body).hexdigest(),
             "record_type": x["WARC-Type"],
@@ -201,7 +212,7 @@ def _read_tasks(folder: str, with_payload: bool):
         files, root = _files(folder)
         for batch in batches:
             for name in batch["path"].to_pylist():
-                with files.open_input_stream(f"{root}/{name}") as stream:
+                with files.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     held: list[dict] = []
                     for raw in _frames(stream):
                         held.append(row(raw))

@@ -17,9 +17,7 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     path = str(P.path("byte_bpe_50k.json"))
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return path, found
+    return path, Tokenizer.from_file(path)
 
 
 def expected_tokens(rows, found):
@@ -52,6 +50,16 @@ def test_tokens_of_odd_rows(spark):
     assert token_store.token_offsets(rows.limit(0), path).count() == 0
 
 
+def test_units_equal_the_library_on_random_texts():
+    path, found = tokenizer()
+    encode, width = token_store._encoder(path)
+    rng = np.random.default_rng(1)
+    alphabet = [*map(chr, range(0x250)), *"  \n\n\t'", *"aeiost", "'s", "'ll", " 12", "<|endoftext|>", "\u2028", "\u4e2d"]
+    for _ in range(3000):
+        text = "".join(alphabet[i] for i in rng.integers(0, len(alphabet), rng.integers(0, 40)))
+        assert np.frombuffer(encode(text), f"<u{width}").tolist() == found.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("lengths", [[1], [5, 1, 1, 900, 2], [3] * 500, [1, 100000, 1]])
 def test_elias_fano_round_trip(lengths):
     ids = np.arange(sum(lengths)).astype("<u2").tobytes()
@@ -78,9 +86,32 @@ def test_warc_round_trip(spark, tmp_path):
     want = sorted((r[2] or "").encode() for r in rows)
     shown = sorted([bytes(r.payload) for r in got if r.payload is not None] + [big.encode()] * 3)
     assert shown == want
+    assert sorted((r.url or "-") for r in got) == sorted((r[1] or "-") for r in rows)
     assert warc_store.archive_pages(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rows", [[(1, "u", "")], [(1, "u", "<p>x</p>" * 9), (2, None, None)], [(i, f"http://h/{i} %41", f"<html>{i}</html>" * i) for i in range(300)], [(1, "u", "".join(map(str, range(60_000))))]])
+def test_any_record_is_read_from_its_offset_with_plain_zstandard(spark, tmp_path, rows):
+    import zstandard
+
+    warc_store.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/w")
+    seen = {}
+    for path in (tmp_path / "w" / "data").glob("*.warc.zst"):
+        raw = path.read_bytes()
+        assert raw[:4] == (0x184D2A5D).to_bytes(4, "little")
+        at = 8 + int.from_bytes(raw[4:8], "little")
+        words, offsets = zstandard.ZstdCompressionDict(raw[8:at]), []
+        while at < len(raw):
+            offsets.append(at)
+            one = zstandard.ZstdDecompressor(dict_data=words).decompressobj()
+            one.decompress(raw[at:])
+            at = len(raw) - len(one.unused_data)
+        for at in reversed(offsets):
+            fields = warc_store.parse(zstandard.ZstdDecompressor(dict_data=words).decompressobj().decompress(raw[at:]))
+            seen[int(fields["X-Page-ID"])] = fields["payload"].decode()
+    assert seen == {i: html or "" for i, _, html in rows}
+
+
 def test_warc_dictionary_frame_leads(spark, tmp_path):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     warc_store.write_archives(pages, f"file://{tmp_path}/w")
