@@ -19,7 +19,8 @@ Only one row a task (its total) is needed to turn this into global offsets.
 
 Cases: null and empty texts hold the end id alone; null ids come first; rows
 that repeat an id stay apart, in order of their texts; an empty table gives an
-empty store; further columns are not read.
+empty store; further columns are not read; the content of an added token within a text
+is that token's id, as the tokenizers library gives it.
 """
 
 from __future__ import annotations
@@ -166,15 +167,17 @@ def _encoder(tokenizer_path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True
     width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
     spec = json.loads(tokenizer.to_str())
     rule = spec.get("pre_tokenizer") or {}
     plain = rule.get("type") == "ByteLevel" and rule.get("use_regex", True) and not rule.get("add_prefix_space") and spec.get("normalizer") is None
     units, known = _latin_units(), _Units(tokenizer.model, width)
+    # texts with an added token's content go to the library, which gives it as one id
+    added = "|".join(re.escape(t["content"]) for t in spec.get("added_tokens", []) if t["content"])
+    aside = re.compile(f"{BEYOND.pattern}|{added}" if added else BEYOND.pattern)
 
     def encode(text: str) -> bytes:
-        if not plain or BEYOND.search(text):
+        if not plain or aside.search(text):
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, f"<u{width}").tobytes()
         if len(known) > CACHE:
             known.clear()
