@@ -1,26 +1,30 @@
 """Toxicity by a subsequence string kernel with Nystroem landmarks.
 
-The kernel of two tokens sums, over all subsequences of three characters within a
+The kernel of two words sums, over all subsequences of three characters within a
 span of ``SPAN``, the products of their weights ``DECAY ** span``; so "id.iot" still
-shares most of what "idiot" has.  Landmark tokens give the Nystroem map
-``k(x, landmarks) K ** -1/2``; a linear support vector machine is trained on it by
-Newton steps.  As three-character subsequences are countable, the machine's whole
-decision collapses into one table of subsequence weights, and a token is scored by
-looking its subsequences up.
-
-Training sentences: the texts of labelled documents of the training folds, of
-which at most ``TRAIN_DOCS`` (a documented bound, chosen by hash) are read.  A token
-of a toxic text is an example of class 1 if it, or a stem of it, is found in toxic
-texts so often and in clean ones so rarely that chance can't explain it.  Gapped
-variants of those are added.  After a first fit, the clean tokens that score
-highest come in as further examples of class 0, and the fit is repeated.
-
-A document's score is the logistic of its highest token's decision; every token
-of every whole text is scored.
-
-Cases: null and empty texts score as if no token had been found (near 0); labels
+shares most of what "idiot" has.  The kernel of two sentences sums it over their words.
+Landmark sentences give the Nystroem map ``k(x, landmarks) K ** -1/2``; a linear support
+vector machine is trained on it by Newton steps.  As three-character subsequences are
+countable, the machine's whole decision collapses into one table of subsequence
+weights, and a sentence is scored by looking its words' subsequences up.
+
+A sentence is ``SENTENCE`` words in a row.  Only texts have labels, and one sentence can
+make a text toxic, so the machine is trained in rounds, on sentences: of every toxic text
+the one that the machine before takes for the most toxic, gapped variants of those,
+sentences drawn from clean texts, and the clean ones that the machines before took for toxic.
+Before the first round there is no machine; there a text's sentence is the one around the word that
+(or a beginning of which) is most over-represented in toxic texts, by smoothed counts of texts.
+
+Training texts: labelled documents of the training folds, of which at most
+``TRAIN_DOCS`` (a documented bound, chosen by hash) are read.  A quarter of them, chosen
+by hash as well, is set aside: a logistic regression over a text's highest sentence, its
+three highest (that don't overlap) and its length turns decisions into scores there, with
+both classes weighing alike.  Every sentence of every whole text is scored.
+
+Cases: null and empty texts score as if no sentence had been found; labels
 that are null are passed over, and a document labelled twice is toxic if any label
-says so; without examples of both classes all scores are the training share.
+says so; a score of just the threshold counts as toxic; repeated rows get the same score;
+without examples of both classes all scores are the training share.
 """
 
 from __future__ import annotations
@@ -29,7 +33,6 @@ import random
 import re
 import unicodedata
 from collections.abc import Iterator
-from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -40,22 +43,25 @@ from tallyrec.llm.common import stage, text_or_empty
 from tallyrec.llm.quality_model import fold_of
 
 DECAY, SPAN = 0.6, 8
-#: Labelled documents that the model is trained on, at most.
-TRAIN_DOCS = 40_000
-#: Tokens of either class that the machine is trained on, landmarks, and mined negatives, at most.
-EXAMPLES, LANDMARKS, MINED = 4000, 320, 3000
-#: Stems that are tried as explanations of the toxic texts, at most.
-CANDIDATES = 3000
-#: Texts that a stem must explain beyond the stems chosen before it.
-NEW_TEXTS = 2
-COST = 10.0
-#: A document's score is the logistic of SLOPE * (decision - CENTRE).
-SLOPE, CENTRE = 5.0, 1.2
+#: Words of a sentence.
+SENTENCE = 3
+#: Labelled documents that the model is trained on, at most; a share of them is set aside for the scores.
+TRAIN_DOCS, ASIDE = 20_000, 4
+#: Landmarks; drawn clean sentences and those taken for toxic in a round, at most.
+LANDMARKS, DRAWN, MINED = 480, 8000, 3000
+#: Words and beginnings that the first sentences are found by, at most, and the weight of the smoothing in texts.
+EVIDENCE, SMOOTH = 50_000, 2.0
 STEMS = (4, 5, 6, 7)
+ROUNDS = 4
+COST = 10.0
+#: Slope of the scores where the set-aside texts have only one class.
+SLOPE = 5.0
 FOLDS = 3
 #: Tokens longer than this are read in overlapping windows.
 WINDOW = 24
-#: Distinct tokens a task remembers the scores of.
+#: Training texts of a task, about.
+TASK_DOCS = 1000
+#: Distinct tokens a task remembers the values of.
 CACHE = 300_000
 SPACED = re.compile(r"(?<!\S)(?:\w[ .\-_*]){3,}\w(?!\S)")
 
@@ -156,23 +162,57 @@ def machine(x: np.ndarray, y: np.ndarray, cost: float = COST, steps: int = 40) -
     return w[:-1], float(w[-1])
 
 
-def learn(positive: list[str], negative: list[str], seed: int = 7) -> dict:
-    """The decision table of a machine trained on these plain tokens."""
-    rng = random.Random(seed)
-    pos = positive + [g for t in positive for g in (gapped(t, rng), gapped(t, rng)) if len(g) <= WINDOW]
-    neg = negative + [g for t in negative[: len(negative) // 3] if len(t) > 2 for g in (gapped(t, rng),) if len(g) <= WINDOW]
-    marks = rng.sample(positive, min(len(positive), LANDMARKS // 2))
-    marks += rng.sample(negative, min(len(negative), LANDMARKS - len(marks)))
-    marks = list(dict.fromkeys(m for m in marks if len(m) > 2))
-    table = features(marks)
-    values, vectors = np.linalg.eigh(look_up(marks, table))
+def sentence_table(sentences: list[list[str]]) -> np.ndarray:
+    """Each sentence's subsequence weights, one column a sentence."""
+    words = list(dict.fromkeys(w for s in sentences for w in s))
+    of, place = features(words), {w: i for i, w in enumerate(words)}
+    return np.stack([of[:, [place[w] for w in s]].sum(1) for s in sentences], axis=1)
+
+
+def sentence_values(sentences: list[list[str]], table: np.ndarray) -> np.ndarray:
+    """The sum of each sentence's words' values."""
+    words = list(dict.fromkeys(w for s in sentences for w in s))
+    of, place = look_up(words, table), {w: i for i, w in enumerate(words)}
+    return np.array([of[[place[w] for w in s]].sum(0) for s in sentences])
+
+
+def nystroem(landmarks: list[list[str]]) -> np.ndarray:
+    """Table of the map ``k(x, landmarks) K ** -1/2``."""
+    table = sentence_table(landmarks)
+    values, vectors = np.linalg.eigh(sentence_values(landmarks, table))
     kept = values > 1e-6 * values.max()
-    root = vectors[:, kept] / np.sqrt(values[kept])
-    tokens = pos + neg
-    x = look_up(tokens, table @ root)
-    y = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
+    return table @ (vectors[:, kept] / np.sqrt(values[kept]))
+
+
+def _some(rng: random.Random, found: list, n: int) -> list:
+    return found if len(found) <= n else rng.sample(found, n)
+
+
+def words_in(sentence: str) -> list[str]:
+    """A sentence's plain words, as long as the kernel takes them."""
+    return [w[:WINDOW] for w in plain(sentence.split()) if w]
+
+
+def learn(positive: list[str], negative: list[str], seed: int = 7, before: np.ndarray | None = None) -> dict:
+    """The decision table of a machine trained on these sentences; ``before`` is the table of the round before."""
+    rng = random.Random(seed)
+    toxic = [w for w in map(words_in, positive) if w]
+    clean = [w for w in map(words_in, negative) if w]
+    marks = _some(rng, toxic, LANDMARKS // 2) + _some(rng, clean, LANDMARKS // 2)
+    known = list(dict.fromkeys(w for s in toxic for w in s))
+    value = dict(zip(known, look_up(known, before) if before is not None else map(len, known), strict=True))
+    hurt = []
+    for s in toxic:
+        worst = max(s, key=lambda w: (value[w], w))
+        if len(worst) > 3:
+            hurt += [[gapped(w, rng)[:WINDOW] if w == worst else w for w in s] for _ in range(2)]
+    hurt += [[gapped(w, rng)[:WINDOW] if len(w) > 3 else w for w in s] for s in clean[: len(clean) // 3]]
+    table = nystroem(marks)
+    x = sentence_values(toxic + clean + hurt, table)
+    y = np.full(len(x), -1.0)
+    y[: len(toxic)] = y[len(toxic) + len(clean) : len(x) - len(clean) // 3] = 1
     weights, offset = machine(x, y)
-    return {"table": (table @ (root @ weights)).astype(np.float32), "offset": offset}
+    return {"table": (table @ weights).astype(np.float32), "offset": offset}
 
 
 def tokens_of(text: str) -> list[str]:
@@ -183,96 +223,140 @@ def tokens_of(text: str) -> list[str]:
 
 
 class Scorer:
-    """Decisions of tokens, remembered."""
+    """Decisions of texts; the values of words are remembered."""
 
     def __init__(self, model: dict):
         self.table, self.offset, self.known = model["table"], model["offset"], {}
 
-    def learn_scores(self, tokens: set[str]) -> None:
-        fresh = [t for t in tokens if t not in self.known]
+    def _learn_words(self, words: set[str]) -> None:
+        fresh = [t for t in words if t not in self.known]
         if len(self.known) + len(fresh) > CACHE:
             self.known.clear()
-            fresh = list(tokens)
+            fresh = list(words)
         if not fresh:
             return
-        parts, owner = [], []
-        for i, token in enumerate(plain(fresh)):
-            for part in windows(token):
+        parts, owner, value = [], [], np.full(len(fresh), -np.inf)
+        for i, word in enumerate(plain(fresh)):
+            for part in windows(word) if word else ():
                 parts.append(part), owner.append(i)
-        best = np.full(len(fresh), -np.inf)
-        np.maximum.at(best, np.array(owner), look_up(parts, self.table) + self.offset)
-        self.known.update(zip(fresh, best.tolist(), strict=True))
+        if parts:
+            np.maximum.at(value, np.array(owner), look_up(parts, self.table))
+        # mere marks are no words of a sentence
+        self.known.update(zip(fresh, [None if v == -np.inf else v for v in value.tolist()], strict=True))
 
-    def decide(self, texts: list[str]) -> list[float]:
-        """The highest decision of each text's tokens; the offset alone where there are none."""
-        out = []
+    def sentences(self, texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+        """Each text's words and the decisions of its sentences, by their first word."""
         for at in range(0, len(texts), 256):
-            each = [set(tokens_of(t)) for t in texts[at : at + 256]]
-            self.learn_scores(set().union(*each))
-            out += [max(map(self.known.__getitem__, t), default=self.offset) for t in each]
+            each = [tokens_of(t) for t in texts[at : at + 256]]
+            self._learn_words(set().union(*each))
+            for words in each:
+                found = [(w, v) for w in words if (v := self.known[w]) is not None]
+                total = np.cumsum([0.0, *(v for _, v in found)])
+                n = min(SENTENCE, len(found))
+                yield [w for w, _ in found], total[n:] - total[: len(total) - n] + self.offset if n else np.array([self.offset])
+
+    def decide(self, texts: list[str]) -> list[float]:
+        """The highest decision of each text's sentences; the offset alone where there are none."""
+        return [float(d.max()) for _, d in self.sentences(texts)]
+
+    def measure(self, texts: list[str]) -> np.ndarray:
+        """What scores are made of: the highest decision, the mean of three that don't overlap, the length."""
+        out = np.zeros((len(texts), 3))
+        for i, (words, d) in enumerate(self.sentences(texts)):
+            d, best = d.copy(), []
+            for _ in range(3):
+                k = int(d.argmax())
+                if d[k] == -np.inf:
+                    break
+                best.append(d[k])
+                d[max(0, k - SENTENCE + 1) : k + SENTENCE] = -np.inf
+            out[i] = best[0], sum(best) / len(best), np.log1p(len(words))
         return out
 
 
-def stems_of(token: str) -> list[str]:
-    """The token and its beginnings."""
-    return [token, *(token[:n] for n in STEMS if n < len(token))]
+def _draw_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A sentence of each text, drawn by the text's hash."""
+    from xxhash import xxh3_64_intdigest
+
+    for batch in batches:
+        found = []
+        for cell in batch["text"]:
+            words = tokens_of(cell.as_py())
+            words = [w for w, p in zip(words, plain(words), strict=True) if p]
+            at = xxh3_64_intdigest(cell.as_py()) % max(1, len(words) - SENTENCE + 1)
+            found.append(" ".join(words[at : at + SENTENCE]))
+        yield pa.RecordBatch.from_arrays([batch["label"], batch["tie"], pa.array(found, pa.string())], ["label", "tie", "sentence"])
+
+
+def stems_of(word: str) -> list[str]:
+    """The word and its beginnings."""
+    return [word, *(word[:n] for n in STEMS if n < len(word))]
 
 
 def _unit_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many clean and toxic texts each token, and each stem, is."""
+    """In how many clean and toxic texts each word or beginning is."""
     for batch in batches:
-        counts: dict[tuple[str, bool], list[int]] = {}
-        for text, label in zip(batch["text"], batch["label"].to_pylist(), strict=True):
-            tokens = {t for t in plain(list(set(tokens_of(text.as_py())))) if 2 < len(t) <= WINDOW}
-            for unit in tokens:
-                counts.setdefault((unit, False), [0, 0])[label] += 1
-            for unit in {s for t in tokens for s in stems_of(t)}:
-                counts.setdefault((unit, True), [0, 0])[label] += 1
+        counts: dict[str, list[int]] = {}
+        for cell, label in zip(batch["text"], batch["label"].to_pylist(), strict=True):
+            for unit in {s for w in plain(list(set(tokens_of(cell.as_py())))) if len(w) > 2 for s in stems_of(w[:WINDOW])}:
+                counts.setdefault(unit, [0, 0])[label] += 1
         if counts:
-            units, stems = zip(*counts, strict=True)
             clean, toxic = zip(*counts.values(), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(units), pa.array(stems), pa.array(clean, pa.int64()), pa.array(toxic, pa.int64())], ["unit", "is_stem", "clean", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(clean, pa.int64()), pa.array(toxic, pa.int64())], ["unit", "clean", "toxic"])
 
 
-def _place_tasks(stems: frozenset[str]):
-    """Which of ``stems`` each text has."""
+def _first_tasks(evidence: dict[str, float]):
+    """The sentence around each text's word of most evidence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(d, s) for d, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True) for s in {s for t in plain(list(set(tokens_of(text.as_py())))) for s in stems_of(t)} & stems]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found])], ["doc_id", "stem"])
+            found = []
+            for cell in batch["text"]:
+                words = tokens_of(cell.as_py())
+                words = [(w, p) for w, p in zip(words, plain(words), strict=True) if p]
+                worth = [max(evidence.get(s, 0.0) for s in stems_of(p[:WINDOW])) for _, p in words]
+                at = max(0, min(worth.index(max(worth)) - SENTENCE // 2, len(words) - SENTENCE)) if words else 0
+                found.append(" ".join(w for w, _ in words[at : at + SENTENCE]))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["sentence"])
 
     return run
 
 
-def explain(places: dict[str, set[int]], least: float) -> list[str]:
-    """Stems that explain the toxic texts, the most frequent first.
+def _best_tasks(model: dict):
+    """The most toxic sentence of each text."""
 
-    Texts that a stem explains are taken out before the next one is chosen, so that words
-    that only come along in copies of the same texts are not.
-    """
-    chosen, left = [], {s: set(d) for s, d in places.items()}
-    while left:
-        stem = max(left, key=lambda s: (len(left[s]), len(s), s))
-        docs = left.pop(stem)
-        if len(docs) < least:
-            break
-        chosen.append(stem)
-        for other in left.values():
-            other -= docs
-    return chosen
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            best = [(" ".join(words[k : k + SENTENCE]), float(d[k])) for words, d in scorer.sentences([t.as_py() for t in batch["text"]]) for k in [int(d.argmax())]]
+            yield pa.RecordBatch.from_arrays([batch["label"], pa.array([x[0] for x in best], pa.string()), pa.array([x[1] for x in best], pa.float64())], ["label", "sentence", "decision"])
 
+    return run
 
-def _margin_tasks(model: dict):
+
+def _measure_tasks(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
         for batch in batches:
-            found = look_up(batch["token"].to_pylist(), model["table"]) + model["offset"]
-            yield pa.RecordBatch.from_arrays([batch["token"], pa.array(found)], ["token", "margin"])
+            x = scorer.measure([t.as_py() for t in batch["text"]])
+            yield pa.RecordBatch.from_arrays([batch["label"], *(pa.array(np.ascontiguousarray(c)) for c in x.T)], ["label", "f0", "f1", "f2"])
 
     return run
 
 
+def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slopes (and an offset, last) of a ridged logistic regression in which both classes weigh alike."""
+    if not 0 < y.sum() < len(y):
+        return np.array([SLOPE, 0.0, 0.0, 0.0])
+    mean, spread = x.mean(0), x.std(0) + 1e-9
+    x1, share = np.column_stack([(x - mean) / spread, np.ones(len(x))]), np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    w = np.zeros(x1.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -50, 50)))
+        w += np.linalg.solve((x1 * (share * p * (1 - p))[:, None]).T @ x1 + 0.1 * np.eye(len(w)), x1.T @ (share * (y - p)) - 0.1 * w)
+    return np.append(w[:-1] / spread, w[-1] - (w[:-1] * mean / spread).sum())
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, folds: int, held_out_fold: int, train_docs: int = TRAIN_DOCS) -> dict:
     """A model from the labelled documents of the training folds."""
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
@@ -284,34 +368,28 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int, held_out_fold: int, t
     if len(sizes) < 2:
         return {"constant": share}
     # at most train_docs ids, so they can go to every task
-    texts = docs.select("doc_id", text_or_empty()).join(F.broadcast(chosen), "doc_id")
-    texts = stage(texts.dropDuplicates(["text", "label"]), "toxic-texts")
-    rows = texts.select("text", "label").mapInArrow(_unit_tasks, "unit string, is_stem boolean, clean long, toxic long")
-    units = stage(rows.groupBy("unit", "is_stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxic-units")
-    stems, words = units.filter("is_stem"), units.filter("not is_stem").withColumnRenamed("unit", "token")
-    # A stem counts if chance would hardly put it in toxic texts alone that often, over all stems there are.
-    least = max(3.0, log(0.02 / max(1, stems.count())) / log(max(share, 1e-3)))
-    strong = [r["unit"] for r in stems.filter((F.col("toxic") >= least) & (F.col("clean") <= 0.01 * F.col("toxic"))).orderBy(F.desc("toxic"), "unit").limit(CANDIDATES).collect()]
-    places: dict[str, set[int]] = {}
-    for r in texts.filter("label = 1").select("doc_id", "text").mapInArrow(_place_tasks(frozenset(strong)), "doc_id long, stem string").collect():
-        places.setdefault(r["stem"], set()).add(r["doc_id"])
-    roots = explain(places, NEW_TEXTS)
-    stem = F.array(F.col("token"), *[F.substring("token", 1, n) for n in STEMS])
-    flagged = words.filter("clean = 0").filter(F.arrays_overlap(stem, F.array(*[F.lit(s) for s in roots]))) if roots else words.limit(0)
-    positive = [r["token"] for r in flagged.orderBy(F.desc("toxic"), "token").limit(EXAMPLES).collect()]
-    clean = words.filter("clean > 0")
-    negative = [r["token"] for r in clean.orderBy(F.desc("clean"), "token").limit(EXAMPLES // 2).collect()]
-    negative += [r["token"] for r in clean.orderBy(F.xxhash64("token"), "token").limit(EXAMPLES).collect()]
-    if not positive or not negative:
+    texts = docs.select("doc_id", text_or_empty()).join(F.broadcast(chosen), "doc_id").select("text", "label", F.xxhash64("text").alias("tie"))
+    texts = stage(texts.dropDuplicates(["text", "label"]).repartition(max(1, -(-total // TASK_DOCS)), "tie"), "toxic-texts")
+    aside = F.pmod(F.xxhash64("tie"), F.lit(ASIDE)) == 0
+    mine, rest = texts.filter(~aside), texts.filter(aside)
+    drawn = mine.filter("label = 0").mapInArrow(_draw_tasks, "label int, tie long, sentence string").filter("sentence <> ''")
+    clean = [r["sentence"] for r in drawn.orderBy("tie").limit(DRAWN).collect()]
+    units = mine.mapInArrow(_unit_tasks, "unit string, clean long, toxic long").groupBy("unit").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    lift = F.log((F.col("toxic") + SMOOTH * share) / (F.col("toxic") + F.col("clean") + SMOOTH) / share).alias("lift")
+    strong = units.filter("toxic > 1").select("unit", lift).orderBy(F.desc("lift"), "unit").limit(EVIDENCE).collect()
+    first = mine.filter("label = 1").mapInArrow(_first_tasks({r["unit"]: r["lift"] for r in strong}), "sentence string").filter("sentence <> ''")
+    positive = [r["sentence"] for r in first.orderBy("sentence").collect()]
+    if not positive or not clean:
         return {"constant": share}
-    negative = list(dict.fromkeys(negative))
-    model = learn(positive, negative)
-    for _ in range(2):
-        scored = clean.select("token").mapInArrow(_margin_tasks(model), "token string, margin double")
-        near = [r["token"] for r in scored.orderBy(F.desc("margin"), "token").limit(MINED).collect()]
-        negative = list(dict.fromkeys(negative + near))
-        model = learn(positive, negative)
-    return model
+    negative = dict.fromkeys(clean)
+    model = learn(positive, clean)
+    for _ in range(ROUNDS):
+        best = stage(mine.mapInArrow(_best_tasks(model), "label int, sentence string, decision double").filter("sentence <> ''"), "toxic-best")
+        positive = [r["sentence"] for r in best.filter("label = 1").orderBy("sentence").collect()]
+        negative |= dict.fromkeys(r["sentence"] for r in best.filter("label = 0").orderBy(F.desc("decision"), "sentence").limit(MINED).collect())
+        model = learn(positive, list(negative), before=model["table"])
+    rows = rest.mapInArrow(_measure_tasks(model), "label int, f0 double, f1 double, f2 double").collect()
+    return model | {"slopes": calibrate(np.array([r[1:] for r in rows], float).reshape(-1, 3), np.array([r["label"] for r in rows], float))}
 
 
 def _score_tasks(model: dict):
@@ -321,7 +399,8 @@ def _score_tasks(model: dict):
             if scorer is None:
                 score = np.full(len(batch), model["constant"])
             else:
-                score = 1 / (1 + np.exp(-np.clip(SLOPE * (np.array(scorer.decide([t.as_py() for t in batch["text"]]), float) - CENTRE), -500, 500)))
+                at = scorer.measure([t.as_py() for t in batch["text"]]) @ model["slopes"][:-1] + model["slopes"][-1]
+                score = 1 / (1 + np.exp(-np.clip(at, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(score)], ["doc_id", "score"])
 
     return run
