@@ -44,15 +44,24 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete what :func:`stage` has written in this process."""
+def staged_so_far() -> int:
+    """A mark for :func:`drop_staged`."""
+    return len(_STAGED)
+
+
+def drop_staged(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete what has been staged in this process since a mark, but for ``keep``."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+    kept = {df._staged_at for df in keep}
+    for at in [p for p in _STAGED[since:] if p not in kept]:
+        _STAGED.remove(at)
+        path = jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(conf).delete(path, True)
 
 

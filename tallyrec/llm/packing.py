@@ -9,9 +9,12 @@ new bin is opened only if none does.
 
 A document longer than a bin fills whole bins by itself; its rest is packed.
 
+Lengths are the ids that a tokenizer gives, or words where none is named, and an end id.  Duplicate
+clusters are the groups of near copies that SimHash fingerprints link.
+
 Cases: an empty or null text has length one (its end id); a null source or cluster
-conflicts with nothing; repeated rows are packed each, as their own cluster
-demands; null ids are packed like others; an empty table gives no bins.
+conflicts with nothing; repeated rows are packed each, in bins of their own as they are of one
+cluster; of equal lengths the smallest id is packed first; null ids are packed like others; an empty table gives no bins.
 """
 
 from __future__ import annotations
@@ -22,11 +25,12 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyrec.llm.common import stage
+from tallyrec.llm.simhash import near_rows
+from tallyrec.llm.token_store import encoder
 
 CAPACITY = 2048
 #: Documents of a group, about.  More of them pack a little tighter and take longer.
@@ -109,16 +113,26 @@ def pack_group(docs: list[tuple], capacity: int = CAPACITY) -> list[tuple]:
 
 
 def _pack_tasks(capacity: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs = [row for b in batches for row in zip(*(b[c].to_pylist() for c in ("doc_id", "source", "cluster", "length")), strict=True)]
-        if not docs:
-            return
-        first = TaskContext.get().partitionId() << 32
-        rows = [(*r[:4], first + r[4], r[5]) for r in pack_group(docs, capacity)]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+    """The rows come sorted by ``deal``; one group is held at a time."""
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+
+    def packed(deal: int, docs: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows = [(*r[:4], (deal << 32) + r[4], r[5]) for r in pack_group(docs, capacity)]
         for at in range(0, len(rows), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 50_000], strict=True), kinds, strict=True)], [c.split()[0] for c in PACKED.split(", ")])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, docs = None, []
+        for b in batches:
+            for deal, *row in zip(*(b[c].to_pylist() for c in ("deal", "doc_id", "source", "cluster", "length")), strict=True):
+                if deal != now and docs:
+                    yield from packed(now, docs)
+                    docs = []
+                now = deal
+                docs.append(tuple(row))
+        if docs:
+            yield from packed(now, docs)
+
     return run
 
 
@@ -128,15 +142,46 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataF
     groups = max(1, ceil(rows.count() / group))
     # the hash takes in every column and a number, so that neither copies nor a crowded source meet in one group
     dealt = rows.withColumn("deal", F.pmod(F.xxhash64("doc_id", "source", "cluster", "length", F.monotonically_increasing_id()), F.lit(groups)))
-    return dealt.repartition(groups, "deal").select("doc_id", "source", "cluster", "length").mapInArrow(_pack_tasks(capacity), PACKED)
+    # a task may get several groups; each is packed by itself
+    dealt = dealt.repartition(groups, "deal").sortWithinPartitions("deal", "doc_id")
+    return dealt.select("deal", "doc_id", "source", "cluster", "length").mapInArrow(_pack_tasks(capacity), PACKED)
+
+
+def _length_tasks(tokenizer_path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encode, width = encoder(tokenizer_path)
+        for batch in batches:
+            lengths = [len(encode(t.as_py())) // width + 1 for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["source"], batch["tie"], pa.array(lengths, pa.int32())], ["doc_id", "source", "tie", "length"])
+
+    return run
+
+
+def document_lengths(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+    """``doc_id, source, tie, length``: the text's hash and its tokens (without a tokenizer: its words) and an end id."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    if tokenizer_path:
+        return rows.mapInArrow(_length_tasks(tokenizer_path), "doc_id long, source string, tie long, length int")
+    words = F.array_remove(F.split("text", r"[ \t-\r]+"), "")
+    return rows.select("doc_id", "source", "tie", (F.size(words) + 1).alias("length"))
+
 
+def with_clusters(lengths: DataFrame, docs: DataFrame) -> DataFrame:
+    """``lengths`` with ``cluster``: a number of the group of near copies by fingerprint, null for a document of its own.
 
-def document_lengths(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, cluster, length``: equal texts are a cluster; the length is the words and an end id."""
-    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[ \t-\r]+"), "")
-    return docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("cluster"), (F.size(words) + 1).alias("length"))
+    Only groups of several documents conflict, so the others don't take part in the join.
+    """
+    groups = near_rows(docs)
+    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("root")
+    # rows that repeat an id and a text have the same group
+    members = groups.join(sizes, "root").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("root").alias("cluster")).distinct()
+    return lengths.join(members, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left").drop("_id", "_tie")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, tokenizer_path: str | None = None) -> DataFrame:
     """Where every piece of every document goes."""
-    return pack(document_lengths(docs), capacity, group)
+    return pack(with_clusters(document_lengths(docs, tokenizer_path), docs), capacity, group)

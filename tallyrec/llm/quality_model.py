@@ -3,15 +3,17 @@
 Each class has a mean and a covariance of transformed statistics; the covariance is
 shrunk towards the pooled one and then towards its own diagonal.  A document's
 score is the logistic of the difference of the two Mahalanobis log-densities (plus
-the log prior odds), computed by triangular solves with the cached Cholesky factors.
+the log prior odds), computed by products with the cached inverses of the Cholesky factors.
 
-The moments are sums that Spark adds over all labelled rows of the training folds,
-so the driver sees two rows whatever the size.
+The moments are sums that Spark adds over all labelled rows of the training folds, first for the
+means and then for the products of what is left of them (so no digits are lost however many
+rows there are); the driver sees two rows each time.
 
 Cases: null and empty texts have all-zero statistics and get a score like others;
 a document labelled twice counts as good only if every label says so; null labels
 are passed over; with labels of one class or none, every score is that class's
-share (0.5 without any).
+share (0.5 without any); a score of just the threshold counts as good; repeated rows get
+the same score.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ SHRINK_POOLED, SHRINK_DIAGONAL, RIDGE = 0.1, 0.1, 1e-3
 #: Log-density differences are divided by this before the logistic, as the statistics aren't normal.
 TEMPERATURE = 20.0
 FOLDS = 5
-FEATURES = "doc_id long, " + ", ".join(f"f{i} double" for i in range(len(STATISTICS)))
+FEATURES = "doc_id long, tie long, " + ", ".join(f"f{i} double" for i in range(len(STATISTICS)))
 
 
 def statistics(text: str) -> list[float]:
@@ -42,7 +44,8 @@ def statistics(text: str) -> list[float]:
     if not n:
         return [0.0] * len(STATISTICS)
     seen = Counter(words)
-    lower, upper, wide, digit, point, symbol, _, _ = char_classes(text).tolist()
+    lower, upper, accented, other, _, digit, point, symbol, _, _ = char_classes(text).tolist()
+    wide = accented + other
     chars = max(1, len(text))
     letters = max(1, lower + upper + wide)
     lines = [line for line in text.split("\n") if line.strip()]
@@ -69,15 +72,15 @@ def statistics(text: str) -> list[float]:
 
 
 def _statistics_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", *(f"f{i}" for i in range(len(STATISTICS)))]
+    names = ["doc_id", "tie", *(f"f{i}" for i in range(len(STATISTICS)))]
     for batch in batches:
         x = np.array([statistics(t.as_py()) for t in batch["text"]], float).reshape(len(batch), len(STATISTICS))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(x.shape[1]))], names)
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tie"], *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(x.shape[1]))], names)
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id, f0, f1, ...``"""
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty()).mapInArrow(_statistics_tasks, FEATURES)
+    """``doc_id, tie, f0, f1, ...``: ``tie`` is the text's hash."""
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty()).withColumn("tie", F.xxhash64("text")).mapInArrow(_statistics_tasks, FEATURES)
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
@@ -89,21 +92,21 @@ def fit(labelled: DataFrame) -> dict:
     """Two classes' parameters from ``label, f0, f1, ...``."""
     d = len(STATISTICS)
     cols = [F.col(f"f{i}") for i in range(d)]
-    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)]
-    sums += [F.sum(cols[i] * cols[j]).alias(f"p{i}_{j}") for i in range(d) for j in range(i, d)]
-    rows = {r["label"]: r for r in labelled.filter("label in (0, 1)").groupBy("label").agg(F.count(F.lit(1)).alias("n"), *sums).collect()}
+    labelled = labelled.filter("label in (0, 1)")
+    rows = {r["label"]: r for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).collect()}
     if len(rows) < 2 or min(r["n"] for r in rows.values()) < 2:
         n = sum(r["n"] for r in rows.values())
         return {"constant": rows[1]["n"] / n if 1 in rows else 0.0 if n else 0.5}
+    left = [F.when(F.col("label") == 1, c - rows[1][f"m{i}"]).otherwise(c - rows[0][f"m{i}"]) for i, c in enumerate(cols)]
+    centred = labelled.select("label", *[c.alias(f"c{i}") for i, c in enumerate(left)])
+    products = {r["label"]: r for r in centred.groupBy("label").agg(*[F.avg(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"p{i}_{j}") for i in range(d) for j in range(i, d)]).collect()}
     means, covs, sizes = [], [], []
     for k in (0, 1):
-        r, n = rows[k], rows[k]["n"]
-        mean = np.array([r[f"s{i}"] for i in range(d)]) / n
         cov = np.zeros((d, d))
         for i in range(d):
             for j in range(i, d):
-                cov[i, j] = cov[j, i] = r[f"p{i}_{j}"] / n - mean[i] * mean[j]
-        means.append(mean), covs.append(cov), sizes.append(n)
+                cov[i, j] = cov[j, i] = products[k][f"p{i}_{j}"]
+        means.append(np.array([rows[k][f"m{i}"] for i in range(d)])), covs.append(cov), sizes.append(rows[k]["n"])
     pooled = (covs[0] * sizes[0] + covs[1] * sizes[1]) / sum(sizes)
     classes = []
     for mean, cov, n in zip(means, covs, sizes, strict=True):
@@ -129,15 +132,20 @@ def _score_tasks(model: dict):
             else:
                 x = np.column_stack([batch[f"f{i}"].to_numpy() for i in range(len(STATISTICS))])
                 score = 1 / (1 + np.exp(-np.clip(log_odds(model, x) / TEMPERATURE, -500, 500)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(score)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tie"], pa.array(score)], ["doc_id", "tie", "score"])
 
     return run
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held_out_fold: int = 0, threshold: float = 0.3) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every document."""
+def score_rows(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held_out_fold: int = 0, threshold: float = 0.3) -> DataFrame:
+    """``doc_id, tie, held_out, score, predicted`` of every document; ``tie`` tells rows of one id with different texts apart."""
     features = stage(document_statistics(docs), "quality-statistics")
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("label"))
-    train = features.join(known.filter(fold_of(F.col("doc_id"), folds) != held_out_fold), "doc_id").drop("doc_id")
-    scored = features.mapInArrow(_score_tasks(fit(train)), "doc_id long, score double")
-    return scored.select("doc_id", (fold_of(F.col("doc_id"), folds) == held_out_fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    train = stage(features.join(known.filter(fold_of(F.col("doc_id"), folds) != held_out_fold), "doc_id").drop("doc_id", "tie"), "quality-training")
+    scored = features.mapInArrow(_score_tasks(fit(train)), "doc_id long, tie long, score double")
+    return scored.select("doc_id", "tie", (fold_of(F.col("doc_id"), folds) == held_out_fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every document."""
+    return score_rows(docs, labels, **options).drop("tie")

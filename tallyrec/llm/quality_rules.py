@@ -1,25 +1,35 @@
 """Quality rules with distribution divergence.
 
 Every document gets base counts and two histograms: of its characters by class and
-of its words over the most common words of a language (with the rest as one more
-bin).  Both are held against each language's reference by the Jensen-Shannon
+of the most common words of a language among its words (the others aren't a bin, which
+would make all texts alike in most of their words).  Both are held against each language's reference by the Jensen-Shannon
 distance (square root, base 2; 0 equal, 1 disjoint); the nearest language counts.
 A document is turned away if it fails the base rule, or if a histogram that has
 enough in it (``MIN_CHARS``, ``MIN_WORDS``) is too far from every language.
 
+What is too far follows from the documents themselves: those that pass the base rule are
+grouped by nearest language and length (powers of two), and a document may be as far as the group's
+median and ``SPREAD`` times what lies between the lowest tenth and the median (junk
+lies above the median and doesn't widen this); ``LEAST`` stands in for a narrower gap.
+Longer documents have less noise, so a group's bound is no higher than those of shorter ones.
+
 References come from all documents of a language: exact sums by Spark.  Words below
 one in ten thousand of a language are dropped before the ranking, which leaves at
 most ten thousand a language whatever the size.
 
 Cases: null and empty texts have no words and fail the base rule; a null language
-is a language of its own; a table without words has no references and only the
-base rule is applied; rows are judged one by one, so repeated rows agree.
+is a language of its own; a language of few documents has its reference like any other, to which
+those documents are near by themselves; a table without words has no references and only the
+base rule is applied; a text with none of a language's common words is at distance 1; rows are judged one by one, so repeated rows agree; a distance that is just the
+bound is kept.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,44 +37,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyrec.llm.common import text_or_empty
+from tallyrec.llm.common import stage, text_or_empty
 
 COMMON_WORDS = 60
 MIN_SHARE = 1e-4
 MIN_WORDS, MIN_CHARS = 50, 400
-#: Largest distances of a document that is kept.
-MAX_WORD_DISTANCE, MAX_CHAR_DISTANCE = 0.43, 0.24
-#: Languages with fewer words than this in the corpus give no reference.
-MIN_LANGUAGE_WORDS = 2000
+#: How far a document may be from its group's median, as a multiple of the gap below it, and that gap at least.
+SPREAD, LEAST = 4.0, 0.03
+#: Distances are counted in steps of one part in so many.
+STEPS = 1000
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 5
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 400_000
 
-CLASSES = ("lower", "upper", "wide", "digit", "point", "symbol", "space", "other")
+#: Letters are told apart as ASCII ones by case, further Latin ones, and those of other scripts.
+CLASSES = ("lower", "upper", "accented", "letter", "mark", "digit", "point", "symbol", "space", "other")
+_KINDS = {"L": "letter", "M": "mark", "N": "digit", "P": "point", "S": "symbol", "Z": "space"}
 
 
-def _class_table() -> np.ndarray:
-    """The class of each code point below 256; above it all are ``wide``."""
-    table = np.full(256, CLASSES.index("other"), np.uint8)
-    for code in range(256):
-        c = chr(code)
-        kind = "space" if c.isspace() else "digit" if c.isdigit() else "symbol" if c in SYMBOLS else "point" if c in ".,;:!?'\"-()" else None
-        if c.isalpha():
-            kind = "wide" if code > 127 else "upper" if c.isupper() else "lower"
-        if kind:
-            table[code] = CLASSES.index(kind)
-    return table
+def _class_of(code: int) -> str:
+    c = chr(code)
+    if c.isspace() or c in SYMBOLS:
+        return "space" if c.isspace() else "symbol"
+    kind = _KINDS.get(unicodedata.category(c)[0], "other")
+    if kind == "letter" and code < 0x250:
+        return "accented" if code > 127 else "upper" if c.isupper() else "lower"
+    return kind
 
 
-_TABLE = _class_table()
+@cache
+def _class_table() -> np.ndarray:
+    """The class of each code point."""
+    return np.array([CLASSES.index(_class_of(code)) for code in range(0x110000)], np.uint8)
 
 
 def char_classes(text: str) -> np.ndarray:
     """How many characters of each class the text has."""
-    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    return np.bincount(_TABLE[codes[codes < 256]], minlength=len(CLASSES)) + (codes >= 256).sum() * (np.arange(len(CLASSES)) == CLASSES.index("wide"))
+    return np.bincount(_class_table()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)], minlength=len(CLASSES))
 
 
 def base_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int, int]:
@@ -130,7 +141,7 @@ def references(docs: DataFrame, common: int = COMMON_WORDS) -> list[dict]:
     words = counts.filter("word is not null")
     for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect():
         totals[r["lang"]] = r["n"]
-    kept = [(lang, n) for lang, n in totals.items() if n >= MIN_LANGUAGE_WORDS]
+    kept = [(lang, n) for lang, n in totals.items() if n]
     top: dict[str | None, list] = {}
     if kept:
         floor = words.sparkSession.createDataFrame(kept, "lang string, total long")
@@ -144,11 +155,11 @@ def references(docs: DataFrame, common: int = COMMON_WORDS) -> list[dict]:
     for lang, listed in top.items():
         shape = np.array([classes[lang].get(c, 0) for c in CLASSES], float)
         shares = [s for _, s in listed]
-        found.append({"lang": lang, "words": [w for w, _ in listed], "shares": [*shares, max(0.0, 1 - sum(shares))], "classes": (shape / shape.sum()).tolist()})
+        found.append({"lang": lang, "words": [w for w, _ in listed], "shares": [s / sum(shares) for s in shares], "classes": (shape / shape.sum()).tolist()})
     return found
 
 
-MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, word_distance double, char_distance double, nearest string"
+MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, word_distance double, char_distance double, nearest string, char_nearest string"
 
 
 def _measure_tasks(found: list[dict]):
@@ -166,30 +177,59 @@ def _measure_tasks(found: list[dict]):
                 words = text.encode().split()
                 counts = base_counts(text, words)
                 n, repeated = counts[0], counts[4]
-                far = shape = near = None
+                far = shape = near = like = None
                 if found and n >= MIN_WORDS:
                     seen = [np.zeros(len(s)) for s in shares]
                     for word, times in Counter(text.lower().encode().split()).items():
                         for k, i in bins.get(word, ()):
                             seen[k][i] += times
-                    for s in seen:
-                        s[-1] = n - s.sum()
-                    each = [float(distance(s / n, q)) for s, q in zip(seen, shares, strict=True)]
+                    each = [float(distance(s / s.sum(), q)) if s.any() else 1.0 for s, q in zip(seen, shares, strict=True)]
                     far = min(each)
                     near = found[each.index(far)]["lang"]
                 if found and len(text) >= MIN_CHARS:
-                    shape = float(distance(char_classes(text) / len(text), shapes).min())
-                out.append((doc_id, *counts, n < 10 or 100 * repeated > 20 * n, far, shape, near))
-            kinds = [pa.int64()] * 6 + [pa.bool_(), pa.float64(), pa.float64(), pa.string()]
+                    each = distance(char_classes(text) / len(text), shapes)
+                    shape, like = float(each.min()), found[int(each.argmin())]["lang"]
+                out.append((doc_id, *counts, n < 10 or 100 * repeated > 20 * n, far, shape, near, like))
+            kinds = [pa.int64()] * 6 + [pa.bool_(), pa.float64(), pa.float64(), pa.string(), pa.string()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in MEASURES.split(", ")])
 
     return run
 
 
-def judge_quality(docs: DataFrame, found: list[dict] | None = None, *, max_word_distance: float = MAX_WORD_DISTANCE, max_char_distance: float = MAX_CHAR_DISTANCE) -> DataFrame:
+def group_bounds(counts: list[tuple[str | None, int, int, int]], spread: float = SPREAD, least: float = LEAST) -> list[tuple[str | None, int, float]]:
+    """``language, length, bound`` from ``language, length, steps, documents``."""
+    groups: dict[str | None, dict[int, dict[int, int]]] = {}
+    for lang, length, steps, n in counts:
+        groups.setdefault(lang, {}).setdefault(length, {})[steps] = n
+    out = []
+    for lang, lengths in groups.items():
+        bound = np.inf
+        for length in sorted(lengths):
+            values = sorted(lengths[length].items())
+            upto = np.cumsum([n for _, n in values])
+            low, median = (values[int(np.searchsorted(upto, share * upto[-1]))][0] / STEPS for share in (0.1, 0.5))
+            bound = min(bound, median + spread * max(median - low, least))
+            out.append((lang, length, bound))
+    return out
+
+
+def _too_far(rows: DataFrame, distance: str, near: str, size: str, spread: float) -> DataFrame:
+    """``rows`` with a column ``<distance>_bound``; null where the distance is."""
+    length = F.floor(F.log2(F.greatest(F.col(size), F.lit(1)))).cast("int")
+    measured = rows.filter(F.col(distance).isNotNull() & ~F.col("base_failed"))
+    counts = measured.groupBy(near, length.alias("length"), F.round(F.col(distance) * STEPS).cast("int").alias("steps")).count().collect()
+    # a few rows for each language
+    bounds = rows.sparkSession.createDataFrame(group_bounds([tuple(r) for r in counts], spread), f"_lang string, _length int, {distance}_bound double")
+    joined = rows.withColumn("_at", length).join(F.broadcast(bounds), F.col(near).eqNullSafe(F.col("_lang")) & (F.col("_at") == F.col("_length")) & F.col(distance).isNotNull(), "left")
+    return joined.drop("_at", "_lang", "_length")
+
+
+def judge_quality(docs: DataFrame, found: list[dict] | None = None, *, spread: float = SPREAD) -> DataFrame:
     """The measures of every document, and ``kept``."""
     found = references(docs) if found is None else found
-    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty()).mapInArrow(_measure_tasks(found), MEASURES)
-    strange = (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance) | (F.coalesce("char_distance", F.lit(0.0)) > max_char_distance)
-    return rows.withColumn("kept", ~F.col("base_failed") & ~strange)
+    rows = stage(docs.select(F.col("doc_id").cast("long"), text_or_empty()).mapInArrow(_measure_tasks(found), MEASURES), "quality-measures")
+    rows = _too_far(rows, "word_distance", "nearest", "n_words", spread)
+    rows = _too_far(rows, "char_distance", "char_nearest", "word_chars", spread)
+    strange = [F.coalesce(F.col(x) > F.col(f"{x}_bound") + 0.5 / STEPS, F.lit(False)) for x in ("word_distance", "char_distance")]
+    return rows.withColumn("kept", ~F.col("base_failed") & ~(strange[0] | strange[1]))

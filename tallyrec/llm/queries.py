@@ -18,10 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op1_token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokenizer_path() -> str:
     import public_tokenizers
 
-    return token_store.token_offsets(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")), END_ID)
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op1_token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.token_offsets(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
 def op2_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +54,7 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_conflict_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path=tokenizer_path())
 
 
 def op9_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

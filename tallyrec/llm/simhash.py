@@ -59,12 +59,13 @@ def fingerprint(text: str) -> int:
 def _fingerprint_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         codes = np.fromiter((fingerprint(t.as_py()) for t in batch["text"]), np.uint64, len(batch))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(codes.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tie"], pa.array(codes.view(np.int64))], ["doc_id", "tie", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits, read as signed)."""
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty()).mapInArrow(_fingerprint_tasks, "doc_id long, fp long")
+    """``doc_id, tie, fp``: the text's hash, and the 64 bits, read as signed."""
+    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty())
+    return rows.withColumn("tie", F.xxhash64("text")).mapInArrow(_fingerprint_tasks, "doc_id long, tie long, fp long")
 
 
 def blocks(bits: int, n: int) -> list[tuple[int, int]]:
@@ -199,16 +200,21 @@ def fingerprint_links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT)
     return spread.select("fp", "block", "sub").mapInArrow(_link_tasks(budget), "a long, b long")
 
 
-def near_groups(docs: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
-    """``doc_id, fp, component_id`` of every document."""
+def near_rows(docs: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
+    """``doc_id, tie, fp, root, component_id`` of every document: ``tie`` is the text's hash, ``root`` the group's smallest fingerprint."""
     prints = stage(fingerprints(docs), "fingerprints")
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct-fingerprints")
     found = connected_components(fingerprint_links(distinct, budget, hot))
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     # Written first, so that the join below exchanges both sides and a crowded fingerprint can be split.
-    named = stage(rooted.join(names, "root").select("fp", "component_id"), "named-fingerprints")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = stage(rooted.join(names, "root").select("fp", "root", "component_id"), "named-fingerprints")
+    return prints.join(named, "fp").select("doc_id", "tie", "fp", "root", "component_id")
+
+
+def near_groups(docs: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
+    """``doc_id, fp, component_id`` of every document."""
+    return near_rows(docs, budget, hot).select("doc_id", "fp", "component_id")
 
 
 def hex_of(fp: str = "fp"):

@@ -160,7 +160,7 @@ class _Units(dict):
         return value
 
 
-def _encoder(tokenizer_path: str):
+def encoder(tokenizer_path: str):
     """(texts -> little-endian ids of each, id width), remembering the ids of units seen before."""
     if tokenizer_path in _ENCODERS:
         return _ENCODERS[tokenizer_path]
@@ -192,7 +192,7 @@ def _write_tasks(tokenizer_path: str, end_id: int, segment_ids: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, width = _encoder(tokenizer_path)
+        encode, width = encoder(tokenizer_path)
         end = end_id.to_bytes(width, "little")
         part, seg, before = TaskContext.get().partitionId(), 0, 0
         docs: list = []

@@ -116,25 +116,16 @@ def look_up(tokens: list[str], table: np.ndarray) -> np.ndarray:
     out = np.zeros((len(tokens), *table.shape[1:]), np.float64)
     sizes = np.array([len(t) for t in tokens])
     edges = [0, 5, 7, 9, 12, 16, 20, WINDOW]
+    held = max(1, 400_000 // int(np.prod(table.shape[1:])))
     for small, large in zip(edges, edges[1:], strict=False):
-        for at in np.array_split(np.flatnonzero((sizes > small) & (sizes <= large)), max(1, len(tokens) // 20_000)):
-            if len(at):
-                codes = _codes([tokens[i] for i in at], large)
-                total = sum(table[numbers].sum(1) * weight for numbers, weight in spans(codes))
-                out[at] = total / np.array([_norm(int(s)) for s in range(large + 1)])[sizes[at]].reshape(-1, *[1] * (table.ndim - 1))
+        some = np.flatnonzero((sizes > small) & (sizes <= large))
+        for at in (some[i : i + held] for i in range(0, len(some), held)):
+            codes = _codes([tokens[i] for i in at], large)
+            total = sum(table[numbers].sum(1) * weight for numbers, weight in spans(codes))
+            out[at] = total / np.array([_norm(int(s)) for s in range(large + 1)])[sizes[at]].reshape(-1, *[1] * (table.ndim - 1))
     return out
 
 
-def features(tokens: list[str]) -> np.ndarray:
-    """Each token's own subsequence weights, one column a token."""
-    table = np.zeros((LETTERS**3, len(tokens)))
-    for i, token in enumerate(tokens):
-        for numbers, weight in spans(_codes([token], len(token))):
-            np.add.at(table, (numbers.ravel(), i), weight / _norm(len(token)))
-    table[0] = 0
-    return table
-
-
 def gapped(token: str, rng: random.Random) -> str:
     """The token with one or two characters put in, or with one separator throughout."""
     if rng.random() < 0.4:
@@ -146,16 +137,22 @@ def gapped(token: str, rng: random.Random) -> str:
 
 
 def machine(x: np.ndarray, y: np.ndarray, cost: float = COST, steps: int = 40) -> tuple[np.ndarray, float]:
-    """Weights and offset of a linear machine with squared hinge loss, by Newton steps."""
-    x1 = np.column_stack([x, np.ones(len(x))])
-    share = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
-    ridge = np.eye(x1.shape[1])
+    """Weights and offset of a linear machine with squared hinge loss, by Newton steps over blocks of rows."""
+    share = cost * np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
+    blocks = [slice(i, i + 4096) for i in range(0, len(y), 4096)]
+    with_one = lambda at: np.column_stack([x[at].astype(float), np.ones(len(x[at]))])
+    ridge = np.eye(x.shape[1] + 1)
     ridge[-1, -1] = 1e-6
-    w, active = np.zeros(x1.shape[1]), np.ones(len(y), bool)
+    w, active = np.zeros(x.shape[1] + 1), np.ones(len(y), bool)
     for _ in range(steps):
-        a = x1[active] * (cost * share[active])[:, None]
-        w = np.linalg.solve(ridge + a.T @ x1[active], a.T @ y[active])
-        now = y * (x1 @ w) < 1
+        left, right = ridge.copy(), np.zeros(len(w))
+        for at in blocks:
+            mine = with_one(at)[active[at]]
+            scaled = mine * share[at][active[at], None]
+            left += scaled.T @ mine
+            right += scaled.T @ y[at][active[at]]
+        w = np.linalg.solve(left, right)
+        now = np.concatenate([y[at] * (with_one(at) @ w) < 1 for at in blocks])
         if (now == active).all():
             break
         active = now
@@ -163,25 +160,32 @@ def machine(x: np.ndarray, y: np.ndarray, cost: float = COST, steps: int = 40) -
 
 
 def sentence_table(sentences: list[list[str]]) -> np.ndarray:
-    """Each sentence's subsequence weights, one column a sentence."""
-    words = list(dict.fromkeys(w for s in sentences for w in s))
-    of, place = features(words), {w: i for i, w in enumerate(words)}
-    return np.stack([of[:, [place[w] for w in s]].sum(1) for s in sentences], axis=1)
+    """Each sentence's own subsequence weights, one column a sentence."""
+    table = np.zeros((LETTERS**3, len(sentences)), np.float32)
+    for i, sentence in enumerate(sentences):
+        for word in sentence:
+            for numbers, weight in spans(_codes([word], len(word))):
+                np.add.at(table, (numbers.ravel(), i), weight / _norm(len(word)))
+    table[0] = 0
+    return table
 
 
 def sentence_values(sentences: list[list[str]], table: np.ndarray) -> np.ndarray:
     """The sum of each sentence's words' values."""
-    words = list(dict.fromkeys(w for s in sentences for w in s))
-    of, place = look_up(words, table), {w: i for i, w in enumerate(words)}
-    return np.array([of[[place[w] for w in s]].sum(0) for s in sentences])
+    out = np.zeros((len(sentences), *table.shape[1:]), np.float32)
+    for at in range(0, len(sentences), 2000):
+        words = list(dict.fromkeys(w for s in sentences[at : at + 2000] for w in s))
+        of, place = look_up(words, table), {w: i for i, w in enumerate(words)}
+        out[at : at + 2000] = [of[[place[w] for w in s]].sum(0) for s in sentences[at : at + 2000]]
+    return out
 
 
 def nystroem(landmarks: list[list[str]]) -> np.ndarray:
     """Table of the map ``k(x, landmarks) K ** -1/2``."""
     table = sentence_table(landmarks)
-    values, vectors = np.linalg.eigh(sentence_values(landmarks, table))
+    values, vectors = np.linalg.eigh(sentence_values(landmarks, table).astype(float))
     kept = values > 1e-6 * values.max()
-    return table @ (vectors[:, kept] / np.sqrt(values[kept]))
+    return table @ (vectors[:, kept] / np.sqrt(values[kept])).astype(np.float32)
 
 
 def _some(rng: random.Random, found: list, n: int) -> list:

@@ -52,7 +52,7 @@ def test_tokens_of_odd_rows(spark):
 
 def test_units_equal_the_library_on_random_texts():
     path, found = tokenizer()
-    encode, width = token_store._encoder(path)
+    encode, width = token_store.encoder(path)
     rng = np.random.default_rng(1)
     alphabet = [*map(chr, range(0x250)), *"  \n\n\t'", *"aeiost", "'s", "'ll", " 12", "<|endoftext|>", "\u2028", "\u4e2d"]
     for _ in range(3000):
