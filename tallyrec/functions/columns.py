@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import exp
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,3 +81,39 @@ def normal_cdf(z: Column) -> Column:
     poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
     upper = F.exp(-x * x / 2) / 2.5066282746310002 * poly
     return F.when(z >= 0, 1 - upper).otherwise(upper)
+
+
+def chi_square_tail(x: Column, degrees: Column) -> Column:
+    """Chance that a chi-square of so many degrees of freedom is above ``x``: finite sums, for odd degrees from the normal tail on."""
+    h = x / 2
+    step = lambda shift: lambda s, i: F.struct((s["total"] + s["term"]).alias("total"), (s["term"] * h / (i + shift)).alias("term"))
+    terms = lambda n, first, shift: F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), F.struct(F.lit(0.0).alias("total"), first.alias("term")), step(shift))["total"]
+    even = F.exp(-h) * terms((degrees / 2).cast("int"), F.lit(1.0), 0.0)
+    odd = 2 * (1 - normal_cdf(F.sqrt(x))) + F.exp(-h) * terms(((degrees - 1) / 2).cast("int"), F.sqrt(h) / 0.886226925452758, 0.5)
+    return F.when(degrees < 1, 1.0).otherwise(F.when(degrees % 2 == 0, even).otherwise(odd))
+
+
+def poisson_draw(u: Column, mean: Column) -> Column:
+    """The Poisson number that ``u`` (0 to 1) stands for, by inversion; beyond a mean of 64 by the normal form with its skewness."""
+    # fixed values: how likely at most 0, 1, 2, ... of a Poisson variable of mean 1 are
+    upto, term = [], exp(-1.0)
+    for n in range(1, 13):
+        upto.append((upto[-1] if upto else 0.0) + term)
+        term /= n
+    one = sum((F.when(u > c, 1.0).otherwise(0.0) for c in upto[1:]), F.when(u > upto[0], 1.0).otherwise(0.0))
+    walk = F.aggregate(
+        F.sequence(F.lit(1), F.lit(140)),
+        F.struct(F.exp(-mean).alias("term"), F.exp(-mean).alias("upto"), F.lit(0.0).alias("n")),
+        lambda s, i: F.struct((s["term"] * mean / i).alias("term"), (s["upto"] + s["term"] * mean / i).alias("upto"), F.when(u > s["upto"], i.cast("double")).otherwise(s["n"]).alias("n")),
+    )["n"]
+    z = normal_quantile(u)
+    large = F.greatest(F.round(mean + F.sqrt(mean) * z + (z * z - 1) / 6), F.lit(0.0))
+    return F.when(mean == 1, one).when(mean <= 64, walk).otherwise(large)
+
+
+def normal_quantile(u: Column) -> Column:
+    """Abramowitz-Stegun approximation 26.2.23 (error below 4.5e-4)."""
+    t = F.sqrt(-2 * F.log(F.least(u, 1 - u)))
+    # Fixed values of the approximation.
+    z = t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308)))
+    return F.when(u < 0.5, -z).otherwise(z)

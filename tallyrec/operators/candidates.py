@@ -54,12 +54,13 @@ def recent_source(recent: DataFrame, exclude: DataFrame, budget: int) -> DataFra
     return without(placed, exclude).filter(F.col("rank") < budget)
 
 
-def exploration_source(cold: DataFrame, users: DataFrame, exclude: DataFrame, budget: int, seed: int = 42, slots: int = 64) -> DataFrame:
+def exploration_source(cold: DataFrame, users: DataFrame, exclude: DataFrame, budget: int, seed: int = 42, slots: int | None = None) -> DataFrame:
     """Cold products in an order that a hash gives each user.
 
-    Products are dealt into ``slots`` and a user draws from one slot only, so that users times
-    products is never formed.
+    Products are dealt into ``slots`` and a user draws from one slot only.  There are as many slots as
+    leave about ``8 * budget`` products in each, so a user meets no more of them however long the catalogue is.
     """
+    slots = slots or max(1, cold.count() // (8 * budget))
     slot = lambda c: stable_bucket(F.concat(F.lit(f"{seed}:"), c.cast("string")), slots)
     dealt = cold.select("product_id").withColumn("slot", slot(F.col("product_id")))
     drawn = users.select("user_id").withColumn("slot", slot(F.col("user_id"))).join(dealt, "slot")

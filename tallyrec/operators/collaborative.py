@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyrec.config import CollaborativeConfig
 from tallyrec.functions.columns import minmax_within, stable_bucket, top_k
 from tallyrec.operators.content import dot, similar
 
@@ -40,12 +40,11 @@ class Factors:
         self.users, self.items = users, items
 
 
-def fit(weights: DataFrame, config: CollaborativeConfig | None = None) -> Factors:
+def fit(weights: DataFrame, *, factors: int = 64, rounds: int = 20, regularisation: float = 0.1, alpha: float = 2.0, seed: int = 42) -> Factors:
     """``weights (user_id, product_id, weight)``: confidence ``1 + alpha * weight``."""
-    c = config or CollaborativeConfig()
     users, items = dense_index(weights, "user_id", "u").persist(), dense_index(weights, "product_id", "i").persist()
     rows = weights.join(users, "user_id").join(items, "product_id").select("u", "i", F.col("weight").cast("float").alias("r"))
-    model = ALS(userCol="u", itemCol="i", ratingCol="r", implicitPrefs=True, rank=c.factors, alpha=c.alpha, regParam=c.regularization, maxIter=c.iterations, seed=c.seed, coldStartStrategy="drop").fit(rows)
+    model = ALS(userCol="u", itemCol="i", ratingCol="r", implicitPrefs=True, rank=factors, alpha=alpha, regParam=regularisation, maxIter=rounds, seed=seed, coldStartStrategy="drop").fit(rows)
     as_double = F.col("features").cast("array<double>").alias("vector")
     return Factors(
         model.userFactors.join(users, F.col("id") == F.col("u")).select("user_id", as_double),
@@ -78,17 +77,20 @@ def similar_items(factors: Factors, k: int) -> DataFrame:
     return similar(factors.items, k)
 
 
-def triples(weights: DataFrame, each: int = 3, slots: int = 256, seed: int = 42) -> DataFrame:
+def triples(weights: DataFrame, each: int = 3, slots: int | None = None, seed: int = 42) -> DataFrame:
     """(user, positive, negative) samples for pairwise training: negatives are items the user never touched.
 
-    A positive draws from one slot of the items, chosen by hash, so that positives times items is never formed.
+    A positive draws from one slot of the items, chosen by hash.  There are as many slots as leave about
+    ``16 * each`` items in each, so a positive meets no more of them however many items there are.
     """
+    slots = slots or max(1, weights.select("product_id").distinct().count() // (16 * each))
     slot = lambda key: stable_bucket(F.concat(F.lit(f"{seed}:"), key), slots)
     items = weights.select(F.col("product_id").alias("negative")).distinct().withColumn("slot", slot(F.col("negative").cast("string")))
     drawn = weights.select("user_id", F.col("product_id").alias("positive")).withColumn("slot", slot(F.concat_ws("-", F.col("user_id").cast("string"), F.col("positive").cast("string"))))
-    met = drawn.join(items, "slot").withColumn("order", -F.xxhash64("user_id", "positive", "negative").cast("double"))
+    met = drawn.join(items, "slot").withColumn("order", F.sha2(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("user_id", "positive", "negative")]), 256))
     fresh = met.join(weights.select("user_id", F.col("product_id").alias("negative")), ["user_id", "negative"], "left_anti")
-    return top_k(fresh, ["user_id", "positive"], "order", "negative", each).select("user_id", "positive", "negative")
+    w = W.partitionBy("user_id", "positive").orderBy("order")
+    return fresh.withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= each).select("user_id", "positive", "negative")
 
 
 def normalised(rows: DataFrame) -> DataFrame:

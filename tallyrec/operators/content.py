@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyrec.config import ContentConfig
 from tallyrec.functions.columns import minmax_all, minmax_within, top_k
 
 
@@ -100,11 +99,10 @@ def unit(values):
     return F.when(size > 0, F.transform(values, lambda x: x / size)).otherwise(values)
 
 
-def combine(text: DataFrame, attributes: DataFrame, config: ContentConfig | None = None) -> DataFrame:
+def combine(text: DataFrame, attributes: DataFrame, *, text_share: float = 0.6, attribute_share: float = 0.4) -> DataFrame:
     """Unit vectors of both parts, weighted and joined, made unit again."""
-    c = config or ContentConfig()
     met = text.join(attributes, "product_id")
-    joined = F.concat(F.transform(unit(F.col("vector")), lambda x: x * c.text_weight), F.transform(unit(F.col("attributes")), lambda x: x * c.attribute_weight))
+    joined = F.concat(F.transform(unit(F.col("vector")), lambda x: x * text_share), F.transform(unit(F.col("attributes")), lambda x: x * attribute_share))
     return met.select("product_id", joined.alias("both")).select("product_id", unit(F.col("both")).alias("vector"))
 
 
@@ -155,26 +153,34 @@ def score(candidates: DataFrame, tastes: DataFrame, vectors: DataFrame) -> DataF
     return met.withColumn("content_similarity", F.coalesce(dot(F.col("u"), F.col("v")), F.lit(0.0))).drop("u", "v")
 
 
-def recommend(tastes: DataFrame, vectors: DataFrame, seen: DataFrame, k: int, block: int = 2000, seen_limit: int = 200) -> DataFrame:
-    """Each user's ``k`` nearest products that aren't seen, scores 0 to 1; exact, block by block."""
+def recommend(tastes: DataFrame, vectors: DataFrame, seen: DataFrame, k: int, block: int = 2000) -> DataFrame:
+    """Each user's ``k`` nearest products that aren't seen, scores 0 to 1; exact, block by block.
+
+    What a user has seen goes to the blocks it is in and is left out there, so that no list is cut before.
+    """
     n_u, n_v = max(1, -(-tastes.count() // block)), max(1, -(-vectors.count() // block))
-    u = tastes.select(F.col("user_id").alias("id"), F.col("vector").alias("v"), F.pmod(F.xxhash64("user_id"), F.lit(n_u)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("c"), F.lit(0).alias("side"))
-    v = vectors.select(F.col("product_id").alias("id"), F.col("vector").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(n_u - 1))).alias("b"), F.pmod(F.xxhash64("product_id"), F.lit(n_v)).cast("int").alias("c"), F.lit(1).alias("side"))
-    keep = k + seen_limit
+    of_user, of_product = (F.pmod(F.xxhash64(c), F.lit(n)).cast("int") for c, n in (("user_id", n_u), ("product_id", n_v)))
+    none = F.lit(None)
+    u = tastes.select(F.col("user_id").alias("id"), none.cast("long").alias("other"), F.col("vector").alias("v"), of_user.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("c"), F.lit(0).alias("side"))
+    v = vectors.select(F.col("product_id").alias("id"), none.cast("long").alias("other"), F.col("vector").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(n_u - 1))).alias("b"), of_product.alias("c"), F.lit(1).alias("side"))
+    s = seen.select("user_id", "product_id").distinct().select(F.col("user_id").alias("id"), F.col("product_id").alias("other"), none.cast("array<double>").alias("v"), of_user.alias("b"), of_product.alias("c"), F.lit(2).alias("side"))
 
     def best(frame):
         import pandas as pd
 
-        a, b = frame[frame["side"] == 0], frame[frame["side"] == 1]
+        a, b, met = (frame[frame["side"] == side] for side in (0, 1, 2))
         if not len(a) or not len(b):
             return pd.DataFrame({"user_id": [], "product_id": [], "score": []})
         scores = np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T
-        order = np.lexsort((np.broadcast_to(b["id"].to_numpy(), scores.shape), -scores), axis=1)[:, :keep]
-        return pd.DataFrame({"user_id": np.repeat(a["id"].to_numpy(), order.shape[1]), "product_id": b["id"].to_numpy()[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
+        row, column = pd.Index(a["id"]).get_indexer(met["id"]), pd.Index(b["id"]).get_indexer(met["other"])
+        there = (row >= 0) & (column >= 0)
+        scores[row[there], column[there]] = -np.inf
+        order = np.lexsort((np.broadcast_to(b["id"].to_numpy(), scores.shape), -scores), axis=1)[:, :k]
+        out = pd.DataFrame({"user_id": np.repeat(a["id"].to_numpy(), order.shape[1]), "product_id": b["id"].to_numpy()[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
+        return out[np.isfinite(out["score"])]
 
-    found = u.unionByName(v).groupBy("b", "c").applyInPandas(best, "user_id long, product_id long, score double")
-    fresh = found.join(seen.select("user_id", "product_id").distinct(), ["user_id", "product_id"], "left_anti")
-    return top_k(fresh, ["user_id"], "score", "product_id", k).withColumn("score", minmax_within(F.col("score"), ["user_id"]))
+    found = u.unionByName(v).unionByName(s).groupBy("b", "c").applyInPandas(best, "user_id long, product_id long, score double")
+    return top_k(found, ["user_id"], "score", "product_id", k).withColumn("score", minmax_within(F.col("score"), ["user_id"]))
 
 
 def changed(texts: DataFrame, stored: DataFrame) -> DataFrame:

@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from tallyrec.functions.columns import minmax_within, top_k
 
 
+#: Items of a basket that are paired in one task.
+BLOCK = 512
+
+
 def neighbours(baskets: DataFrame, *, least: int, most: int | None, min_support: int, k: int) -> DataFrame:
     """Directed neighbour edges of ``baskets (basket, product_id)`` by lift.
 
     Baskets outside ``least`` to ``most`` distinct items count neither as pairs nor in the totals.
     Without ``most``, baskets of one item still count in the totals.  Items below the
-    support can't be in a pair that reaches it, so they are left out of the self-join.
+    support can't be in a pair that reaches it, so they are left out of the self-join.  A basket of more
+    than ``BLOCK`` items is joined block by block, so that its pairs are spread over many tasks.
     """
     items = baskets.select("basket", "product_id").distinct()
     sizes = items.groupBy("basket").agg(F.count(F.lit(1)).alias("n"))
@@ -23,9 +28,12 @@ def neighbours(baskets: DataFrame, *, least: int, most: int | None, min_support:
     items = items.join(sizes, "basket")
     total = sizes.agg(F.count(F.lit(1)).cast("double").alias("total"))
     marginals = items.groupBy("product_id").agg(F.count(F.lit(1)).alias("n_item"))
-    frequent = items.join(marginals.filter(F.col("n_item") >= min_support).select("product_id"), "product_id", "left_semi").select("basket", "product_id")
-    pairs = frequent.alias("a").join(frequent.alias("b"), (F.col("a.basket") == F.col("b.basket")) & (F.col("a.product_id") < F.col("b.product_id")))
-    pairs = pairs.groupBy(F.col("a.product_id").alias("x"), F.col("b.product_id").alias("y")).agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= min_support)
+    frequent = items.join(marginals.filter(F.col("n_item") >= min_support).select("product_id"), "product_id", "left_semi").withColumn("last", (F.floor((F.col("n") - 1) / BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("product_id"), F.col("last") + 1).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("last")))
+    left = frequent.select("basket", F.col("product_id").alias("x"), F.col("block").alias("bx"), every.alias("by"))
+    right = frequent.select("basket", F.col("product_id").alias("y"), F.col("block").alias("by"), every.alias("bx"))
+    pairs = left.join(right, ["basket", "bx", "by"]).filter(F.col("x") < F.col("y"))
+    pairs = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= min_support)
     both = pairs.join(marginals.select(F.col("product_id").alias("x"), F.col("n_item").alias("n_x")), "x").join(marginals.select(F.col("product_id").alias("y"), F.col("n_item").alias("n_y")), "y")
     lifted = both.crossJoin(F.broadcast(total)).withColumn("lift", F.col("support") * F.col("total") / (F.col("n_x") * F.col("n_y")))
     mirrored = lifted.select(F.explode(F.array(F.struct(F.col("x").alias("item"), F.col("y").alias("neighbour")), F.struct(F.col("y").alias("item"), F.col("x").alias("neighbour")))).alias("e"), "lift", "support").select("e.*", "lift", "support")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyrec.config import BLEND_WEIGHTS, COMPONENTS, DiversityConfig
+from tallyrec.config import BLEND_WEIGHTS, COMPONENTS
 from tallyrec.functions.columns import minmax_within, top_k
 
 #: source -> (reason, priority, template).  The highest priority a product has is shown.
@@ -59,44 +60,47 @@ def boost_novelty(scores: DataFrame, novelty: DataFrame, boost: float = 0.15) ->
     return scores.join(novelty.select("product_id", "novelty_score"), "product_id", "left").withColumn("score", F.col("score") * (1 + boost * F.coalesce("novelty_score", F.lit(0.5)))).drop("novelty_score")
 
 
-def diversify(ranked: DataFrame, k: int, config: DiversityConfig | None = None) -> DataFrame:
+def diversify(ranked: DataFrame, k: int, *, relevance: float = 0.72, per_category: int = 4, per_brand: int = 3) -> DataFrame:
     """Maximal marginal relevance with caps on category and brand, then a top-up by relevance.
 
     ``ranked (user_id, product_id, score, category_id, brand_id)``.  Choosing is sequential
-    within a user, so each user's short list is a group; users are independent.
+    within a user, so each user's list is a group; users are independent.  Products of the same
+    category and brand differ by score alone, so only as many of them as the caps let in can be chosen,
+    and beyond those only the ``k`` best of all, for the top-up: these come to the group, however long the list is.
     """
-    c = config or DiversityConfig()
 
     def choose(frame):
-        left = frame.sort_values(["score", "product_id"], ascending=[False, True]).to_dict("records")
-        categories, brands, out = {}, {}, []
-        while left and len(out) < k:
-            best, at = None, -1
-            for i, row in enumerate(left):
-                if categories.get(row["category_id"], 0) >= c.max_per_category or brands.get(row["brand_id"], 0) >= c.max_per_brand:
-                    continue
-                again = categories.get(row["category_id"], 0) / len(out) if out else 0.0
-                value = c.mmr_lambda * row["score"] - (1 - c.mmr_lambda) * again
-                if best is None or value > best:
-                    best, at = value, i
-            row = left.pop(max(at, 0))  # none is eligible: the most relevant one fills up
-            categories[row["category_id"]] = categories.get(row["category_id"], 0) + 1
-            brands[row["brand_id"]] = brands.get(row["brand_id"], 0) + 1
-            out.append({"user_id": row["user_id"], "product_id": row["product_id"], "score": row["score"], "rank": len(out) + 1})
         import pandas as pd
 
-        return pd.DataFrame(out, columns=["user_id", "product_id", "score", "rank"])
+        left = frame.sort_values(["score", "product_id"], ascending=[False, True]).reset_index(drop=True)
+        category, brand = (pd.factorize(left[c], use_na_sentinel=False)[0] for c in ("category_id", "brand_id"))
+        score, free = left["score"].to_numpy(float), np.ones(len(left), bool)
+        of_category, of_brand = np.zeros(len(left) + 1), np.zeros(len(left) + 1)
+        taken = []
+        for n in range(min(k, len(left))):
+            fits = free & (of_category[category] < per_category) & (of_brand[brand] < per_brand)
+            value = relevance * score - (1 - relevance) * of_category[category] / max(n, 1)
+            # none is eligible: the most relevant one fills up
+            at = int(np.argmax(np.where(fits, value, -np.inf))) if fits.any() else int(np.argmax(free))
+            free[at] = False
+            of_category[category[at]] += 1
+            of_brand[brand[at]] += 1
+            taken.append(at)
+        out = left.iloc[taken][["user_id", "product_id", "score"]]
+        return out.assign(rank=np.arange(1, len(out) + 1, dtype=np.int32))
 
-    short = top_k(ranked, ["user_id"], "score", "product_id", 4 * k).select("user_id", "product_id", "score", "category_id", "brand_id")
-    return short.groupBy("user_id").applyInPandas(choose, "user_id long, product_id long, score double, rank int")
+    order = [F.desc("score"), F.asc("product_id")]
+    same = F.row_number().over(W.partitionBy("user_id", "category_id", "brand_id").orderBy(*order))
+    place = F.row_number().over(W.partitionBy("user_id").orderBy(*order))
+    short = ranked.withColumn("_same", same).withColumn("_place", place).filter((F.col("_same") <= min(per_category, per_brand)) | (F.col("_place") <= k))
+    return short.select("user_id", "product_id", "score", "category_id", "brand_id").groupBy("user_id").applyInPandas(choose, "user_id long, product_id long, score double, rank int")
 
 
-def cap_groups(ranked: DataFrame, k: int, config: DiversityConfig | None = None) -> DataFrame:
+def cap_groups(ranked: DataFrame, k: int, *, per_category: int = 4, per_brand: int = 3) -> DataFrame:
     """Only the caps: the best of each category and brand, then the best ``k``."""
-    c = config or DiversityConfig()
     order = [F.desc("score"), F.asc("product_id")]
     capped = ranked.withColumn("_c", F.row_number().over(W.partitionBy("user_id", "category_id").orderBy(*order))).withColumn("_b", F.row_number().over(W.partitionBy("user_id", "brand_id").orderBy(*order)))
-    return top_k(capped.filter((F.col("_c") <= c.max_per_category) & (F.col("_b") <= c.max_per_brand)).drop("_c", "_b"), ["user_id"], "score", "product_id", k)
+    return top_k(capped.filter((F.col("_c") <= per_category) & (F.col("_b") <= per_brand)).drop("_c", "_b"), ["user_id"], "score", "product_id", k)
 
 
 def fallback(rungs: list[tuple[str, DataFrame]], users: DataFrame, k: int) -> DataFrame:

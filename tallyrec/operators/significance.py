@@ -6,26 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyrec.functions.columns import normal_cdf, ratio, stable_bucket
+from tallyrec.functions.columns import chi_square_tail, normal_cdf, poisson_draw, ratio, stable_bucket
 
 Z95 = 1.959963985
 
 
-def paired_bootstrap(scores: DataFrame, a: str, b: str, metric: str = "ndcg", resamples: int = 1000, blocks: int = 20) -> DataFrame:
+def _resampled_means(values: DataFrame, keys: list[str], resamples: int, blocks: int) -> DataFrame:
+    """``keys, resample, m``: the mean of each Poisson resample of ``values (keys, d, n)``, where ``d`` occurred ``n`` times."""
+    draws = values.sparkSession.range(resamples, numPartitions=blocks).withColumnRenamed("id", "resample")
+    u = (F.pmod(F.xxhash64(F.lit(1), F.col("resample"), *keys, F.col("d")), F.lit(2**40)) + 0.5) / F.lit(2.0**40)
+    weighed = values.crossJoin(F.broadcast(draws)).withColumn("w", poisson_draw(u, F.col("n")))
+    return weighed.groupBy(*keys, "resample").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("m"))
+
+
+def paired_bootstrap(scores: DataFrame, a: str, b: str, metric: str = "ndcg", resamples: int = 5000, blocks: int = 20) -> DataFrame:
     """Poisson bootstrap of the mean difference ``b - a`` over users.
 
-    Equal differences are counted first; each resample then weighs a difference that
-    occurred ``n`` times by the normal form of a Poisson sum, so the work depends on the
-    number of distinct differences, not of users.
+    Equal differences are counted first; a difference that occurred ``n`` times weighs a Poisson
+    number of mean ``n`` in each resample (the sum of its users' own draws), so the work depends on the number of
+    distinct differences, not of users.
     """
     wide = scores.filter(F.col("model").isin(a, b)).groupBy("user_id").agg(*[F.max(F.when(F.col("model") == m, F.col(metric))).alias(n) for m, n in ((a, "x"), (b, "y"))]).dropna()
     diffs = wide.groupBy(F.round(F.col("y") - F.col("x"), 9).alias("d")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    spark = scores.sparkSession
-    draws = spark.range(resamples, numPartitions=blocks).withColumnRenamed("id", "resample")
-    u = lambda salt: (F.pmod(F.xxhash64(F.lit(salt), F.col("resample"), F.col("d")), F.lit(2**40)) + 1) / F.lit(2.0**40 + 1)
-    normal = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * 3.141592653589793 * u(2))
-    weighed = diffs.crossJoin(F.broadcast(draws)).withColumn("w", F.greatest(F.col("n") + F.sqrt("n") * normal, F.lit(0.0)))
-    each = weighed.groupBy("resample").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("m"))
+    each = _resampled_means(diffs, [], resamples, blocks)
     seen = diffs.agg((F.sum(F.col("n") * F.col("d")) / F.sum("n")).alias("difference"), F.sum("n").alias("users"))
     out = each.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.sum((F.col("m") <= 0).cast("int")).alias("below"), F.sum((F.col("m") >= 0).cast("int")).alias("above"))
     p = F.least(F.lit(1.0), 2.0 * (F.least("below", "above") + 1) / (resamples + 1))
@@ -45,11 +48,11 @@ def two_proportions(df: DataFrame, x1="x1", n1="n1", x2="x2", n2="n2") -> DataFr
 
 
 def sample_ratio(arms: DataFrame) -> DataFrame:
-    """Chi-square test of observed ``n`` against ``expected_share`` for two arms; no traffic gives p = 1."""
+    """Chi-square test of observed ``n`` against ``expected_share`` for any number of arms; no traffic, or one arm, gives p = 1."""
     totals = arms.agg(F.sum("n").cast("double").alias("total"))
     expected = F.col("total") * F.col("expected_share")
-    parts = arms.crossJoin(F.broadcast(totals)).agg(F.sum(ratio(F.pow(F.col("n") - expected, 2), expected)).alias("chi_square"), F.first("total").alias("total"))
-    p = F.when(F.col("total") > 0, 2 * (1 - normal_cdf(F.sqrt("chi_square")))).otherwise(1.0)
+    parts = arms.crossJoin(F.broadcast(totals)).agg(F.sum(ratio(F.pow(F.col("n") - expected, 2), expected)).alias("chi_square"), F.first("total").alias("total"), F.count(F.lit(1)).cast("int").alias("arms"))
+    p = F.when(F.col("total") > 0, chi_square_tail(F.col("chi_square"), F.col("arms") - 1)).otherwise(1.0)
     return parts.select("chi_square", p.alias("p_value"), (p < 0.001).alias("mismatch"))
 
 
@@ -59,6 +62,14 @@ def mean_interval(rows: DataFrame, arm: str, value: str) -> DataFrame:
     return rows.groupBy(arm).agg(F.count(value).alias("users"), F.avg(value).alias("mean"), (F.avg(value) - half).alias("low"), (F.avg(value) + half).alias("high"))
 
 
+def mean_bootstrap(rows: DataFrame, arm: str, value: str, resamples: int = 2000, blocks: int = 20) -> DataFrame:
+    """Mean of each arm's users with its bootstrapped 95 % interval, for skewed values as revenue."""
+    counts = rows.groupBy(arm, F.round(F.col(value), 9).alias("d")).agg(F.count(F.lit(1)).cast("double").alias("n")).dropna()
+    spans = _resampled_means(counts, [arm], resamples, blocks).groupBy(arm).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    means = counts.groupBy(arm).agg(F.sum("n").cast("long").alias("users"), (F.sum(F.col("n") * F.col("d")) / F.sum("n")).alias("mean"))
+    return means.join(spans, arm).select(arm, "users", "mean", "low", "high")
+
+
 def variant_ranges(experiments: DataFrame) -> DataFrame:
     """``key, variant, low, high`` by running sums of allocations; experiments that don't sum to one are left out.
 

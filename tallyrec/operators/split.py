@@ -3,36 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 FOLD_ORDER = ("train", "validation", "test")
 
 
+#: Widths, in microseconds, by which a position is narrowed down: hours, seconds, moments.
+WIDTHS = (3_600_000_000, 1_000_000, 1)
+
+
 def time_at(rows: DataFrame, fractions: list[float], column: str = "occurred_at") -> list[int]:
     """The times (microseconds) at position ``round((n - 1) * q)`` of the sorted times.
 
-    Counts per day find the day that holds a position; only that day's times are ranked.
-    What comes to the driver is a row a day.
+    Three passes of counts, each over all positions at once: by hour, by second of the hours that hold a position,
+    by moment of those seconds.  The driver sees a row an hour, then at most 3600 and a second's moments for each position.
     """
     micros = rows.filter(F.col(column).isNotNull()).select(F.unix_micros(column).alias("at"))
-    day = F.floor(F.col("at") / 86_400_000_000)
-    days = [(r["day"], r["count"]) for r in micros.groupBy(day.alias("day")).count().orderBy("day").collect()]
-    total = sum(n for _, n in days)
-    if not total:
-        raise ValueError("there are no interactions to split")
-    out = []
-    for q in fractions:
-        position = round((total - 1) * q)
-        for d, n in days:
-            if position < n:
-                break
-            position -= n
-        # equal times are one row with a count, so a crowded moment stays small
-        inside = micros.filter(day == d).groupBy("at").count()
-        reached = F.sum("count").over(W.orderBy("at"))
-        out.append(inside.withColumn("reached", reached).filter(F.col("reached") > position).agg(F.min("at")).first()[0])
-    return out
+    inside, places = micros, None
+    for width in WIDTHS:
+        counts = sorted((r["step"], r["count"]) for r in inside.groupBy(F.floor(F.col("at") / width).alias("step")).count().collect())
+        if places is None:
+            total = sum(n for _, n in counts)
+            if not total:
+                raise ValueError("there are no interactions to split")
+            places = [(round((total - 1) * q), None) for q in fractions]
+        found = []
+        for position, (lo, hi) in ((p, span or (None, None)) for p, span in places):
+            for step, n in counts:
+                if lo is not None and not lo <= step * width < hi:
+                    continue
+                if position < n:
+                    break
+                position -= n
+            found.append((position, (step * width, (step + 1) * width)))
+        places = found
+        held = F.lit(False)
+        for _, (lo, hi) in places:
+            held = held | ((F.col("at") >= lo) & (F.col("at") < hi))
+        inside = micros.filter(held)
+    return [lo for _, (lo, _) in places]
 
 
 def split_temporal(rows: DataFrame, train: float = 0.70, validation: float = 0.15) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from math import log
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyrec.config import PRIOR_WEIGHTS, WeightingConfig
-from tallyrec.functions.columns import age, half_life, mapped
+from tallyrec.config import PRIOR_WEIGHTS
+from tallyrec.functions.columns import age, count_if, half_life, mapped
 
 
 def first_purchases(rows: DataFrame) -> DataFrame:
@@ -51,11 +52,16 @@ def derive(rates: dict[str, tuple[int, float]], base: float, min_support: int =
     return {t: {"support": rates[t][0], "rate": rates[t][1], "lift": rates[t][1] / base, "weight": w / unit} for t, w in raw.items()}
 
 
-def calibrate(rows: DataFrame, config: WeightingConfig | None = None) -> dict[str, dict]:
+def calibrate(rows: DataFrame, *, window_days: int = 30, min_support: int = 200) -> dict[str, dict]:
     """Support, rate, lift and weight of each event type.  A row a type comes to the driver."""
-    config = config or WeightingConfig()
-    rates = {r["event_type"]: (r["support"], r["rate"]) for r in conversion_rates(rows, config.conversion_window_days).collect()}
-    return derive(rates, base_rate(rows).first()[0], config.min_support)
+    pair = W.partitionBy("user_id", "product_id")
+    bought = F.min(F.when(F.col("event_type") == "PURCHASE", F.unix_micros("occurred_at"))).over(pair)
+    rows = rows.select("event_type", F.unix_micros("occurred_at").alias("us"), bought.alias("bought"), (F.row_number().over(pair.orderBy("occurred_at")) == 1).alias("first"))
+    met = F.coalesce(F.abs(F.col("bought") - F.col("us")) <= window_days * 86_400_000_000, F.lit(False))
+    # one exchange, by pair, for the rates of the types and the base rate of the pairs
+    counts = rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg(met.cast("double")).alias("rate"), count_if(F.col("first")).alias("pairs"), count_if(F.col("first") & F.col("bought").isNotNull()).alias("bought")).collect()
+    pairs = sum(r["pairs"] for r in counts)
+    return derive({r["event_type"]: (r["n"], r["rate"]) for r in counts}, sum(r["bought"] for r in counts) / pairs if pairs else 0.0, min_support)
 
 
 def report(spark, found: dict[str, dict]) -> DataFrame:
@@ -63,13 +69,12 @@ def report(spark, found: dict[str, dict]) -> DataFrame:
     return spark.createDataFrame(rows, "event_type string, support long, rate double, lift double, weight double").orderBy(F.desc("weight"), "event_type")
 
 
-def interaction_matrix(rows: DataFrame, weights: dict[str, float], as_of: Column, config: WeightingConfig | None = None) -> DataFrame:
-    """Decayed weight of each (user, product): summed, then held to ``max_weight``; those at or below zero go."""
-    config = config or WeightingConfig()
+def interaction_matrix(rows: DataFrame, weights: dict[str, float], as_of: Column, *, half_life_days: float = 45.0, most: float = 60.0) -> DataFrame:
+    """Decayed weight of each (user, product): summed, then held to ``most``; those at or below zero go."""
     days = F.greatest(age(as_of, F.col("occurred_at"), 86_400), F.lit(0.0))
-    worth = mapped(F.col("event_type"), weights, 1.0) * half_life(days, config.recency_half_life_days)
+    worth = mapped(F.col("event_type"), weights, 1.0) * half_life(days, half_life_days)
     summed = rows.groupBy("user_id", "product_id").agg(F.sum(worth).alias("weight"), F.min("occurred_at").alias("first_interaction_at"), F.max("occurred_at").alias("last_interaction_at"), F.count(F.lit(1)).alias("n_events"))
-    return summed.withColumn("weight", F.least(F.greatest("weight", F.lit(0.0)), F.lit(config.max_weight))).filter("weight > 0")
+    return summed.withColumn("weight", F.least(F.greatest("weight", F.lit(0.0)), F.lit(most))).filter("weight > 0")
 
 
 def event_type_counts(rows: DataFrame) -> DataFrame:

@@ -203,7 +203,7 @@ register("f26_pair_history", on(lambda t: rounded(features.pair_history(t.rows,
 
 def pair_table(t: Tables, candidates=None):
     w = matrix(t)
-    pairs = candidates if candidates is not None else t.rows.filter("user_id % 2 = 0").select("user_id", (F.col("product_id") + 1).alias("product_id")).distinct()
+    pairs = candidates if candidates is not None else t.rows.select("user_id", (F.col("product_id") + 1).alias("product_id")).distinct()
     return features.pair_features(pairs, features.pair_history(t.rows, t.now), w, features.affinity(t.rows, w, t.products, "category_id", 10), features.affinity(t.rows, w, t.products, "brand_id", 6), product_table(t), user_table(t))
 
 
@@ -211,7 +211,7 @@ register(
     "f27_pair_features",
     on(lambda t: rounded(pair_table(t), "days_since_interaction", "interaction_weight", "category_affinity", "brand_affinity", "price_distance", digits=8).drop("content_similarity", "collaborative_score")),
     f"""with {PRE_SQL}, {MATRIX_SQL}, {HISTORY_SQL}, {PRODUCT_SQL}, {USER_SQL}, ca as (select * from (with {AFF_SQL.format(level="category_id", n=10)} select * from af)), ba as (select * from (with {AFF_SQL.format(level="brand_id", n=6)} select * from af)),
-    cd as (select distinct user_id, product_id + 1 as product_id from ia where user_id % 2 = 0),
+    cd as (select distinct user_id, product_id + 1 as product_id from ia),
     j as (select cd.user_id, cd.product_id, coalesce(view_count, 0) as view_count, coalesce(cart_count, 0) as cart_count, coalesce(purchase_count, 0) as purchase_count, coalesce(days, 999) as days, coalesce(mx.weight, 0) as w, coalesce(ca.affinity, 0) as ca, coalesce(ba.affinity, 0) as ba, abs(coalesce(q.price_percentile, 0.5) - coalesce(b.ppm, 0.5)) as far
         from cd left join ph using (user_id, product_id) left join mx using (user_id, product_id) left join q using (product_id) left join prod on cd.product_id = prod.id left join ca on ca.user_id = cd.user_id and ca.key_id = prod.category_id left join ba on ba.user_id = cd.user_id and ba.key_id = prod.brand_id left join (select user_id, coalesce(price_percentile_mean, 0) as ppm from b) b on b.user_id = cd.user_id)
     select user_id, product_id, view_count, cart_count, purchase_count, round(days, 8) as days_since_interaction, round(w, 8) as interaction_weight, (w > 0)::int as has_interacted, (purchase_count > 0)::int as has_purchased, round(ca, 8) as category_affinity, round(ba, 8) as brand_affinity, (ca > 0)::int as category_match, (ba > 0)::int as brand_match, round(far, 8) as price_distance, (far < 0.2)::int as price_band_match from j""",

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from tallyrec.operators import candidates as cand
 from tallyrec.operators import collaborative, content, cooccurrence, evaluation, features, popularity, ranking, rerank
-from tallyrec.config import CollaborativeConfig
 from tallyrec.functions.columns import top_k
-from tallyrec.plans.queries_base import AFF_SQL, FOLD_SQL, MATRIX_SQL, POP_SQL, TREND_FIT, folds, matrix, pair_table, product_table, user_table
+from tallyrec.plans.queries_base import AFF_SQL, FOLD_SQL, MATRIX_SQL, POP_SQL, PRE_SQL, PRODUCT_SQL, TREND_FIT, folds, matrix, pair_table, product_table, user_table
 from tallyrec.plans.registry import Tables, on, register, rounded
 
 BASE = "ev prod ia clock"
@@ -68,7 +67,7 @@ def content_vectors(t: Tables, rank: int = 16):
     return content.combine(reduced, content.attribute_vectors(t.products))
 
 
-SMALL = CollaborativeConfig(factors=16, iterations=8)
+SLOT_SQL = "('0x' || substr(sha256({0}), 1, 16))::ubigint"
 register("g9_tfidf", on(lambda t: text_vectors(t).select("product_id", F.size(content.vector_to_array("vector")).alias("terms"))))
 register("g10_reduced_text", on(lambda t: content.reduce_rank(text_vectors(t), 16)[0]))
 register("g11_attributes", on(lambda t: content.attribute_vectors(t.products)))
@@ -77,11 +76,13 @@ register("g13_similar_products", on(lambda t: content.similar(content_vectors(t)
 register("g13_similar_embeddings", on(lambda t: rounded(content.similar(content.as_vectors(t.raw("embeddings")), 5), "score", digits=5).select("item", "neighbour", "score", "rank")))
 register("g14_taste", on(lambda t: content.taste(cand.contexts(t.rows), content_vectors(t))))
 register("g15_content_for_users", on(lambda t: content.recommend(content.taste(cand.contexts(t.rows), v := content_vectors(t)), v, seen(t), 10)))
-register("g18_als_factors", on(lambda t: collaborative.fit(collaborative.supported(matrix(t)), SMALL).items))
-register("g19_fold_in", on(lambda t: collaborative.fold_in(collaborative.fit(collaborative.supported(matrix(t)).filter("user_id % 10 <> 0"), SMALL), seen(t))))
-register("g20_als_for_users", on(lambda t: collaborative.recommend((f := collaborative.fit(collaborative.supported(matrix(t)), SMALL)).users, f, seen(t), 10)))
-register("g21_als_similar", on(lambda t: collaborative.similar_items(collaborative.fit(collaborative.supported(matrix(t)), SMALL), 10)))
-register("g22_pair_triples", on(lambda t: collaborative.triples(matrix(t), slots=8)))
+register("g18_als_factors", on(lambda t: collaborative.fit(collaborative.supported(matrix(t))).items))
+register("g19_fold_in", on(lambda t: collaborative.fold_in(collaborative.fit(collaborative.supported(matrix(t)).filter("user_id % 10 <> 0")), seen(t))))
+register("g20_als_for_users", on(lambda t: collaborative.recommend((f := collaborative.fit(collaborative.supported(matrix(t)))).users, f, seen(t), 10)))
+register("g21_als_similar", on(lambda t: collaborative.similar_items(collaborative.fit(collaborative.supported(matrix(t))), 10)))
+register("g22_pair_triples", on(lambda t: collaborative.triples(matrix(t))), f"""with {MATRIX_SQL}, im as (select distinct product_id from mx), sl as (select greatest(1, count(*) // 48) as n from im),
+    ng as (select product_id as negative, {SLOT_SQL.format("'42:' || product_id")} % n as slot from im, sl), ps as (select user_id, product_id as positive, {SLOT_SQL.format("'42:' || user_id || '-' || product_id")} % n as slot from mx, sl)
+    select user_id, positive, negative from ps join ng using (slot) where not exists (select 1 from mx where mx.user_id = ps.user_id and mx.product_id = negative) qualify row_number() over (partition by user_id, positive order by sha256('42:' || user_id || ':' || positive || ':' || negative)) <= 3""", BASE)
 
 # H. retrieval.  The sources that SQL can say; exclusion is what was bought.
 bought = lambda t: t.rows.filter("event_type = 'PURCHASE'").select("user_id", "product_id").distinct()
@@ -132,8 +133,9 @@ WANTED_SQL = "wt as (select distinct user_id, product_id from ia where event_typ
 clicked = lambda t: t.rows.filter("event_type = 'PRODUCT_CLICK'").select("user_id", "product_id").distinct()
 register("h13_recall", on(lambda t: rounded(cand.recall(cand.pool(cand.fuse(gathered(t)).withColumn("fused", F.round("fused", 12)), 50), clicked(t)), "recall")), f"with {SOURCES_SQL}, {WANTED_SQL}, pl_ as (select user_id, product_id from fu qualify row_number() over (partition by user_id order by round(fused, 12) desc, product_id) <= 50) select round(avg(r), 6) as recall, count(*) as users from (select wt.user_id, avg((pl_.user_id is not null)::int) as r from wt left join pl_ using (user_id, product_id) group by 1)", BASE)
 register("h14_contribution", on(lambda t: rounded(cand.contribution(gathered(t), clicked(t)), "share")), f"with {SOURCES_SQL}, {WANTED_SQL} select source, count(*) as hits, round(count(*) / (select count(*) from wt), 6) as share from ga join wt using (user_id, product_id) group by 1", BASE)
-register("h7_exploration", on(lambda t: cand.exploration_source(t.products.filter("id >= 100").select(F.col("id").alias("product_id")), people(t), bought(t), 15)), """with sl as (select id as product_id, ('0x' || substr(sha256('42:' || id), 1, 16))::ubigint % 64 as slot from prod where id >= 100), u as (select distinct user_id, ('0x' || substr(sha256('42:' || user_id), 1, 16))::ubigint % 64 as slot from ia),
-    d as (select user_id, product_id, row_number() over (partition by user_id order by sha256('42:' || user_id || ':' || product_id)) - 1 as rank from u join sl using (slot)) select user_id, product_id, 0.01::double as score, rank::int as rank from d where rank < 15""", "ev prod ia")
+register("h7_exploration", on(lambda t: cand.exploration_source(product_table(t).filter("is_cold = 1").select("product_id"), people(t), bought(t), 15)), f"""with {PRE_SQL}, {PRODUCT_SQL}, cd as (select product_id from q where vt + pt < 5), n as (select greatest(1, count(*) // 120) as n from cd),
+    sl as (select product_id, {SLOT_SQL.format("'42:' || product_id")} % n as slot from cd, n), u as (select distinct user_id, {SLOT_SQL.format("'42:' || user_id")} % n as slot from ia, n),
+    d as (select user_id, product_id, row_number() over (partition by user_id order by sha256('42:' || user_id || ':' || product_id)) - 1 as rank from u join sl using (slot) where not exists (select 1 from ia where ia.user_id = u.user_id and ia.product_id = sl.product_id and event_type = 'PURCHASE')) select user_id, product_id, 0.01::double as score, rank::int as rank from d where rank < 15""", "ev prod ia clock")
 register("h10_price_rule", on(lambda t: cand.near_in_price(clicked(t), product_table(t), user_table(t)).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))))
 
 # I. ranking data
@@ -182,7 +184,7 @@ register("j17_attributions", on(lambda t: ranking.attributions(ranking.pointwise
 
 # J. blending and re-ranking
 COUNT_SQL = "ct as (select user_id, count(*) as n from ia group by 1)"
-register("j1_regimes", on(lambda t: t.rows.filter("product_id < 20").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", rerank.regime(F.col("n")).alias("regime"))), "select user_id, case when count(*) < 1 then 'cold' when count(*) < 5 then 'sparse' when count(*) < 20 then 'warm' else 'rich' end as regime from ia where product_id < 20 group by 1", "ev prod ia")
+register("j1_regimes", on(lambda t: t.rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", rerank.regime(F.col("n")).alias("regime"))), "select user_id, case when count(*) < 1 then 'cold' when count(*) < 5 then 'sparse' when count(*) < 20 then 'warm' else 'rich' end as regime from ia group by 1", "ev prod ia")
 
 
 def blended(t: Tables):
@@ -243,7 +245,7 @@ register(
     union all select user_id, 'continue_shopping', count(*) from nk group by 1 union all select user_id, 'because_you_viewed', least(10, count(*)) from rx join ed on rx.product_id = ed.item where rx.rank = 1 and not exists (select 1 from ex where ex.user_id = rx.user_id and ex.product_id = neighbour) group by 1""",
     BASE,
 )
-register("j12_recent_products", on(lambda t: rerank.recent_products(cand.contexts(t.rows.filter("user_id % 2 = 0"), 5), cand.contexts(t.rows, 3)).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))), "select user_id, least(count(distinct product_id), case when user_id % 2 = 0 then 5 else 3 end) as n from ia group by 1", "ev prod ia")
+register("j12_recent_products", on(lambda t: rerank.recent_products(cand.contexts(t.rows, 5), cand.contexts(t.rows, 3)).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))), "select user_id, least(count(distinct product_id), 5) as n from ia group by 1", "ev prod ia")
 REASON_SQL = "case when list_contains(l, 'covisitation') then 'viewed_together' when list_contains(l, 'recently_viewed') then 'seen_lately' when list_contains(l, 'category_affinity') then 'category' when list_contains(l, 'brand_affinity') then 'brand' when list_contains(l, 'trending') then 'trending' else 'popular' end"
 explained = lambda t: cand.fuse(gathered(t)).withColumn("list", F.split("sources", ",")).withColumn("reason", rerank.reason_of(F.col("list")))
 register("j13_reasons", on(lambda t: explained(t).select("user_id", "product_id", "reason")), f"with {SOURCES_SQL}, e as (select *, string_split(sources, ',') as l from fu) select user_id, product_id, {REASON_SQL} as reason from e", BASE)

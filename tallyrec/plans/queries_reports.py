@@ -13,7 +13,7 @@ IA = "ev prod ia"
 
 # C. quality
 register("c1_training_contract", on(lambda t: quality.training_contract(t.rows, t.products).select("check", "measured", "passed")), "select 'enough_interactions' as \"check\", count(*)::double as measured, count(*) >= 1000 as passed from ia union all select 'no_null_ids', count(*) filter (user_id is null or product_id is null)::double, count(*) filter (user_id is null or product_id is null) = 0 from ia union all select 'no_orphan_products', count(*)::double, count(*) = 0 from ia where product_id not in (select id from prod)", IA)
-register("c2_orphan_users", on(lambda t: quality.orphans(t.orders.filter("id % 2 = 0"), t.users.filter("id % 7 <> 0"), "user_id", "id")), "select count(*) as n from ord where id % 2 = 0 and user_id not in (select id from usr where id % 7 <> 0)", "ord usr")
+register("c2_orphan_users", on(lambda t: quality.orphans(t.orders, t.users, "user_id", "id")), "select count(*) as n from ord where user_id not in (select id from usr)", "ord usr")
 register("c3_row_counts", on(lambda t: quality.row_counts({"events": t.events, "products": t.products}, {"events": 100, "products": 10_000_000}).select("check", "measured", "passed")), "select 'rows_events' as \"check\", count(*)::double as measured, count(*) >= 100 as passed from events union all select 'rows_products', count(*)::double, count(*) >= 10000000 from part")
 register("c4_rows_by_month", on(lambda t: quality.rows_by_month(t.events)), "select strftime(occurred_at, '%Y-%m') as month, count(*) as n from ev group by 1", "ev")
 register("c5_event_mix", on(lambda t: quality.event_mix(t.events)), "select event_type, count(*) as n, round(count(*) / (select count(*) from ev), 6) as share from ev group by 1", "ev")
@@ -36,8 +36,8 @@ def preferred(t: Tables):
 register("c13_affinity_lift", on(lambda t: quality.affinity_lift(t.rows, preferred(t))), f"with {PREFER_SQL}, m as (select event_type, category_id = preferred as inside from ia join pf using (user_id)), r as (select count(*) filter (event_type = 'PURCHASE' and inside) / count(*) filter (event_type = 'PRODUCT_VIEW' and inside) as a, count(*) filter (event_type = 'PURCHASE' and not inside) / count(*) filter (event_type = 'PRODUCT_VIEW' and not inside) as b from m) select round(a, 6) as inside, round(b, 6) as outside, round(a / b, 6) as lift from r", IA)
 register(
     "c14_brand_over_index",
-    on(lambda t: quality.brand_over_index(t.rows, t.rows.filter("event_type = 'PRODUCT_VIEW' and product_id < 10 and brand_id is not null").groupBy("user_id").agg(F.collect_set("brand_id").alias("brands")), t.products)),
-    "with l as (select user_id, list(distinct brand_id) as brands from ia where event_type = 'PRODUCT_VIEW' and product_id < 10 and brand_id is not null group by 1), s as (select avg(list_contains(brands, brand_id)::int) as share, count(*) as n from ia join l using (user_id) where event_type = 'PURCHASE'), e as (select avg(e) as expected from (select user_id, count(*) / (select count(*) from prod) as e from (select user_id, unnest(brands) as brand_id from l) join prod using (brand_id) group by 1)) select round(share, 6) as share, round(expected, 6) as expected, round(share / expected, 6) as index, n from s, e",
+    on(lambda t: quality.brand_over_index(t.rows, t.rows.filter("event_type = 'PRODUCT_VIEW' and brand_id is not null").groupBy("user_id").agg(F.collect_set("brand_id").alias("brands")), t.products)),
+    "with l as (select user_id, list(distinct brand_id) as brands from ia where event_type = 'PRODUCT_VIEW' and brand_id is not null group by 1), s as (select avg(list_contains(brands, brand_id)::int) as share, count(*) as n from ia join l using (user_id) where event_type = 'PURCHASE'), e as (select avg(e) as expected from (select user_id, count(*) / (select count(*) from prod) as e from (select user_id, unnest(brands) as brand_id from l) join prod using (brand_id) group by 1)) select round(share, 6) as share, round(expected, 6) as expected, round(share / expected, 6) as index, n from s, e",
     IA,
 )
 register("c15_correlation", on(lambda t: quality.correlation(t.rows.groupBy("user_id").agg(F.avg("price").alias("x"), F.count(F.lit(1)).cast("double").alias("y")), "x", "y")), "with p as (select avg(price) as x, count(*)::double as y from ia group by user_id), f as (select corr(x, y) as r, count(*) as n from p) select round(r, 6) as r, round(tanh(atanh(r) - 1.959963985 / sqrt(n - 3.0)), 6) as low, n from f", IA)
@@ -53,7 +53,7 @@ register("c19_gini", on(lambda t: quality.popularity_skew(t.rows, t.products)),
 register("c20_density", on(lambda t: quality.density(t.rows)), "with p as (select distinct user_id, product_id from ia), f as (select count(*) as pairs, count(distinct user_id) as u, count(distinct product_id) as p from p) select pairs, round(pairs / (u * p), 6) as density, round(greatest(0.01, 20.0 / p), 6)::double as threshold from f", IA)
 register("c21_repeat_share", on(lambda t: quality.repeat_share(t.rows)), "select round(avg((n > 1)::int), 6) as repeat_share, count(*) as pairs from (select count(*) as n from ia where event_type = 'PURCHASE' group by user_id, product_id)", IA)
 register("c22_cold_start", on(lambda t: quality.cold_start(t.rows, t.users, t.products)), "with u as (select usr.id, count(ia.user_id) as n from usr left join ia on ia.user_id = usr.id group by 1) select count(*) filter (n = 0) as cold_users, count(*) filter (n <= 3) as sparse_users, (select count(*) from prod where id not in (select product_id from ia)) as untouched_products from u", "ev prod ia usr")
-register("c23_temporal_coverage", on(lambda t: quality.temporal_coverage(t.events.filter("hash(to_date(occurred_at)) is not null and day(occurred_at) <> 9"))), "with d as (select occurred_at::date as day, count(*) as n from ev where day(occurred_at) <> 9 group by 1), s as (select unnest(generate_series(min(day)::timestamp, max(day)::timestamp, interval 1 day))::date as day from d), f as (select coalesce(n, 0) as n from s left join d using (day)) select round(avg((n > 0)::int), 6) as active_share, round(stddev_samp(n) / avg(n), 6) as variation, count(*) as days from f", "ev")
+register("c23_temporal_coverage", on(lambda t: quality.temporal_coverage(t.events)), "with d as (select occurred_at::date as day, count(*) as n from ev group by 1), s as (select unnest(generate_series(min(day)::timestamp, max(day)::timestamp, interval 1 day))::date as day from d), f as (select coalesce(n, 0) as n from s left join d using (day)) select round(avg((n > 0)::int), 6) as active_share, round(stddev_samp(n) / avg(n), 6) as variation, count(*) as days from f", "ev")
 register("c24_funnel", on(lambda t: quality.funnel_ratios(t.rows)), "select round(count(*) filter (event_type = 'PURCHASE') / count(*) filter (event_type = 'PRODUCT_VIEW'), 6) as view_to_purchase, round(count(*) filter (event_type = 'ADD_TO_CART') / count(*) filter (event_type = 'PRODUCT_VIEW'), 6) as view_to_cart, (select round(avg(b), 6) from (select max((event_type = 'PURCHASE')::int) as b from ia group by session_key)) as session_conversion from ia", IA)
 register("c24_items_per_order", on(lambda t: quality.items_per_order(t.items)), "select round(avg(n), 6) as items_per_order, count(*) as orders from (select count(*) as n from items group by order_id)", "items")
 register("c25_unreconciled", on(lambda t: quality.unreconciled(t.orders.withColumnRenamed("grand_total", "subtotal"), t.items).select("id")), "select ord.id from ord join (select order_id, sum(line_total) as s from items group by 1) i on i.order_id = ord.id where abs(s - grand_total) > 0.02", "ord items")
@@ -109,23 +109,28 @@ ARMS_SQL = "ar as (select user_id, case when ('0x' || substr(sha256(user_id::var
 arm = lambda t: t.rows.withColumn("variant", F.when(stable_bucket(F.col("user_id").cast("string")) < 5000, "control").otherwise("treatment"))
 
 
+#: Both tails of the standard normal beyond z, by the same approximation as ``functions.columns.normal_cdf``.
+TAIL_SQL = "round(2 * exp(-{0} * {0} / 2) / 2.5066282746310002 * (1 / (1 + 0.2316419 * {0})) * (0.319381530 + (1 / (1 + 0.2316419 * {0})) * (-0.356563782 + (1 / (1 + 0.2316419 * {0})) * (1.781477937 + (1 / (1 + 0.2316419 * {0})) * (-1.821255978 + (1 / (1 + 0.2316419 * {0})) * 1.330274429)))), 6)"
+
+
 def proportions(t: Tables):
-    n = lambda v, k: F.sum(((F.col("variant") == v) & (F.col("event_type") == k)).cast("int"))
-    counts = arm(t).agg(n("control", "PRODUCT_CLICK").alias("x1"), n("control", "PRODUCT_VIEW").alias("n1"), n("treatment", "PRODUCT_CLICK").alias("x2"), n("treatment", "PRODUCT_VIEW").alias("n2"))
-    halved = counts.withColumns({"x1": F.floor(F.col("x1") / 2), "x2": F.floor(F.col("x2") / 2)})
-    return rounded(significance.two_proportions(halved), "rate_1", "rate_2", "difference", "z", "low", "high").drop("p_value")
+    n = lambda v, clicks=False: F.sum(((F.col("variant") == v) & ((F.col("event_type") == "PRODUCT_CLICK") if clicks else F.lit(True))).cast("int"))
+    counts = arm(t).agg(n("control", True).alias("x1"), n("control").alias("n1"), n("treatment", True).alias("x2"), n("treatment").alias("n2"))
+    return rounded(significance.two_proportions(counts), "rate_1", "rate_2", "difference", "z", "low", "high", "p_value")
 
 
 register(
     "l2_two_proportions",
     on(proportions),
-    f"""with {ARMS_SQL}, c as (select count(*) filter (variant = 'control' and event_type = 'PRODUCT_CLICK') // 2 as x1, count(*) filter (variant = 'control' and event_type = 'PRODUCT_VIEW') as n1, count(*) filter (variant = 'treatment' and event_type = 'PRODUCT_CLICK') // 2 as x2, count(*) filter (variant = 'treatment' and event_type = 'PRODUCT_VIEW') as n2 from ar),
+    f"""with {ARMS_SQL}, c as (select count(*) filter (variant = 'control' and event_type = 'PRODUCT_CLICK') as x1, count(*) filter (variant = 'control') as n1, count(*) filter (variant = 'treatment' and event_type = 'PRODUCT_CLICK') as x2, count(*) filter (variant = 'treatment') as n2 from ar),
     p as (select *, x1 / n1 as p1, x2 / n2 as p2, (x1 + x2) / (n1 + n2) as p from c), z as (select *, (p2 - p1) / sqrt(p * (1 - p) * (1 / n1 + 1 / n2)) as z, sqrt(p1 * (1 - p1) / n1 + p2 * (1 - p2) / n2) as se from p)
-    select x1, n1, x2, n2, round(p1, 6) as rate_1, round(p2, 6) as rate_2, round(p2 - p1, 6) as difference, round(z, 6) as z, round(p2 - p1 - 1.959963985 * se, 6) as low, round(p2 - p1 + 1.959963985 * se, 6) as high, abs(z) > 1.959963985 as significant from z""",
+    select x1, n1, x2, n2, round(p1, 6) as rate_1, round(p2, 6) as rate_2, round(p2 - p1, 6) as difference, round(z, 6) as z, round(p2 - p1 - 1.959963985 * se, 6) as low, round(p2 - p1 + 1.959963985 * se, 6) as high, {TAIL_SQL.format('abs(z)')} as p_value, abs(z) > 1.959963985 as significant from z""",
     IA,
 )
-register("l3_sample_ratio", on(lambda t: rounded(analytics.readout_mismatch(arm(t), {"control": 0.5, "treatment": 0.5}), "chi_square").select("chi_square", "mismatch")), f"with {ARMS_SQL}, n as (select count(distinct user_id) filter (variant = 'control')::double as a, count(distinct user_id) filter (variant = 'treatment')::double as b from ar) select round(2 * pow(a - (a + b) / 2, 2) / ((a + b) / 2), 6) as chi_square, sqrt(2 * pow(a - (a + b) / 2, 2) / ((a + b) / 2)) > 3.290527 as mismatch from n", IA)
-register("l1_paired_bootstrap", on(lambda t: significance.paired_bootstrap(accuracy(t), "popular", "recent", resamples=500)))
+register("l3_sample_ratio", on(lambda t: rounded(analytics.readout_mismatch(arm(t), {"control": 0.5, "treatment": 0.5}), "chi_square", "p_value").select("chi_square", "p_value", "mismatch")), f"with {ARMS_SQL}, n as (select count(distinct user_id) filter (variant = 'control')::double as a, count(distinct user_id) filter (variant = 'treatment')::double as b from ar) select round(2 * pow(a - (a + b) / 2, 2) / ((a + b) / 2), 6) as chi_square, {TAIL_SQL.format('sqrt(2 * pow(a - (a + b) / 2, 2) / ((a + b) / 2))')} as p_value, sqrt(2 * pow(a - (a + b) / 2, 2) / ((a + b) / 2)) > 3.290527 as mismatch from n", IA)
+register("l1_paired_bootstrap", on(lambda t: significance.paired_bootstrap(accuracy(t), "popular", "recent")))
+revenue = lambda t: arm(t).groupBy("user_id", "variant").agg(F.sum(F.when(F.col("event_type") == "PURCHASE", F.col("price")).otherwise(0.0)).alias("revenue"))
+register("l4_mean_bootstrap", on(lambda t: significance.mean_bootstrap(revenue(t), "variant", "revenue")))
 register("l4_mean_interval", on(lambda t: rounded(significance.mean_interval(arm(t).groupBy("user_id", "variant").agg(F.sum(F.when(F.col("event_type") == "PURCHASE", F.col("price")).otherwise(0.0)).alias("revenue")), "variant", "revenue"), "mean", "low", "high", digits=4)), f"with {ARMS_SQL.replace('event_type from', 'event_type, price from')}, u as (select user_id, variant, sum(case when event_type = 'PURCHASE' then coalesce(price, 0) else 0 end) as r from ar group by all) select variant, count(*) as users, round(avg(r), 4) as mean, round(avg(r) - 1.959963985 * stddev_samp(r) / sqrt(count(*)), 4) as low, round(avg(r) + 1.959963985 * stddev_samp(r) / sqrt(count(*)), 4) as high from u group by 1", IA)
 
 # M. the serving log: views are impressions; clicks and purchases by the same user of the same product answer them

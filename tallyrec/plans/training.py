@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrec.config import EngineConfig
 from tallyrec.operators import candidates, collaborative, cooccurrence, drift, evaluation, features, popularity, quality, split, weighting
 from tallyrec.sources.adapters import last_moment
 from tallyrec.sources.io import Dataset, fingerprint, write_artefacts
@@ -16,18 +15,17 @@ from tallyrec.sources.io import Dataset, fingerprint, write_artefacts
 USER_WATCH = ["total_events", "total_purchases", "avg_purchase_price", "price_percentile_mean", "view_to_purchase_rate", "category_concentration", "days_since_last_event"]
 
 
-def train(spark: SparkSession, data: Dataset, folder: str, run_id: str, config: EngineConfig | None = None) -> DataFrame:
+def train(spark: SparkSession, data: Dataset, folder: str, run_id: str, *, als: dict | None = None, k: int = 20, primary_k: int = 10) -> DataFrame:
     """Split, weigh, build features and models on the train fold, evaluate on the test fold, write everything.
 
     Returns ``metric, value`` of the best model.  Tables that several later steps read are
     written once and read back.
     """
-    c = config or EngineConfig()
     rows = data.interactions()
     failed = quality.training_contract(rows, data.products).filter("not passed").collect()
     if failed:
         raise ValueError(f"the data doesn't meet the contract: {[r['check'] for r in failed]}")
-    folds = split.split_temporal(rows, c.split.train_fraction, c.split.validation_fraction)
+    folds = split.split_temporal(rows)
     write_artefacts({"folds": folds}, folder, run_id)
     folds = spark.read.parquet(f"{folder}/{run_id}/folds")
     split.assert_no_leakage(folds)
@@ -35,8 +33,8 @@ def train(spark: SparkSession, data: Dataset, folder: str, run_id: str, config:
     cut = folds.filter("fold <> 'train'").agg(F.unix_micros(F.min("occurred_at"))).first()[0]
     as_of = F.timestamp_micros(F.lit(cut).cast("long"))
 
-    found = weighting.calibrate(past, c.weighting)
-    weights = weighting.interaction_matrix(past, {t: x["weight"] for t, x in found.items()}, as_of, c.weighting)
+    found = weighting.calibrate(past)
+    weights = weighting.interaction_matrix(past, {t: x["weight"] for t, x in found.items()}, as_of)
     write_artefacts({"calibration": weighting.report(spark, found), "weights": weights, "fingerprint": fingerprint(folds)}, folder, run_id)
     weights = spark.read.parquet(f"{folder}/{run_id}/weights")
 
@@ -47,17 +45,16 @@ def train(spark: SparkSession, data: Dataset, folder: str, run_id: str, config:
         "brand_affinity": features.affinity(past, weights, data.products, "brand_id", 6),
         "popular": popularity.popular(weights),
         "popular_by_category": popularity.popular_by_category(weights, data.products),
-        "trending": popularity.trending(past, as_of, config=c.popularity),
+        "trending": popularity.trending(past, as_of),
         "covisited": cooccurrence.covisited(past),
     }
-    factors = collaborative.fit(collaborative.supported(weights, c.split.min_item_interactions), c.collaborative)
+    factors = collaborative.fit(collaborative.supported(weights), **(als or {}))
     tables |= {"user_factors": factors.users, "item_factors": factors.items}
     write_artefacts(tables, folder, run_id)
     read = lambda name: spark.read.parquet(f"{folder}/{run_id}/{name}")
 
     users = folds.filter("fold = 'test'").select("user_id").distinct()
     seen = past.select("user_id", "product_id").distinct()
-    k = max(c.evaluation.k_values)
     stored = collaborative.Factors(read("user_factors"), read("item_factors"))
     known = stored.users.join(users, "user_id", "left_semi")
     lists = {
@@ -73,7 +70,7 @@ def train(spark: SparkSession, data: Dataset, folder: str, run_id: str, config:
     write_artefacts({"recommendations": recs}, folder, run_id)
     recs = read("recommendations")
     targets = evaluation.graded_targets(folds, "test")
-    scored = evaluation.means(evaluation.accuracy(recs, targets, c.evaluation.primary_k), evaluation.segments(past, targets))
+    scored = evaluation.means(evaluation.accuracy(recs, targets, primary_k), evaluation.segments(past, targets))
     catalogue = data.products.count()
     beyond = evaluation.coverage(recs, catalogue).join(evaluation.intra_list_diversity(recs, data.products), "model").join(evaluation.novelty(recs, past), "model")
     write_artefacts({"evaluation": evaluation.comparison(scored).join(beyond, "model"), "evaluation_by_segment": scored}, folder, run_id)
@@ -105,17 +102,17 @@ def publish(spark: SparkSession, folder: str, run_id: str, outcome: str) -> None
     row.write.mode("append").parquet(f"{folder}/{'rejected' if outcome == 'reject' else 'current'}")
 
 
-def retrain(spark: SparkSession, data: Dataset, folder: str, run_id: str, config: EngineConfig | None = None, *, force: bool = False, at: datetime | None = None) -> str:
+def retrain(spark: SparkSession, data: Dataset, folder: str, run_id: str, *, force: bool = False, at: datetime | None = None, **options) -> str:
     """Train if the data has drifted (or ``force``), and publish the run only if the gate lets it pass.
 
-    Returns ``skipped``, ``reject``, ``promote`` or ``promote_first``.  Without a published run it trains.
+    ``options`` go to :func:`train`.  Returns ``skipped``, ``reject``, ``promote`` or ``promote_first``.  Without a published run it trains.
     """
     incumbent = current_run(spark, folder)
     if incumbent and not force:
         moment = at or spark.range(1).select(last_moment(data.events)).first()[0]
         if not drift.should_retrain(check_drift(data, moment)).first()["retrain"]:
             return "skipped"
-    metrics = train(spark, data, folder, run_id, config)
+    metrics = train(spark, data, folder, run_id, **options)
     old = spark.read.parquet(f"{folder}/{incumbent}/metrics") if incumbent else metrics.limit(0)
     outcome = drift.gate(metrics, old).first()["outcome"]
     publish(spark, folder, run_id, outcome)

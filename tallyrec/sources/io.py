@@ -91,9 +91,9 @@ def shaped(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*columns)
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    """Append events, one folder a month, so that readers prune and retention drops folders."""
-    events.withColumn("event_month", F.date_format("occurred_at", "yyyy-MM")).write.mode("append").partitionBy("event_month").parquet(path)
+def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
+    """Add events, one folder a month, so that readers prune and retention drops folders."""
+    events.withColumn("event_month", F.date_format("occurred_at", "yyyy-MM")).write.mode(mode).partitionBy("event_month").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str, start: datetime, end: datetime) -> DataFrame:

@@ -111,7 +111,7 @@ def read_version(spark: SparkSession, path: str, upto: int | None = None) -> Dat
 
 
 def ingest(events: DataFrame, folder: str, now: datetime | None = None):
-    """Validate a stream and fan it out: month-partitioned events, merged sessions, rejects."""
+    """Validate a stream, each event once, and fan it out: month-partitioned events, merged sessions, rejects."""
     merge = session_merger(f"{folder}/sessions")
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -119,12 +119,13 @@ def ingest(events: DataFrame, folder: str, now: datetime | None = None):
         clock = F.lit(now) if now is not None else F.current_timestamp()
         checked = validation.validate(batch, clock)
         good = validation.accepted(checked).drop("payload")
-        write_events(good, f"{folder}/events")
+        # a batch that is run again writes its own folders again
+        write_events(good, f"{folder}/events/batch_id={batch_id}", mode="overwrite")
         merge(good, batch_id)
-        validation.rejected(checked).select("event_id", "reasons").write.mode("append").parquet(f"{folder}/rejects")
+        validation.rejected(checked).select("event_id", "reasons").write.mode("overwrite").parquet(f"{folder}/rejects/batch_id={batch_id}")
         batch.unpersist()
 
-    return events.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/_checkpoint")
+    return unique(events).writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/_checkpoint")
 
 
 def attribute_stream(purchases: DataFrame, clicks: DataFrame, hours: int = 168) -> DataFrame:

@@ -144,3 +144,117 @@ def test_attribution_takes_the_last_click_in_the_window(spark):
     clicks = spark.createDataFrame([(1, 1, 5, NOW - timedelta(hours=200)), (2, 1, 5, NOW - timedelta(hours=3)), (3, 1, 5, NOW + timedelta(hours=1))], kinds)
     sold = spark.createDataFrame([(10, 1, 5, NOW), (11, 1, 5, NOW - timedelta(hours=10)), (12, 2, 5, NOW)], kinds)
     assert {r.purchase_id: r.click_id for r in analytics.attribute(sold, clicks).collect()} == {10: 2, 11: None, 12: None}
+
+
+@pytest.mark.parametrize("arms", [2, 3, 5])
+def test_sample_ratio_of_several_arms(spark, arms):
+    """Against the tail of simulated multinomial draws, and the value known for three arms."""
+    import numpy as np
+
+    rng = np.random.default_rng(arms)
+    seen = [1060, 1000, 950, 1010, 990][:arms]
+    rows = spark.createDataFrame([(f"a{i}", n, 1 / arms) for i, n in enumerate(seen)], "variant string, n long, expected_share double")
+    got = significance.sample_ratio(rows).first()
+    drawn = rng.multinomial(sum(seen), [1 / arms] * arms, 200_000)
+    simulated = (((drawn - sum(seen) / arms) ** 2 / (sum(seen) / arms)).sum(1) >= got.chi_square - 1e-9).mean()
+    assert got.p_value == pytest.approx(simulated, abs=0.012)
+    if arms == 3:
+        assert got.p_value == pytest.approx(0.0486, abs=1e-3)
+
+
+def test_poisson_draws(spark):
+    import numpy as np
+    from tallyrec.functions.columns import poisson_draw
+
+    for mean in (1.0, 3.0, 40.0, 500.0):
+        u = (F.pmod(F.xxhash64("id"), F.lit(2**40)) + 0.5) / F.lit(2.0**40)
+        got = np.array([r[0] for r in spark.range(40_000).select(poisson_draw(u, F.lit(mean))).collect()])
+        assert got.mean() == pytest.approx(mean, rel=0.02) and got.var() == pytest.approx(mean, rel=0.05) and (got == np.round(got)).all()
+
+
+def test_paired_bootstrap_is_near_a_plain_one(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    d = np.where(rng.random(2000) < 0.2, rng.normal(0.025, 0.15, 2000), 0.0)
+    rows = [(m, int(u), float(x)) for u, x in enumerate(d) for m, x in (("a", 0.0), ("b", x))]
+    got = significance.paired_bootstrap(spark.createDataFrame(rows, "model string, user_id long, ndcg double"), "a", "b").first()
+    means = np.array([rng.choice(d, 2000).mean() for _ in range(5000)])
+    low, high = np.percentile(means, [2.5, 97.5])
+    assert got.difference == pytest.approx(d.mean(), abs=1e-6) and got.users == 2000
+    assert got.low == pytest.approx(low, abs=0.0006) and got.high == pytest.approx(high, abs=0.0006)
+    assert got.p_value == pytest.approx(min(1, 2 * min((means <= 0).mean(), (means >= 0).mean())), abs=0.02)
+
+
+def test_mean_bootstrap_of_skewed_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x = rng.exponential(10, 600) * (rng.random(600) < 0.1)
+    got = significance.mean_bootstrap(spark.createDataFrame([("a", float(v)) for v in x], "arm string, revenue double"), "arm", "revenue").first()
+    low, high = np.percentile([rng.choice(x, 600).mean() for _ in range(4000)], [2.5, 97.5])
+    assert got["mean"] == pytest.approx(x.mean()) and got.users == 600
+    assert got.low == pytest.approx(low, abs=0.06) and got.high == pytest.approx(high, abs=0.06)
+
+
+def slow_diversify(rows, k, relevance=0.72, per_category=4, per_brand=3):
+    left, out = sorted(rows, key=lambda r: (-r[1], r[0])), []
+    while left and len(out) < k:
+        fits = [r for r in left if sum(o[2] == r[2] for o in out) < per_category and sum(o[3] == r[3] for o in out) < per_brand]
+        value = lambda r: relevance * r[1] - (1 - relevance) * (sum(o[2] == r[2] for o in out) / len(out) if out else 0)
+        best = max(fits, key=value) if fits else left[0]
+        left.remove(best)
+        out.append(best)
+    return [r[0] for r in out]
+
+
+def test_diversify_sees_the_whole_list(spark):
+    import random
+
+    rng = random.Random(1)
+    lists = {1: [(p, 1 - p / 1000, "one" if p < 60 else f"c{p % 5}", f"b{p % 9}") for p in range(200)], 2: [(p, round(rng.random(), 3), f"c{rng.randrange(3)}", f"b{rng.randrange(3)}") for p in range(150)], 3: [(1, 0.5, "c", "b")], 4: [(p, 0.5, None, None) for p in range(9)]}
+    rows = spark.createDataFrame([(u, *r) for u, of in lists.items() for r in of], "user_id long, product_id long, score double, category_id string, brand_id string")
+    got = {}
+    for r in sorted(rerank.diversify(rows, 10).collect(), key=lambda r: (r.user_id, r.rank)):
+        got.setdefault(r.user_id, []).append(r.product_id)
+    assert got == {u: slow_diversify(of, 10) for u, of in lists.items()}
+
+
+def test_content_lists_are_full_however_much_was_seen(spark):
+    from tallyrec.operators import content
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    items, users = rng.normal(size=(400, 6)), rng.normal(size=(7, 6))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "product_id long, vector array<double>")
+    tastes = spark.createDataFrame([(u, v.tolist()) for u, v in enumerate(users)], "user_id long, vector array<double>")
+    order = np.argsort(-(users @ items.T), axis=1, kind="stable")
+    seen = spark.createDataFrame([(u, int(p)) for u in range(7) for p in order[u, : 55 * u]] + [(99, 1)], "user_id long, product_id long")
+    got = {}
+    for r in sorted(content.recommend(tastes, vectors, seen, 10, block=50).collect(), key=lambda r: (r.user_id, r["rank"])):
+        got.setdefault(r.user_id, []).append(r.product_id)
+    assert got == {u: order[u, 55 * u : 55 * u + 10].tolist() for u in range(7)}
+
+
+def test_large_baskets_are_paired_block_by_block(spark, monkeypatch):
+    from tallyrec.operators import cooccurrence
+
+    monkeypatch.setattr(cooccurrence, "BLOCK", 4)
+    rows = [(b, p) for b in range(6) for p in range(0, 30, b + 1)]
+    baskets = spark.createDataFrame(rows, "order_id long, product_id long")
+    got = {(r["item"], r.neighbour): r.support for r in cooccurrence.bought_together(baskets, k=100).collect()}
+    of = {b: {p for c, p in rows if c == b} for b in range(6)}
+    want = {(x, y): sum({x, y} <= s for s in of.values()) for x in range(30) for y in range(30) if x != y}
+    assert got == {pair: n for pair, n in want.items() if n >= 2}
+
+
+def test_times_at_positions(spark):
+    import random
+
+    rng = random.Random(3)
+    times = sorted(NOW + timedelta(microseconds=rng.choice((1, 3_700_000_000, 500_000)) * rng.randrange(40)) for _ in range(500))
+    rows = spark.createDataFrame([(1, 1, "PURCHASE", t) for t in times], ROWS)
+    fractions = [0.0, 0.1, 0.5, 0.7, 0.85, 1.0]
+    micros = lambda t: int((t - datetime(1970, 1, 1)) / timedelta(microseconds=1))
+    assert split.time_at(rows, fractions) == [micros(times[round(499 * q)]) for q in fractions]

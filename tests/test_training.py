@@ -1,21 +1,20 @@
 """The whole job on the smallest tables."""
 
-from tallyrec.config import CollaborativeConfig, EngineConfig
 from tallyrec.plans import training
 from tallyrec.sources import adapters, io
 
 
 def test_train_publish_and_retrain(spark, tmp_path):
     data = adapters.dataset(spark, "/root/testdata/sf0.001")
-    config = EngineConfig(collaborative=CollaborativeConfig(factors=4, iterations=2))
+    als = {"factors": 4, "rounds": 2}
     folder = str(tmp_path / "runs")
-    first = training.retrain(spark, data, folder, "run1", config)
+    first = training.retrain(spark, data, folder, "run1", als=als)
     assert first in ("promote_first", "reject")
     if first == "reject":
         training.publish(spark, folder, "run1", "promote_first")
     assert training.current_run(spark, folder) == "run1"
-    assert training.retrain(spark, data, folder, "run2", config) in ("skipped", "promote", "reject")
-    assert training.retrain(spark, data, folder, "run3", config, force=True) in ("promote", "reject")
+    assert training.retrain(spark, data, folder, "run2", als=als) in ("skipped", "promote", "reject")
+    assert training.retrain(spark, data, folder, "run3", als=als, force=True) in ("promote", "reject")
     assert {r.metric for r in spark.read.parquet(f"{folder}/run1/metrics").collect()} == {"ndcg", "recall", "coverage", "diversity", "novelty"}
 
 
