@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyrec.functions.columns import minmax_within, stable_bucket, top_k
 from tallyrec.operators.content import dot, similar
+from tallyrec.session import checkpointed
 
 
 def supported(weights: DataFrame, least: int = 2) -> DataFrame:
@@ -22,7 +23,8 @@ def dense_index(ids: DataFrame, column: str, out: str) -> DataFrame:
 
     Ids are sorted over many tasks; a task's offset is the sum of the counts before it, one row a task.
     """
-    ordered = ids.select(column).distinct().sort(column).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    # checkpointed, as another run of the sort could deal the ids out otherwise
+    ordered = checkpointed(ids.select(column).distinct().sort(column)).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     counts = {r["part"]: r["count"] for r in ordered.groupBy("part").count().collect()}
     offsets, total = {}, 0
     for part in sorted(counts):
@@ -42,10 +44,16 @@ class Factors:
 
 def fit(weights: DataFrame, *, factors: int = 64, rounds: int = 20, regularisation: float = 0.1, alpha: float = 2.0, seed: int = 42) -> Factors:
     """``weights (user_id, product_id, weight)``: confidence ``1 + alpha * weight``."""
-    users, items = dense_index(weights, "user_id", "u").persist(), dense_index(weights, "product_id", "i").persist()
-    rows = weights.join(users, "user_id").join(items, "product_id").select("u", "i", F.col("weight").cast("float").alias("r"))
-    model = ALS(userCol="u", itemCol="i", ratingCol="r", implicitPrefs=True, rank=factors, alpha=alpha, regParam=regularisation, maxIter=rounds, seed=seed, coldStartStrategy="drop").fit(rows)
+    als = ALS(userCol="u", itemCol="i", ratingCol="r", implicitPrefs=True, rank=factors, alpha=alpha, regParam=regularisation, maxIter=rounds, seed=seed, coldStartStrategy="drop")
     as_double = F.col("features").cast("array<double>").alias("vector")
+    rating = F.col("weight").cast("float").alias("r")
+    ends = weights.agg(F.least(F.min("user_id"), F.min("product_id")).alias("lo"), F.greatest(F.max("user_id"), F.max("product_id")).alias("hi")).first()
+    if ends["lo"] is not None and ends["lo"] >= 0 and ends["hi"] < 2**31:
+        # the model's ids are integers; where the own ids are such, no index is needed
+        model = als.fit(weights.select(F.col("user_id").cast("int").alias("u"), F.col("product_id").cast("int").alias("i"), rating))
+        return Factors(*[f.select(F.col("id").cast(weights.schema[c].dataType).alias(c), as_double) for f, c in ((model.userFactors, "user_id"), (model.itemFactors, "product_id"))])
+    users, items = dense_index(weights, "user_id", "u"), dense_index(weights, "product_id", "i")
+    model = als.fit(weights.join(users, "user_id").join(items, "product_id").select("u", "i", rating))
     return Factors(
         model.userFactors.join(users, F.col("id") == F.col("u")).select("user_id", as_double),
         model.itemFactors.join(items, F.col("id") == F.col("i")).select("product_id", as_double),

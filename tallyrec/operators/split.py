@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyrec.functions.columns import mapped
+
 FOLD_ORDER = ("train", "validation", "test")
 
 
@@ -44,11 +46,14 @@ def time_at(rows: DataFrame, fractions: list[float], column: str = "occurred_at"
     return [lo for _, (lo, _) in places]
 
 
-def split_temporal(rows: DataFrame, train: float = 0.70, validation: float = 0.15) -> DataFrame:
-    """``rows`` with their ``fold``: train before the first boundary, test from the second on."""
+def split_temporal(rows: DataFrame, train: float = 0.70, validation: float = 0.15, times: DataFrame | None = None) -> DataFrame:
+    """``rows`` with their ``fold``: train before the first boundary, test from the second on.
+
+    ``times`` may give the same ``occurred_at`` from a plainer table, so that what ``rows`` is joined from isn't read for them.
+    """
     if not (0 < train < 1 and 0 < validation < 1 and train + validation < 1):
         raise ValueError("fractions must be positive and leave something for the test fold")
-    first, second = time_at(rows, [train, train + validation])
+    first, second = time_at(rows if times is None else times, [train, train + validation])
     at = F.unix_micros("occurred_at")
     return rows.withColumn("fold", F.when(at < first, "train").when(at < second, "validation").otherwise("test"))
 
@@ -57,14 +62,27 @@ def fold_summary(folds: DataFrame) -> DataFrame:
     return folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("user_id").alias("users"), F.countDistinct("product_id").alias("items"), F.unix_micros(F.min("occurred_at")).alias("first_us"), F.unix_micros(F.max("occurred_at")).alias("last_us"))
 
 
+def fold_order(folds: DataFrame) -> DataFrame:
+    """``fold, next_fold, in_order`` for folds that are there and next to one another."""
+    follows = mapped(F.col("fold"), dict(zip(FOLD_ORDER, FOLD_ORDER[1:], strict=False)))
+    ends = folds.groupBy("fold").agg(F.min("occurred_at").alias("lo"), F.max("occurred_at").alias("hi"))
+    after = ends.select(F.col("fold").alias("next_fold"), F.col("lo").alias("next_lo"))
+    return ends.withColumn("next_fold", follows).join(after, "next_fold").select("fold", "next_fold", (F.col("hi") < F.col("next_lo")).alias("in_order"))
+
+
 def assert_no_leakage(folds: DataFrame) -> None:
-    """Raise unless the folds follow one another in time."""
-    found = {r["fold"]: r for r in folds.groupBy("fold").agg(F.min("occurred_at").alias("lo"), F.max("occurred_at").alias("hi")).collect()}
-    if set(found) != set(FOLD_ORDER):
-        raise ValueError(f"folds are missing: {sorted(set(FOLD_ORDER) - set(found))}")
-    for a, b in zip(FOLD_ORDER, FOLD_ORDER[1:], strict=False):
-        if not found[a]["hi"] < found[b]["lo"]:
-            raise ValueError(f"{a} reaches into {b}")
+    """Raise unless all folds are there and follow one another in time."""
+    found = {r["fold"]: r["in_order"] for r in fold_order(folds).collect()}
+    if set(found) != set(FOLD_ORDER[:-1]):
+        raise ValueError(f"folds are missing: only {sorted(found)} are followed by their next one")
+    late = [fold for fold, fine in found.items() if not fine]
+    if late:
+        raise ValueError(f"{late} reach into the folds after them")
+
+
+def rows_after(rows: DataFrame, as_of: Column, column: str = "occurred_at") -> DataFrame:
+    """``n``: how many rows are at or after ``as_of``."""
+    return rows.filter(F.col(column) >= as_of).agg(F.count(F.lit(1)).alias("n"))
 
 
 def assert_before(rows: DataFrame, as_of: Column, column: str = "occurred_at") -> None:

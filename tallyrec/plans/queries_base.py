@@ -116,8 +116,10 @@ def _feedback(t: Tables):
 FOLD_SQL = """ranked as (select *, row_number() over (order by us) - 1 as pos, count(*) over () as n from ia),
 cuts as (select max(us) filter (pos = round_even((n - 1) * 0.7::double, 0)) as t1, max(us) filter (pos = round_even((n - 1) * (0.7::double + 0.15::double), 0)) as t2 from ranked),
 folds as (select ia.*, case when us < t1 then 'train' when us < t2 then 'validation' else 'test' end as fold from ia, cuts)"""
-folds = lambda t: split.split_temporal(t.rows)
+folds = lambda t: split.split_temporal(t.rows, times=t.events.filter("product_id is not null"))
 register("d1_split", on(lambda t: split.fold_summary(folds(t))), f"with {FOLD_SQL} select fold, count(*) as n_rows, count(distinct user_id) as users, count(distinct product_id) as items, min(us) as first_us, max(us) as last_us from folds group by all", "ev prod ia")
+register("d2_fold_order", on(lambda t: split.fold_order(folds(t))), f"with {FOLD_SQL}, b as (select fold, min(us) as lo, max(us) as hi from folds group by 1) select a.fold, n.fold as next_fold, a.hi < n.lo as in_order from b a join b n on (a.fold, n.fold) in (('train', 'validation'), ('validation', 'test'))", "ev prod ia")
+register("d3_rows_after", on(lambda t: split.rows_after(folds(t).filter("fold <> 'test'"), t.now)), f"with {FOLD_SQL} select count(*) as n from folds, (select max(us) as now_us from ev) where fold <> 'test' and us >= now_us", "ev prod ia")
 register("d4_targets", on(lambda t: split.targets(folds(t), "test")), f"with {FOLD_SQL} select distinct user_id, product_id from folds where fold = 'test' and event_type in ('PURCHASE', 'ADD_TO_CART', 'PRODUCT_CLICK')", "ev prod ia")
 register("d5_eligible_users", on(lambda t: split.eligible_users(folds(t), "test", 40)), f"with {FOLD_SQL} select distinct user_id from folds where fold = 'test' and user_id in (select user_id from folds where fold = 'train' group by 1 having count(*) >= 40)", "ev prod ia")
 register("a13_fingerprint", on(lambda t: io.fingerprint(folds(t))), f"with {FOLD_SQL}, f as (select concat_ws(':', fold, count(*), min(us), max(us), count(distinct user_id), count(distinct product_id)) as line from folds group by fold) select substr(sha256(string_agg(line, '|' order by line)), 1, 16) as fingerprint from f", "ev prod ia")
@@ -238,5 +240,15 @@ def popular_lists(t: Tables, k: int = 10):
 
 
 register("g5_popular_for_users", on(lambda t: rounded(popular_lists(t), "score").select("user_id", "product_id", "score", "rank")), f"with {MATRIX_SQL}, {POP_SQL}, {CAT_SQL}, {AFF_SQL.format(level='category_id', n=10)}, {RECOMMEND_SQL.format(share=0.15)} select user_id, product_id, round(score, 6) as score, row_number() over (partition by user_id order by score desc, product_id)::int as rank from rc qualify rank <= 10", "ev prod ia clock")
+TREND_CAT_SQL = CAT_SQL.replace("from sp join prod on sp.", "from ft as sp join prod on sp.")
+
+
+def trending_lists(t: Tables, k: int = 10):
+    w = matrix(t)
+    return popularity.recommend(features.affinity(t.rows, w, t.products, "category_id", 10), popularity.trending_by_category(t.rows, t.products, t.now), popularity.trending(t.rows, t.now), seen_pairs(t), t.rows.select("user_id").distinct(), k, share=0.25)
+
+
+seen_pairs = lambda t: t.rows.select("user_id", "product_id").distinct()
+register("g7_trending_for_users", on(lambda t: rounded(trending_lists(t), "score").select("user_id", "product_id", "score", "rank")), f"with {MATRIX_SQL}, {TREND_FIT}, {TREND_CAT_SQL}, {AFF_SQL.format(level='category_id', n=10)}, {RECOMMEND_SQL.format(share=0.25).replace('from sp)', 'from ft)')} select user_id, product_id, round(score, 6) as score, row_number() over (partition by user_id order by score desc, product_id)::int as rank from rc qualify rank <= 10", "ev prod ia clock")
 register("g27_top_by_brand", on(lambda t: rounded(popularity.top_by_group(popularity.popular(matrix(t), 5000), t.products, "brand_id", 40), "score").select("brand_id", "product_id", "score", "rank")), f"with {MATRIX_SQL}, {POP_SQL}, al as (select product_id, (s - min(s) over ()) / (max(s) over () - min(s) over ()) as score from sp) select brand_id, prod.id as product_id, round(coalesce(score, 0), 6) as score, row_number() over (partition by brand_id order by coalesce(score, 0) desc, prod.id)::int as rank from prod left join al on al.product_id = prod.id qualify rank <= 40", "ev prod ia clock")
 assert TREND_WEIGHTS["PURCHASE"] == 12.0

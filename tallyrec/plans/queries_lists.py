@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyrec.operators import candidates as cand
 from tallyrec.operators import collaborative, content, cooccurrence, evaluation, features, popularity, ranking, rerank
 from tallyrec.functions.columns import top_k
-from tallyrec.plans.queries_base import AFF_SQL, FOLD_SQL, MATRIX_SQL, POP_SQL, PRE_SQL, PRODUCT_SQL, TREND_FIT, folds, matrix, pair_table, product_table, user_table
+from tallyrec.plans.queries_base import AFF_SQL, FOLD_SQL, MATRIX_SQL, POP_SQL, PRE_SQL, PRODUCT_SQL, TREND_FIT, USER_SQL, folds, matrix, pair_table, product_table, user_table
 from tallyrec.plans.registry import Tables, on, register, rounded
 
 BASE = "ev prod ia clock"
@@ -73,7 +73,7 @@ register("g10_reduced_text", on(lambda t: content.reduce_rank(text_vectors(t), 1
 register("g11_attributes", on(lambda t: content.attribute_vectors(t.products)))
 register("g12_content_vectors", on(content_vectors))
 register("g13_similar_products", on(lambda t: content.similar(content_vectors(t), 10)))
-register("g13_similar_embeddings", on(lambda t: rounded(content.similar(content.as_vectors(t.raw("embeddings")), 5), "score", digits=5).select("item", "neighbour", "score", "rank")))
+register("g13_similar_embeddings", on(lambda t: rounded(content.similar(content.as_vectors(t.raw("embeddings")), 5), "score", digits=5).select("item", "neighbour", "score", "rank")), "with e as (select vec_id as id, embedding::double[] as v from embeddings), p as (select a.id as item, b.id as neighbour, list_cosine_similarity(a.v, b.v) as score from e a join e b on a.id <> b.id) select item, neighbour, round(score, 5) as score, row_number() over (partition by item order by score desc, neighbour)::int as rank from p qualify rank <= 5")
 register("g14_taste", on(lambda t: content.taste(cand.contexts(t.rows), content_vectors(t))))
 register("g15_content_for_users", on(lambda t: content.recommend(content.taste(cand.contexts(t.rows), v := content_vectors(t)), v, seen(t), 10)))
 register("g18_als_factors", on(lambda t: collaborative.fit(collaborative.supported(matrix(t))).items))
@@ -127,23 +127,23 @@ fu as (select user_id, product_id, sum(1.0::double / (60 + rank)) as fused, coun
 register("h8_gathered_sources", on(lambda t: gathered(t).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.sum("rank").alias("ranks"))), f"with {SOURCES_SQL} select source, count(*) as n, count(distinct user_id) as users, sum(rank)::bigint as ranks from ga group by 1", BASE)
 register("h9_fused", on(lambda t: rounded(cand.fuse(gathered(t)), "fused", digits=9)), f"with {SOURCES_SQL} select user_id, product_id, round(fused, 9) as fused, agreement, sources from fu", BASE)
 register("h10_rules", on(lambda t: rounded(cand.allowed(cand.fuse(gathered(t)), t.products, bought(t)), "fused", digits=9).select("user_id", "product_id", "fused")), f"with {SOURCES_SQL} select user_id, product_id, round(fused, 9) as fused from fu join prod on fu.product_id = prod.id where is_active and stock_quantity > 0", BASE)
-register("h11_pool", on(lambda t: cand.pool(cand.fuse(gathered(t)).withColumn("fused", F.round("fused", 12)), 50).select("user_id", "product_id", "rank")), f"with {SOURCES_SQL} select user_id, product_id, row_number() over (partition by user_id order by round(fused, 12) desc, product_id)::int as rank from fu qualify rank <= 50", BASE)
+register("h11_pool", on(lambda t: cand.pool(cand.fuse(gathered(t)).withColumn("fused", F.round("fused", 12)), 300).select("user_id", "product_id", "rank")), f"with {SOURCES_SQL} select user_id, product_id, row_number() over (partition by user_id order by round(fused, 12) desc, product_id)::int as rank from fu qualify rank <= 300", BASE)
 register("h12_provenance", on(lambda t: cand.provenance(gathered(t)).select("user_id", "product_id", F.size("ranks").alias("n"), F.array_join(F.array_sort(F.map_keys("ranks")), ",").alias("sources"))), f"with {SOURCES_SQL} select user_id, product_id, agreement::int as n, sources from fu", BASE)
 WANTED_SQL = "wt as (select distinct user_id, product_id from ia where event_type = 'PRODUCT_CLICK')"
 clicked = lambda t: t.rows.filter("event_type = 'PRODUCT_CLICK'").select("user_id", "product_id").distinct()
-register("h13_recall", on(lambda t: rounded(cand.recall(cand.pool(cand.fuse(gathered(t)).withColumn("fused", F.round("fused", 12)), 50), clicked(t)), "recall")), f"with {SOURCES_SQL}, {WANTED_SQL}, pl_ as (select user_id, product_id from fu qualify row_number() over (partition by user_id order by round(fused, 12) desc, product_id) <= 50) select round(avg(r), 6) as recall, count(*) as users from (select wt.user_id, avg((pl_.user_id is not null)::int) as r from wt left join pl_ using (user_id, product_id) group by 1)", BASE)
+register("h13_recall", on(lambda t: rounded(cand.recall(cand.pool(cand.fuse(gathered(t)).withColumn("fused", F.round("fused", 12)), 300), clicked(t)), "recall")), f"with {SOURCES_SQL}, {WANTED_SQL}, pl_ as (select user_id, product_id from fu qualify row_number() over (partition by user_id order by round(fused, 12) desc, product_id) <= 300) select round(avg(r), 6) as recall, count(*) as users from (select wt.user_id, avg((pl_.user_id is not null)::int) as r from wt left join pl_ using (user_id, product_id) group by 1)", BASE)
 register("h14_contribution", on(lambda t: rounded(cand.contribution(gathered(t), clicked(t)), "share")), f"with {SOURCES_SQL}, {WANTED_SQL} select source, count(*) as hits, round(count(*) / (select count(*) from wt), 6) as share from ga join wt using (user_id, product_id) group by 1", BASE)
 register("h7_exploration", on(lambda t: cand.exploration_source(product_table(t).filter("is_cold = 1").select("product_id"), people(t), bought(t), 15)), f"""with {PRE_SQL}, {PRODUCT_SQL}, cd as (select product_id from q where vt + pt < 5), n as (select greatest(1, count(*) // 120) as n from cd),
     sl as (select product_id, {SLOT_SQL.format("'42:' || product_id")} % n as slot from cd, n), u as (select distinct user_id, {SLOT_SQL.format("'42:' || user_id")} % n as slot from ia, n),
     d as (select user_id, product_id, row_number() over (partition by user_id order by sha256('42:' || user_id || ':' || product_id)) - 1 as rank from u join sl using (slot) where not exists (select 1 from ia where ia.user_id = u.user_id and ia.product_id = sl.product_id and event_type = 'PURCHASE')) select user_id, product_id, 0.01::double as score, rank::int as rank from d where rank < 15""", "ev prod ia clock")
-register("h10_price_rule", on(lambda t: cand.near_in_price(clicked(t), product_table(t), user_table(t)).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))))
+register("h10_price_rule", on(lambda t: cand.near_in_price(clicked(t), product_table(t), user_table(t)).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))), f"with {PRE_SQL}, {PRODUCT_SQL}, {USER_SQL}, {WANTED_SQL} select user_id, count(*) as n from wt join q using (product_id) join (select user_id, coalesce(price_percentile_mean, 0) as ppm from b) b using (user_id) where abs(price_percentile - ppm) <= 0.55 group by 1", "ev prod ia clock ord")
 
 # I. ranking data
 LABEL_SQL = "lb as (select user_id, product_id, max(case event_type when 'PURCHASE' then 3 when 'ADD_TO_CART' then 2 when 'PRODUCT_CLICK' then 1 else 0 end) as label from ia group by all having label > 0)"
 register("i1_labels", on(lambda t: ranking.labels(t.rows)), f"with {LABEL_SQL} select user_id, product_id, label::int as label from lb", "ev prod ia")
 
 
-def pooled(t: Tables, size: int = 50):
+def pooled(t: Tables, size: int = 300):
     g = gathered(t)
     return g, cand.pool(cand.fuse(g).withColumn("fused", F.round("fused", 12)), size)
 
@@ -151,13 +151,13 @@ def pooled(t: Tables, size: int = 50):
 register(
     "i2_source_features",
     on(lambda t: ranking.source_features(*pooled(t)).select("user_id", "product_id", "candidate_rank", "source_agreement", "source_covisitation_rank", "source_category_affinity_rank", "source_trending_rank", "source_collaborative_rank")),
-    f"with {SOURCES_SQL}, pl_ as (select user_id, product_id, row_number() over (partition by user_id order by round(fused, 12) desc, product_id)::int as candidate_rank from fu qualify candidate_rank <= 50) select user_id, product_id, candidate_rank, count(distinct source) as source_agreement, coalesce(max(rank) filter (source = 'covisitation'), 999)::int as source_covisitation_rank, coalesce(max(rank) filter (source = 'category_affinity'), 999)::int as source_category_affinity_rank, coalesce(max(rank) filter (source = 'trending'), 999)::int as source_trending_rank, 999 as source_collaborative_rank from pl_ join ga using (user_id, product_id) group by all",
+    f"with {SOURCES_SQL}, pl_ as (select user_id, product_id, row_number() over (partition by user_id order by round(fused, 12) desc, product_id)::int as candidate_rank from fu qualify candidate_rank <= 300) select user_id, product_id, candidate_rank, count(distinct source) as source_agreement, coalesce(max(rank) filter (source = 'covisitation'), 999)::int as source_covisitation_rank, coalesce(max(rank) filter (source = 'category_affinity'), 999)::int as source_category_affinity_rank, coalesce(max(rank) filter (source = 'trending'), 999)::int as source_trending_rank, 999 as source_collaborative_rank from pl_ join ga using (user_id, product_id) group by all",
     BASE,
 )
 
 
 def ranking_rows(t: Tables):
-    g, p = pooled(t, 40)
+    g, p = pooled(t)
     rows = ranking.assemble(user_table(t), product_table(t), pair_table(t, p), ranking.source_features(g, p))
     return ranking.keep_answered(ranking.with_labels(rows, ranking.labels(t.rows.filter("event_type <> 'PURCHASE'"))))
 
@@ -177,7 +177,7 @@ def scored(t: Tables, fit):
 
 
 register("i7_pointwise", on(lambda t: scored(t, ranking.pointwise)))
-register("i8_gain_trees", on(lambda t: scored(t, lambda rows: ranking.gain_trees(rows, trees=5, depth=3))))
+register("i8_gain_trees", on(lambda t: scored(t, lambda rows: ranking.gain_trees(rows))))
 register("i9_pairwise", on(lambda t: scored(t, ranking.pairwise)))
 register("i10_importances", on(lambda t: ranking.importances(ranking.pointwise(ranking_rows(t)), t.spark)))
 register("j17_attributions", on(lambda t: ranking.attributions(ranking.pointwise(rows := ranking_rows(t).persist()), rows)))
@@ -203,7 +203,7 @@ p3 as (select 'popularity' as component, * from pp order by score desc, product_
 ls as (select *, (score - min(score) over (partition by component)) / (max(score) over (partition by component) - min(score) over (partition by component)) as u from (select * from p3 union all select * from t3)),
 bl as (select us_.user_id, product_id, sum(u * case component when 'popularity' then case when n < 5 then 0.30::double when n < 20 then 0.18 else 0.05 end else case when n < 5 then 0.04::double when n < 20 then 0.06 else 0.08 end end) as score from us_ cross join ls join ct using (user_id) group by all)"""
 register("j3_blend", on(lambda t: rounded(blended(t), "score").select("user_id", "product_id", "score")), f"with {BLEND_SQL} select user_id, product_id, round(score, 6) as score from bl", BASE)
-register("j4_novelty_boost", on(lambda t: rounded(rerank.boost_novelty(blended(t).select("user_id", "product_id", "score"), product_table(t)), "score")))
+register("j4_novelty_boost", on(lambda t: rounded(rerank.boost_novelty(blended(t).select("user_id", "product_id", "score"), product_table(t)), "score")), f"with {PRE_SQL}, {PRODUCT_SQL}, {BLEND_SQL}, nv as (select product_id, (nov - min(nov) over ()) / (max(nov) over () - min(nov) over ()) as novelty from q) select bl.user_id, bl.product_id, round(bl.score * (1 + 0.15 * coalesce(novelty, 0.5)), 6) as score from bl left join nv on nv.product_id = bl.product_id", BASE)
 keyed = lambda t: blended(t).withColumn("score", F.round("score", 9)).join(t.products.select(F.col("id").alias("product_id"), "category_id", "brand_id"), "product_id")
 register("j5_diversify", on(lambda t: rerank.diversify(keyed(t), 10)))
 register(

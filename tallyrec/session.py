@@ -1,4 +1,4 @@
-"""Sending this package to the executors."""
+"""Helpers around a session: sending this package to the executors, checkpoints in the shared folder."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -23,3 +23,17 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(package.rglob("*.py")):
             out.write(path, path.relative_to(package.parent))
     context.addPyFile(str(archive))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read from there, so that its partitions stay what they are.
+
+    ``spark.checkpoint.dir`` names the folder; only where it is unset and the session runs in one local process a temporary one is made.
+    """
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()

@@ -258,3 +258,22 @@ def test_times_at_positions(spark):
     fractions = [0.0, 0.1, 0.5, 0.7, 0.85, 1.0]
     micros = lambda t: int((t - datetime(1970, 1, 1)) / timedelta(microseconds=1))
     assert split.time_at(rows, fractions) == [micros(times[round(499 * q)]) for q in fractions]
+
+
+def test_dense_index_of_any_ids(spark):
+    from tallyrec.operators import collaborative
+
+    ids = [f"p{i * 37 % 1000:04d}" for i in range(1000)] * 2
+    got = {r["product_id"]: r["i"] for r in collaborative.dense_index(spark.createDataFrame([(x,) for x in ids], "product_id string").repartition(7), "product_id", "i").collect()}
+    assert got == {x: i for i, x in enumerate(sorted(set(ids)))}
+
+
+def test_factors_of_ids_of_any_kind(spark):
+    from tallyrec.operators import collaborative
+
+    cells = [(u, p, 1.0 + (u * p) % 5) for u in range(20) for p in range(12) if (u + p) % 3]
+    for shift in (0, 2**40):
+        weights = spark.createDataFrame([(u + shift, p, w) for u, p, w in cells], "user_id long, product_id long, weight double")
+        found = collaborative.fit(weights, factors=4, rounds=3)
+        assert {r.user_id for r in found.users.collect()} == {u + shift for u in range(20)}
+        assert {r.product_id for r in found.items.collect()} == set(range(12)) and {len(r.vector) for r in found.items.collect()} == {4}
