@@ -19,6 +19,7 @@ repeated rows give repeated rows; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,22 +38,20 @@ CHUNK = 1 << 19
 
 def fingerprint(text: str) -> int:
     """The 64-bit fingerprint of a text, as unsigned."""
-    from xxhash import xxh64_digest
+    from xxhash import xxh64_intdigest
 
     words = text.encode().lower().split()
     if not words:
         return 0
-    joined = b" ".join(words)
     if len(words) < SHINGLE:
-        return int.from_bytes(xxh64_digest(joined, SEED), "big")
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
+        return xxh64_intdigest(b" ".join(words), SEED)
+    shingles = map(b" ".join, zip(*(islice(words, i, None) for i in range(SHINGLE)), strict=False))
+    hashes = map(xxh64_intdigest, shingles, repeat(SEED))
     n = len(words) - SHINGLE + 1
     over = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
-        spans = zip(starts[at : min(at + (1 << 16), n)].tolist(), ends[at + SHINGLE - 1 : min(at + (1 << 16), n) + SHINGLE - 1].tolist(), strict=True)
-        packed = b"".join([xxh64_digest(joined[s:e], SEED) for s, e in spans])
-        over += np.unpackbits(np.frombuffer(packed, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        codes = np.fromiter(hashes, np.uint64, min(1 << 16, n - at)).astype(">u8")
+        over += np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * over > n).tobytes(), "big")
 
 
