@@ -277,3 +277,42 @@ def test_factors_of_ids_of_any_kind(spark):
         found = collaborative.fit(weights, factors=4, rounds=3)
         assert {r.user_id for r in found.users.collect()} == {u + shift for u in range(20)}
         assert {r.product_id for r in found.items.collect()} == set(range(12)) and {len(r.vector) for r in found.items.collect()} == {4}
+
+
+def test_more_rounds_lower_the_factor_models_objective(spark):
+    """Confidence-weighted squares and the ridge, each user's and item's weighed by its number of ratings."""
+    import numpy as np
+    from tallyrec.operators import collaborative
+
+    rng = np.random.default_rng(3)
+    w = np.where(rng.random((30, 20)) < 0.3, rng.uniform(0.5, 5, (30, 20)), 0.0)
+    cells = [(u, i, float(w[u, i])) for u, i in zip(*np.nonzero(w))]
+    weights = spark.createDataFrame([(int(u), int(i), x) for u, i, x in cells], "user_id long, product_id long, weight double")
+
+    def objective(rounds):
+        f = collaborative.fit(weights, factors=5, rounds=rounds)
+        x, y = np.zeros((30, 5)), np.zeros((20, 5))
+        for r in f.users.collect():
+            x[r.user_id] = r.vector
+        for r in f.items.collect():
+            y[r.product_id] = r.vector
+        n_u, n_i = (w > 0).sum(1), (w > 0).sum(0)
+        return ((1 + 2.0 * w) * ((w > 0) - x @ y.T) ** 2).sum() + 0.1 * ((n_u[:, None] * x**2).sum() + (n_i[:, None] * y**2).sum())
+
+    first, later = objective(1), objective(10)
+    assert later < 0.98 * first
+
+
+def test_reduced_rows_keep_what_a_plain_svd_keeps(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+    from tallyrec.operators import content
+
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random((40, 12)) < 0.4, rng.uniform(0, 1, (40, 12)), 0.0)
+    rows = spark.createDataFrame([(i, Vectors.sparse(12, {int(j): float(v[j]) for j in np.flatnonzero(v)})) for i, v in enumerate(x)], ["product_id", "vector"])
+    reduced, kept = content.reduce_rank(rows, 4)
+    got = np.array([r.vector for r in reduced.orderBy("product_id").collect()])
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    plain = u[:, :4] * s[:4]
+    assert np.allclose(got @ got.T, plain @ plain.T, atol=1e-6) and abs(kept - (s[:4] ** 2).sum() / (s**2).sum()) < 1e-6
