@@ -19,6 +19,6 @@ def test_query_equals_sql(spark, con, name):
     assert oracle.differences(QUERIES[name](spark, SF), registry.ORACLES[name], con) == ""
 
 
-@pytest.mark.parametrize("name", ["g13_similar_products", "g15_content_for_users", "g20_als_for_users", "g22_pair_triples", "i7_pointwise", "i9_pairwise", "j5_diversify", "l1_paired_bootstrap"])
+@pytest.mark.parametrize("name", ["g13_similar_products", "g15_content_for_users", "g20_als_for_users", "i7_pointwise", "i9_pairwise", "j5_diversify", "l1_paired_bootstrap", "l4_mean_bootstrap"])
 def test_query_runs(spark, name):
-    assert QUERIES[name](spark, SF).columns
+    assert QUERIES[name](spark, SF).count() > 0
