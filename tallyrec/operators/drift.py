@@ -53,16 +53,24 @@ def _psi(counts: DataFrame, features: DataFrame) -> DataFrame:
     return features.join(found, "feature", "left").fillna(0.0, ["psi"]).withColumn("severity", severity(F.col("psi")))
 
 
-def ks(reference: DataFrame, current: DataFrame) -> DataFrame:
+def ks(reference: DataFrame, current: DataFrame, parts: int = 64) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic of each feature with its asymptotic p-value.
 
-    Equal values are counted first; the running shares go over distinct values of a feature.
+    Equal values are counted first.  A feature's distinct values are dealt out by ``parts`` rough quantiles; running counts go
+    over the values of one part, on top of what the parts before it add up to.
     """
     both = reference.withColumn("r", F.lit(1)).withColumn("c", F.lit(0)).unionByName(current.withColumn("r", F.lit(0)).withColumn("c", F.lit(1)))
     values = both.groupBy("feature", "value").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    upto, whole = W.partitionBy("feature").orderBy("value").rowsBetween(W.unboundedPreceding, 0), W.partitionBy("feature")
-    gap = F.abs(F.sum("r").over(upto) / F.sum("r").over(whole) - F.sum("c").over(upto) / F.sum("c").over(whole))
-    found = values.withColumn("gap", gap).groupBy("feature").agg(F.max("gap").alias("ks"), F.sum("r").cast("double").alias("n_r"), F.sum("c").cast("double").alias("n_c"))
+    edges = both.groupBy("feature").agg(F.percentile_approx("value", [i / parts for i in range(1, parts)], 1000).alias("edges"))
+    dealt = values.join(F.broadcast(edges), "feature").withColumn("part", F.size(F.filter("edges", lambda e: e < F.col("value")))).drop("edges")
+    sums = dealt.groupBy("feature", "part").agg(F.sum("r").alias("part_r"), F.sum("c").alias("part_c"))
+    # at most ``parts`` rows a feature
+    before, whole = W.partitionBy("feature").orderBy("part").rowsBetween(W.unboundedPreceding, -1), W.partitionBy("feature")
+    sums = sums.select("feature", "part", *[F.coalesce(F.sum(f"part_{s}").over(before), F.lit(0)).alias(f"before_{s}") for s in "rc"], *[F.sum(f"part_{s}").over(whole).alias(f"all_{s}") for s in "rc"])
+    upto = W.partitionBy("feature", "part").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    share = lambda s: F.try_divide(F.sum(s).over(upto) + F.col(f"before_{s}"), F.col(f"all_{s}"))
+    gaps = dealt.join(F.broadcast(sums), ["feature", "part"]).withColumn("gap", F.abs(share("r") - share("c")))
+    found = gaps.groupBy("feature").agg(F.max("gap").alias("ks"), F.sum("r").cast("double").alias("n_r"), F.sum("c").cast("double").alias("n_c"))
     root = F.sqrt(F.col("n_r") * F.col("n_c") / (F.col("n_r") + F.col("n_c")))
     lam = (root + 0.12 + 0.11 / root) * F.col("ks")
     series = sum(((-1) ** (j - 1)) * F.exp(-2.0 * j * j * lam * lam) for j in range(1, 8))

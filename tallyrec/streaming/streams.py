@@ -86,7 +86,8 @@ def recent_lists(events: DataFrame, key: str, *, distinct: bool, cap: int = 50,
 def session_merger(path: str):
     """A ``foreachBatch`` function that merges a batch's sessions into versions of a table under ``path``.
 
-    A batch writes version ``batch + 1`` from the one before, so that running it again gives the same.
+    A batch writes version ``batch + 1`` from the one before, so that running it again gives the same; versions
+    before that one are deleted.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
@@ -95,6 +96,12 @@ def session_merger(path: str):
         stored = read_version(spark, path, batch_id)
         merged = rolled if stored is None else counters.merge_sessions(stored, rolled)
         merged.write.mode("overwrite").parquet(f"{path}/version={batch_id + 1}")
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for status in fs.listStatus(root):
+            name = status.getPath().getName()
+            if name.startswith("version=") and int(name.split("=")[1]) < batch_id:
+                fs.delete(status.getPath(), True)
 
     return merge
 
