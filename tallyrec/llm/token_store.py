@@ -48,7 +48,7 @@ SAMPLE = 64
 #: Ids after which a task closes a segment.
 SEGMENT_IDS = 1 << 20
 #: Distinct units of text a worker remembers the ids of.
-CACHE = 1_200_000
+CACHE = 400_000
 #: Texts up to here are cut into the tokenizer's own units by the standard library's regex.
 LATIN_END = 0x250
 SPACE = "\t-\r \x85\xa0"
