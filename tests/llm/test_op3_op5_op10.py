@@ -71,40 +71,73 @@ def slow_verdicts(rows, spread=quality_rules.SPREAD, least=quality_rules.LEAST):
     texts = [(d, t or "", lang) for d, t, lang in rows]
     words = {d: [w for w in re.findall(r"[^\x20\x09-\x0D]+", t)] for d, t, _ in texts}
     lower = {d: [w.decode() for w in t.lower().encode().split()] for d, t, _ in texts}
-    of, shapes = {}, {}
+    failed = {d: len(words[d]) < 10 or 100 * slow_counts(t)[4] > 20 * len(words[d]) for d, t, _ in texts}
+    log = lambda n: int(math.log2(max(1, n)))
+
+    def bounds(of):
+        """Lists of distances by length -> bound of each length, at least 20 distances in a group."""
+        parts, mine, held = [], [], []
+        for length in sorted(of):
+            mine, held = mine + [length], held + of[length]
+            if len(held) >= 20:
+                parts.append((mine, held))
+                mine, held = [], []
+        if mine:
+            parts = [(parts[-1][0] + mine, parts[-1][1] + held)] if len(parts) == 1 else [*parts[:-1], (parts[-1][0] + mine, parts[-1][1] + held)] if parts else [(mine, held)]
+        out, least_yet = {}, math.inf
+        for mine, held in parts:
+            held = sorted(held)
+            at = lambda s: held[max(0, math.ceil(s * len(held)) - 1)]  # noqa: E731, B023
+            least_yet = min(least_yet, at(0.5) + spread * max(at(0.5) - at(0.1), least))
+            out |= dict.fromkeys(mine, least_yet)
+        return out
+
+    rough = lambda t: share(Counter({"text": sum(n for k, n in classes(t).items() if k in ("lower", "upper", "accented", "L", "M", "space"))}) + Counter({k: n for k, n in classes(t).items() if k in "NPS"}) + Counter({"other": sum(n for k, n in classes(t).items() if k == "C")}))
+    long_ones = {t for _, t, _ in texts if len(t) >= 400}
+    mean = Counter()
+    for t in long_ones:
+        for k, v in rough(t).items():
+            mean[k] += v / len(long_ones)
+    away = {t: round(js(rough(t), mean) * 1000) / 1000 for t in long_ones}
+    by_length = {}
+    for t in long_ones:
+        by_length.setdefault(log(len(t)), []).append(away[t])
+    usual_bounds = bounds(by_length)
+    usual = {t: t not in long_ones or away[t] <= usual_bounds[log(len(t))] + 0.0005 for _, t, _ in texts}
+    of, shapes, behind = {}, {}, {}
     for d, t, lang in texts:
-        of.setdefault(lang, Counter()).update(lower[d])
-        shapes.setdefault(lang, Counter()).update(classes(t))
+        if not failed[d] and usual[t]:
+            of.setdefault(lang, Counter()).update(lower[d])
+            shapes.setdefault(lang, Counter()).update(classes(t))
+            behind.setdefault(lang, set()).add(t)
     refs = {}
     for lang, count in of.items():
         n = sum(count.values())
-        if n:
+        if n and len(behind[lang]) >= 20:
             top = sorted(((w, k) for w, k in count.items() if k >= n * 1e-4), key=lambda x: (-x[1], x[0]))[:60]
             refs[lang] = {w: k / sum(k for _, k in top) for w, k in top}
     measures = {}
     for d, t, _ in texts:
-        failed = len(words[d]) < 10 or 100 * slow_counts(t)[4] > 20 * len(words[d])
         far = [], []
         if len(words[d]) >= 50:
             far[0].extend((js(share(Counter(w for w in lower[d] if w in ref)), ref) if set(lower[d]) & set(ref) else 1.0, lang) for lang, ref in refs.items())
         if len(t) >= 400:
             far[1].extend((js(share(classes(t)), share(shapes[lang])), lang) for lang in refs)
-        measures[d] = failed, min(far[0], default=None, key=lambda x: x[0]), min(far[1], default=None, key=lambda x: x[0]), len(words[d]), sum(map(len, words[d]))
-    ok = {d: not m[0] for d, m in measures.items()}
+        measures[d] = t, min(far[0], default=None, key=lambda x: x[0]), min(far[1], default=None, key=lambda x: x[0]), len(words[d]), sum(map(len, words[d]))
+    ok = {d: not failed[d] for d in measures}
+    near_enough = dict.fromkeys(measures, True)
     for which, size in ((1, 3), (2, 4)):
-        groups = {}
-        for m in measures.values():
-            if m[which] and not m[0]:
-                groups.setdefault((m[which][1], int(math.log2(m[size]))), []).append(round(m[which][0] * 1000) / 1000)
+        groups, everywhere = {}, {}
+        distinct = {m[0]: m for d, m in measures.items() if m[which] and not failed[d]}.values()
+        for m in distinct:
+            groups.setdefault(m[which][1], {}).setdefault(log(m[size]), []).append(round(m[which][0] * 1000) / 1000)
+            everywhere.setdefault(log(m[size]), []).append(round(m[which][0] * 1000) / 1000)
         for d, m in measures.items():
-            if m[which] and not m[0]:
-                bounds = []
-                for (lang, length), found in groups.items():
-                    if lang == m[which][1] and length <= int(math.log2(m[size])):
-                        found = sorted(found)
-                        at = lambda s: found[max(0, math.ceil(s * len(found)) - 1)]
-                        bounds.append(at(0.5) + spread * max(at(0.5) - at(0.1), least))
-                ok[d] &= m[which][0] <= min(bounds) + 0.0005
+            if m[which] and not failed[d]:
+                own = groups[m[which][1]]
+                near_enough[d] &= m[which][0] <= bounds(own if sum(map(len, own.values())) >= 20 else everywhere)[log(m[size])] + 0.0005
+    for d, t, lang in texts:
+        ok[d] &= near_enough[d] if lang in refs else usual[t]
     return ok
 
 
@@ -115,6 +148,17 @@ def test_verdicts_equal_plain_counting(spark):
     assert got == slow_verdicts(rows)
 
 
+def test_rare_language_code_opens_no_door(spark):
+    """Junk under a code of its own neither passes nor lets like texts through."""
+    rng = __import__("random").Random(8)
+    odd = ["%%$#" + str(rng.randrange(10**6)) + "|<>" for _ in range(30)]
+    junk = [(10**6 + i, " ".join(rng.sample(odd, 30) + [f"{rng.randrange(10**9)}" for _ in range(60)]), "zz" if i < 2 else "en") for i in range(8)]
+    docs = queries.table(spark, SF, "documents").select("doc_id", "text", "lang")
+    got = quality_rules.judge_quality(docs.union(spark.createDataFrame(junk, docs.schema)))
+    assert got.filter("doc_id >= 1000000 and kept").count() == 0
+    assert got.filter("doc_id >= 1000000 and base_failed").count() == 0
+
+
 def test_small_languages_are_judged_by_their_own_and_strange_texts_are_turned_away(spark):
     docs = queries.table(spark, SF, "documents").select("doc_id", "text", "lang")
     rng = __import__("random").Random(3)
