@@ -2,21 +2,41 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyrec.functions.columns import chi_square_tail, normal_cdf, poisson_draw, ratio, stable_bucket
+from tallyrec.functions.columns import chi_square_tail, normal_cdf, ratio, stable_bucket
 
 Z95 = 1.959963985
 
 
-def _resampled_means(values: DataFrame, keys: list[str], resamples: int, blocks: int) -> DataFrame:
-    """``keys, resample, m``: the mean of each Poisson resample of ``values (keys, d, n)``, where ``d`` occurred ``n`` times."""
-    draws = values.sparkSession.range(resamples, numPartitions=blocks).withColumnRenamed("id", "resample")
-    u = (F.pmod(F.xxhash64(F.lit(1), F.col("resample"), *keys, F.col("d")), F.lit(2**40)) + 0.5) / F.lit(2.0**40)
-    weighed = values.crossJoin(F.broadcast(draws)).withColumn("w", poisson_draw(u, F.col("n")))
-    return weighed.groupBy(*keys, "resample").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("m"))
+def _resampled_means(values: DataFrame, keys: list[str], resamples: int, blocks: int, seed: int = 1) -> DataFrame:
+    """``keys, resample, m``: the mean of each Poisson resample of ``values (keys, d, n)``, where ``d`` occurred ``n`` times.
+
+    Values are dealt out to ``blocks`` tasks.  A task draws the numbers of each value from a stream
+    that the value itself seeds (so a task that runs again draws the same) and hands on one sum for each resample.
+    """
+    names = [*keys, "seed", "d", "n"]
+    seeded = values.withColumn("seed", F.xxhash64(F.lit(seed), *keys, "d")).select(*names).repartition(blocks, *keys, "d")
+    schema = ", ".join([f"{k} {values.schema[k].dataType.simpleString()}" for k in keys] + ["resample int", "w double", "wd double"])
+
+    def draw(batches):
+        sums: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        for frame in batches:
+            columns = [frame[k].tolist() for k in names]
+            for *key, own, d, n in zip(*columns, strict=True):
+                w, wd = sums.setdefault(tuple(key), (np.zeros(resamples), np.zeros(resamples)))
+                drawn = np.random.Generator(np.random.Philox(key=own & (2**64 - 1))).poisson(n, resamples)
+                w += drawn
+                wd += drawn * d
+        for key, (w, wd) in sums.items():
+            yield pd.DataFrame({**{k: [v] * resamples for k, v in zip(keys, key, strict=True)}, "resample": range(resamples), "w": w, "wd": wd})
+
+    parts = seeded.mapInPandas(draw, schema)
+    return parts.groupBy(*keys, "resample").agg(F.try_divide(F.sum("wd"), F.sum("w")).alias("m"))
 
 
 def paired_bootstrap(scores: DataFrame, a: str, b: str, metric: str = "ndcg", resamples: int = 5000, blocks: int = 20) -> DataFrame:
@@ -24,7 +44,7 @@ def paired_bootstrap(scores: DataFrame, a: str, b: str, metric: str = "ndcg", re
 
     Equal differences are counted first; a difference that occurred ``n`` times weighs a Poisson
     number of mean ``n`` in each resample (the sum of its users' own draws), so the work depends on the number of
-    distinct differences, not of users.
+    distinct differences, not of users, and is spread over ``blocks`` tasks.
     """
     wide = scores.filter(F.col("model").isin(a, b)).groupBy("user_id").agg(*[F.max(F.when(F.col("model") == m, F.col(metric))).alias(n) for m, n in ((a, "x"), (b, "y"))]).dropna()
     diffs = wide.groupBy(F.round(F.col("y") - F.col("x"), 9).alias("d")).agg(F.count(F.lit(1)).cast("double").alias("n"))

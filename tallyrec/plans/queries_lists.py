@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyrec.operators import candidates as cand
-from tallyrec.operators import collaborative, content, cooccurrence, evaluation, features, popularity, ranking, rerank
+from tallyrec.operators import collaborative, content, cooccurrence, evaluation, features, neighbours, popularity, ranking, rerank
 from tallyrec.functions.columns import top_k
 from tallyrec.plans.queries_base import AFF_SQL, FOLD_SQL, MATRIX_SQL, POP_SQL, PRE_SQL, PRODUCT_SQL, TREND_FIT, USER_SQL, folds, matrix, pair_table, product_table, user_table
 from tallyrec.plans.registry import Tables, on, register, rounded
+from tallyrec.session import checkpointed
 
 BASE = "ev prod ia clock"
 SEEN_SQL = "sn as (select distinct user_id, product_id from ia)"
@@ -80,6 +81,11 @@ register("g18_als_factors", on(lambda t: collaborative.fit(collaborative.support
 register("g19_fold_in", on(lambda t: collaborative.fold_in(collaborative.fit(collaborative.supported(matrix(t)).filter("user_id % 10 <> 0")), seen(t))))
 register("g20_als_for_users", on(lambda t: collaborative.recommend((f := collaborative.fit(collaborative.supported(matrix(t)))).users, f, seen(t), 10)))
 register("g21_als_similar", on(lambda t: collaborative.similar_items(collaborative.fit(collaborative.supported(matrix(t))), 10)))
+register("g13_indexed_embeddings", on(lambda t: neighbours.similar(content.as_vectors(t.raw("embeddings")), 5)))
+register("g13_indexed_products", on(lambda t: neighbours.similar(content_vectors(t), 10)))
+register("g15_indexed_for_users", on(lambda t: neighbours.recommend(content.taste(cand.contexts(t.rows), v := checkpointed(content_vectors(t))), v, seen(t), 10)))
+register("g20_indexed_for_users", on(lambda t: neighbours.recommend((f := collaborative.fit(collaborative.supported(matrix(t)))).users, f.items, seen(t), 10)))
+register("g21_indexed_similar", on(lambda t: neighbours.similar(collaborative.fit(collaborative.supported(matrix(t))).items, 10)))
 register("g22_pair_triples", on(lambda t: collaborative.triples(matrix(t))), f"""with {MATRIX_SQL}, im as (select distinct product_id from mx), sl as (select greatest(1, count(*) // 48) as n from im),
     ng as (select product_id as negative, {SLOT_SQL.format("'42:' || product_id")} % n as slot from im, sl), ps as (select user_id, product_id as positive, {SLOT_SQL.format("'42:' || user_id || '-' || product_id")} % n as slot from mx, sl)
     select user_id, positive, negative from ps join ng using (slot) where not exists (select 1 from mx where mx.user_id = ps.user_id and mx.product_id = negative) qualify row_number() over (partition by user_id, positive order by sha256('42:' || user_id || ':' || positive || ':' || negative)) <= 3""", BASE)
