@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyrec.operators import candidates as cand
-from tallyrec.operators import collaborative, content, cooccurrence, evaluation, features, neighbours, popularity, ranking, rerank
+from tallyrec.operators import collaborative, content, cooccurrence, evaluation, features, listwise, neighbours, popularity, ranking, rerank
 from tallyrec.functions.columns import top_k
 from tallyrec.plans.queries_base import AFF_SQL, FOLD_SQL, MATRIX_SQL, POP_SQL, PRE_SQL, PRODUCT_SQL, TREND_FIT, USER_SQL, folds, matrix, pair_table, product_table, user_table
 from tallyrec.plans.registry import Tables, on, register, rounded
@@ -178,15 +178,23 @@ register("i12_summary", on(lambda t: rounded(ranking.summary(mixed(t)), "positiv
 
 
 def scored(t: Tables, fit):
-    rows = ranking_rows(t).persist()
+    rows = checkpointed(ranking_rows(t))
     return ranking.score_pool(fit(rows), rows)
 
 
+def boosted(t: Tables):
+    """Lists scored by the listwise ranker, which was fitted on their positives and sampled negatives."""
+    rows = checkpointed(ranking_rows(t))
+    model = listwise.fit(ranking.sample_negatives(rows), rounds=40, patience=8, rate=0.2)
+    return listwise.score_pool(model, rows)
+
+
 register("i7_pointwise", on(lambda t: scored(t, ranking.pointwise)))
 register("i8_gain_trees", on(lambda t: scored(t, lambda rows: ranking.gain_trees(rows))))
+register("i8_listwise", on(boosted))
 register("i9_pairwise", on(lambda t: scored(t, ranking.pairwise)))
 register("i10_importances", on(lambda t: ranking.importances(ranking.pointwise(ranking_rows(t)), t.spark)))
-register("j17_attributions", on(lambda t: ranking.attributions(ranking.pointwise(rows := ranking_rows(t).persist()), rows)))
+register("j17_attributions", on(lambda t: ranking.attributions(ranking.pointwise(rows := checkpointed(ranking_rows(t))), rows)))
 
 # J. blending and re-ranking
 COUNT_SQL = "ct as (select user_id, count(*) as n from ia group by 1)"
