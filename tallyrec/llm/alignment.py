@@ -7,8 +7,8 @@ are divided further.  An interval without a common end inside is a group.  All i
 level are divided at once.
 
 Two tokens are linked if their bytes overlap.  A pair of ids counts once for each document that holds it
-linked.  Each document's distinct pairs are written with their multiplicity; the most frequent pairs
-(``HEAD`` of them, whatever the data) go to every task with their counts, the others are joined.
+linked.  Each document's distinct pairs are written with their multiplicity; the pairs that hold at least ``1 / HEAD`` of
+all those counts (so at most ``HEAD`` of them) go to every task with their counts, the others are joined.
 
 Long texts are cut at single spaces between characters that aren't white space: there both tokenizers start a new
 token, so groups, links and counts are those of the whole text.
@@ -35,7 +35,7 @@ from tallyrec.llm.token_store import BEYOND, CACHE, _latin_units, _Units
 
 #: Characters after which a text is cut, tokens of A that are divided at once, pairs a task counts at once.
 PIECE, BLOCK, COUNTED = 1 << 16, 1 << 16, 1 << 21
-#: Pairs that are sent to every task with their counts (20 bytes each).
+#: Pairs that are sent to every task with their counts at most (17 bytes each).
 HEAD = 1 << 18
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 SPACE_MARK = "▁"
@@ -369,7 +369,9 @@ def alignment_counts(docs: DataFrame, a_path: str, b_path: str, *, head: int = H
     context = docs.sparkSession.sparkContext
     aligned = stage(align(docs, a_path, b_path).withColumn("key", F.monotonically_increasing_id()), "aligned")
     counts = stage(pair_counts(aligned, aligner((a_path, b_path)).b.size), "best-pairs")
-    top = counts.orderBy(F.desc("n"), "pair").limit(head).toPandas().sort_values("pair")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # of pairs that hold at least one part in so many there are no more than so many
+    top = counts.filter(F.col("n") * head >= max(total, 1)).toPandas().sort_values("pair")
     # ends with what no pair is, so that every search stops within
     sent = context.broadcast((np.append(top["pair"].to_numpy(np.int64), np.iinfo(np.int64).max), np.append(top["n"].to_numpy(np.int64), 0), np.append(top["best"].to_numpy(bool), False)))
     near = aligned.mapInArrow(_head_tasks(sent), "key long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long")

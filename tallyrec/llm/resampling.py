@@ -5,8 +5,8 @@ bytes modulo ``BUCKETS``.  A bucket's gain is the log ratio of its share in the
 its share in the documents; a document's weight is the sum over its features.  Weights plus
 Gumbel noise from a hash of the id rank the documents, and the highest are drawn.
 
-Words follow a head-tail split.  The head holds the most frequent words with the CRC state
-after each of them, and the most frequent pairs of such words with state and bucket; both are
+Words follow a head-tail split.  The head holds the words that make up at least ``1 / HEAD_WORDS`` of the corpus with the CRC state
+after each of them, and the pairs of such words that make up ``1 / HEAD_PAIRS`` with state and bucket; both are therefore
 bounded in number and bytes, and sent to every task.  All else is the tail: its CRC is computed from
 its own bytes, and runs extend the state of what stands before the last word.  Head and tail give
 the same buckets (the head only saves work), so totals and weights are exact for any head.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tallyrec.llm.common import stage, tasks_of
 
 BUCKETS, SEED, LEAST_WORDS, PERCENT = 10_000, 42, 20, 5
-#: Words and pairs of the head, and the longest word it takes, in bytes: with these it has at most 4 + 17 MB.
+#: Words and pairs of the head at most, and the longest word it takes, in bytes: with these it has at most 4 + 17 MB.
 HEAD_WORDS, HEAD_PAIRS, LONGEST = 65_535, 131_072, 64
 #: Words of a block, bytes of a stretch, distinct words a task counts at once, share of a block that makes a pair heavy.
 BLOCK, STRETCH, COUNTED, HEAVY = 1 << 17, 1 << 20, 300_000, 1 << 15
@@ -219,8 +219,10 @@ def learn_head(rows: DataFrame, words: int = HEAD_WORDS, pairs: int = HEAD_PAIRS
     """The head of ``rows (text binary)``; what comes to the driver is bounded by number and by length."""
     short = (F.length("word") <= LONGEST) & (F.coalesce(F.length("next"), F.lit(0)) <= LONGEST)
     counts = stage(rows.select("text").mapInArrow(_count_tasks, "word binary, next binary, n long").filter(short).groupBy("word", "next").agg(F.sum("n").alias("n")), "word-counts")
-    top = counts.filter("next is null").orderBy(F.desc("n"), "word").limit(words).collect()
-    heavy = counts.filter("next is not null").orderBy(F.desc("n"), "word", "next").limit(pairs).collect()
+    total = counts.filter("next is null").agg(F.sum("n")).first()[0] or 0
+    # of what holds at least one part in so many there are no more than so many
+    above = lambda kind, most: sorted(counts.filter(kind).filter(F.col("n") * most >= total).collect() if most else [], key=lambda r: (-r["n"], r["word"], r["next"] or b""))
+    top, heavy = above("next is null", words), above("next is not null", pairs)
     return Head([bytes(r["word"]) for r in top], [(bytes(r["word"]), bytes(r["next"])) for r in heavy])
 
 

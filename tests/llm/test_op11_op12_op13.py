@@ -77,9 +77,9 @@ def test_blocks_carry_words_over(monkeypatch):
 
 def test_head_is_found_and_used(spark):
     rows = resampling._rows(queries.table(spark, SF, "documents"))
-    head = resampling.learn_head(rows, 200, 100)
-    assert len(head.words) == 200 and len(head.pairs) > 50
-    assert (head.tables[3] != 0xFFFFFFFF).sum() > 50
+    head = resampling.learn_head(rows, 500, 1000)
+    assert 100 < len(head.words) <= 500 and 20 < len(head.pairs) <= 1000
+    assert (head.tables[3] != 0xFFFFFFFF).sum() >= 0.9 * len(head.pairs)
 
 
 def test_resampling_of_empty_tables(spark):
