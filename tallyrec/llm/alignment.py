@@ -70,26 +70,9 @@ class ByteTokens:
         return b"".join(map(self.known.__getitem__, self.units.findall(text)))
 
 
-class _PieceUnits(dict):
-    """Unit -> its ids; of a unit whose bytes the tokenizer changes, none."""
-
-    def __init__(self, model, raw: list[bytes]):
-        super().__init__()
-        self.model, self.raw = model, raw
-
-    def __missing__(self, unit: str) -> bytes:
-        # the library puts a space in front of what isn't empty: it takes the place of the unit's own, or stands before a line end that is left out again
-        ids = self.model.encode(unit[1:], num_threads=1) if unit[0] == " " and unit[1:] else self.model.encode("\n" + unit, num_threads=1)[2:]
-        same = b"".join(map(self.raw.__getitem__, ids)) == unit.encode()
-        value = self[unit] = array("I", ids).tobytes() if same else b""
-        return value
-
-
 class PieceTokens:
     """A sentencepiece tokenizer that puts a space in front of a text."""
 
-    UNITS = re.compile(r" +[^ \n]*|[^ \n]+|\n+")
-
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
@@ -99,24 +82,47 @@ class PieceTokens:
         as_byte = [re.fullmatch("<0x([0-9A-F]{2})>", p) if self.model.is_byte(i) else None for i, p in enumerate(pieces)]
         self.raw = [bytes([int(b[1], 16)]) if b else p.replace(SPACE_MARK, " ").encode() for p, b in zip(pieces, as_byte, strict=True)]
         self.lengths = np.array([len(r) for r in self.raw], np.int64)
+        proper = [p for i, p in enumerate(pieces) if not as_byte[i] and not self.model.is_control(i) and not self.model.is_unknown(i)]
+        # word characters that a piece joins to others don't count as such
+        odd = "".join(sorted({re.escape(c) for p in proper for c in re.findall(rf"[^\W_](?=[^\w{SPACE_MARK}])|(?<=[^\w{SPACE_MARK}])[^\W_]", p)}))
+        word = rf"[^\W_{odd}]"
+        other = rf"(?:[^\w \n]|[_{odd}])"
+        self.units = re.compile(rf" +(?:{word}+|{other}+)?|{word}+|{other}+|\n+")
         # merges make pieces of the vocabulary only: without one that runs across, units are encoded each by itself
-        across = re.compile(f"[^{SPACE_MARK}]{SPACE_MARK}|.\n|\n.", re.DOTALL)
-        self.by_unit = not any(across.search(p) for p, b in zip(pieces, as_byte, strict=True) if not b) and self._is_plain()
-        self.known = _PieceUnits(self.model, self.raw)
+        across = re.compile(rf"[^{SPACE_MARK}]{SPACE_MARK}|.\n|\n.|{word}(?!{word}|{SPACE_MARK}|$)|(?<!{word})(?<!{SPACE_MARK})(?<!^){word}", re.DOTALL)
+        self.by_unit = not any(map(across.search, proper)) and self._is_plain()
+        #: Unit -> its ids; of a unit whose bytes the tokenizer changes, none.
+        self.known: dict[str, bytes] = {}
 
     def _is_plain(self) -> bool:
         """No normalisation, seen on texts that the usual ones change."""
-        odd = " a  b \t c\r\n ﬁ Ａé  \n  x "
-        return b"".join(map(self.raw.__getitem__, self.model.encode(odd))) == f" {odd}".encode()
+        odd = " a  b \t c\r\n ﬁ Ａé  \n  x "
+        return self._bytes(self.model.encode(odd)) == f" {odd}".encode()
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.raw.__getitem__, ids))
+
+    def _learn(self, units: list[str]) -> None:
+        """The library puts a space in front of what isn't empty: it takes the place of the unit's own, or stands before a line end, and both are left out again."""
+        spaced = [u for u in units if u[0] == " " and len(u) > 1]
+        others = [u for u in units if u[0] != " " or len(u) == 1]
+        found = self.model.encode([u[1:] for u in spaced], num_threads=1) + [ids[2:] for ids in self.model.encode(["\n" + u for u in others], num_threads=1)]
+        for unit, ids in zip(spaced + others, found, strict=True):
+            self.known[unit] = array("I", ids).tobytes() if self._bytes(ids) == unit.encode() else b""
 
     def encode(self, text: str) -> bytes:
         """Ids of a text that starts with a space, as 32-bit integers; fewer bytes than the text's if it changes them."""
         if not self.by_unit:
             ids = self.model.encode(text[1:], num_threads=1)
-            return array("I", ids).tobytes() if b"".join(map(self.raw.__getitem__, ids)) == text.encode() else b""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        return b"".join(map(self.known.__getitem__, self.UNITS.findall(text)))
+            return array("I", ids).tobytes() if self._bytes(ids) == text.encode() else b""
+        known, units = self.known, self.units.findall(text)
+        try:
+            return b"".join(map(known.__getitem__, units))
+        except KeyError:
+            if len(known) > CACHE:
+                known.clear()
+            self._learn(list(set(units).difference(known)))
+            return b"".join(map(known.__getitem__, units))
 
 
 def shared_cuts(a_ends: np.ndarray, b_ends: np.ndarray, pieces: np.ndarray) -> np.ndarray:
