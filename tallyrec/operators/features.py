@@ -48,6 +48,27 @@ def concentration(rows: DataFrame, level: str) -> DataFrame:
     return counts.groupBy("user_id").agg((F.sum(F.col("n") * F.col("n")) / F.pow(F.sum("n"), 2)).alias("concentration"))
 
 
+def derived_user_features(base: DataFrame) -> DataFrame:
+    """What follows from a user's counts, sums, spans and ages."""
+    n = F.col("total_purchases")
+    since = F.coalesce("_since_purchase", "days_since_first_seen")
+    spend = F.col("total_spending")
+    tenure = F.greatest("days_since_first_seen", F.lit(1.0))
+    return base.withColumns(
+        {
+            "avg_order_value": F.coalesce("avg_order_value", "total_spending"),
+            "price_sensitivity": F.when(n > 0, F.least(F.greatest(1 - F.col("price_percentile_mean"), F.lit(0.0)), F.lit(1.0))).otherwise(0.5),
+            "view_to_cart_rate": ratio(F.col("total_carts"), F.col("total_views")),
+            "cart_to_purchase_rate": ratio(n, F.col("total_carts")),
+            "view_to_purchase_rate": ratio(n, F.col("total_views")),
+            "days_since_last_purchase": since,
+            "purchase_frequency_days": F.when(n > 1, F.col("_purchase_span") / (n - 1)).otherwise(F.col("days_since_first_seen")),
+            "events_per_active_day": ratio(F.col("total_events"), F.col("active_days")),
+            "customer_lifetime_value": spend + spend / tenure * 365 * F.exp(-since / 90),
+        }
+    )
+
+
 def user_features(rows: DataFrame, products: DataFrame, as_of: Column, orders: DataFrame | None = None, users: DataFrame | None = None) -> DataFrame:
     """27 columns a user.  ``rows`` are interactions (with category, brand and price)."""
     rows = rows.filter(F.col("occurred_at") < as_of)
@@ -84,23 +105,7 @@ def user_features(rows: DataFrame, products: DataFrame, as_of: Column, orders: D
         base = base.join(value, "user_id", "left")
     else:
         base = base.withColumn("avg_order_value", F.lit(None).cast("double"))
-    n = F.col("total_purchases")
-    since = F.coalesce("_since_purchase", "days_since_first_seen")
-    spend = F.col("total_spending")
-    tenure = F.greatest("days_since_first_seen", F.lit(1.0))
-    base = base.withColumns(
-        {
-            "avg_order_value": F.coalesce("avg_order_value", "total_spending"),
-            "price_sensitivity": F.when(n > 0, F.least(F.greatest(1 - F.col("price_percentile_mean"), F.lit(0.0)), F.lit(1.0))).otherwise(0.5),
-            "view_to_cart_rate": ratio(F.col("total_carts"), F.col("total_views")),
-            "cart_to_purchase_rate": ratio(n, F.col("total_carts")),
-            "view_to_purchase_rate": ratio(n, F.col("total_views")),
-            "days_since_last_purchase": since,
-            "purchase_frequency_days": F.when(n > 1, F.col("_purchase_span") / (n - 1)).otherwise(F.col("days_since_first_seen")),
-            "events_per_active_day": ratio(F.col("total_events"), F.col("active_days")),
-            "customer_lifetime_value": spend + spend / tenure * 365 * F.exp(-since / 90),
-        }
-    )
+    base = derived_user_features(base)
     out = base.select("user_id", *USER_FEATURES)
     if users is not None:
         out = users.select(F.col("id").alias("user_id")).join(out, "user_id", "left").fillna({"price_sensitivity": 0.5})
@@ -123,6 +128,25 @@ def trending_score(rows: DataFrame, as_of: Column, window_hours: float = 168.0,
     return recent.groupBy("product_id").agg(F.sum(mapped(F.col("event_type"), TREND_WEIGHTS, 0.0) * half_life(age(as_of, F.col("occurred_at"), 3600), half)).alias("score"))
 
 
+def derived_product_features(base: DataFrame, prior: float = 20.0, keys: list[str] | None = None) -> DataFrame:
+    """What follows from a product's counts and the catalogue's totals (of each of ``keys``)."""
+    keys = keys or []
+    base = base.withColumn("revenue_30d", F.col("price") * F.col("purchase_count_30d"))
+    totals = base.groupBy(*keys).agg(*[F.sum(c).alias(f"_{c}") for c in ("view_count_30d", "cart_count_30d", "purchase_count_30d")], F.avg(F.when(F.col("rating_count") > 0, F.col("rating_average"))).alias("_rating"))
+    base = base.join(totals, keys) if keys else base.crossJoin(F.broadcast(totals))
+    shrunk = lambda hits, total: (F.col(hits) + prior * ratio(F.col(f"_{hits}"), F.col(f"_{total}"))) / (F.col(total) + prior)
+    return base.withColumns(
+        {
+            "conversion_rate": shrunk("purchase_count_30d", "view_count_30d"),
+            "view_to_cart_rate": shrunk("cart_count_30d", "view_count_30d"),
+            "quality_score": (F.col("rating_average") * F.col("rating_count") + F.coalesce("_rating", F.lit(0.0)) * prior) / (F.col("rating_count") + prior),
+            "popularity_score": 0.55 * F.log1p("purchase_count_total") + 0.25 * F.log1p("view_count_total") + 0.20 * F.log1p("revenue_30d"),
+            "novelty_score": -F.log1p(F.col("view_count_total") + F.col("purchase_count_total")),
+            "is_cold": (F.col("view_count_total") + F.col("purchase_count_total") < 5).cast("int"),
+        }
+    )
+
+
 def product_features(rows: DataFrame, products: DataFrame, as_of: Column, prior: float = 20.0) -> DataFrame:
     """25 columns a product of the catalogue."""
     rows = rows.filter(F.col("occurred_at") < as_of)
@@ -141,20 +165,7 @@ def product_features(rows: DataFrame, products: DataFrame, as_of: Column, prior:
     base = average_rank(products, "price", "price_percentile", ["category_id"]).withColumnRenamed("id", "product_id")
     base = base.select("product_id", "price", F.log1p("price").alias("log_price"), "price_percentile", "category_id", "brand_id", "rating_average", "rating_count", "stock_quantity", F.greatest(age(as_of, F.col("released_at").cast("timestamp"), 86_400), F.lit(0.0)).alias("days_since_release"))
     base = base.join(counts, "product_id", "left").join(buyers, "product_id", "left").join(trending_score(rows, as_of).withColumnRenamed("score", "trending_score"), "product_id", "left").fillna(0)
-    base = base.withColumn("revenue_30d", F.col("price") * F.col("purchase_count_30d"))
-    totals = base.agg(*[F.sum(c).alias(f"_{c}") for c in ("view_count_30d", "cart_count_30d", "purchase_count_30d")], F.avg(F.when(F.col("rating_count") > 0, F.col("rating_average"))).alias("_rating"))
-    base = base.crossJoin(F.broadcast(totals))
-    shrunk = lambda hits, total: (F.col(hits) + prior * ratio(F.col(f"_{hits}"), F.col(f"_{total}"))) / (F.col(total) + prior)
-    base = base.withColumns(
-        {
-            "conversion_rate": shrunk("purchase_count_30d", "view_count_30d"),
-            "view_to_cart_rate": shrunk("cart_count_30d", "view_count_30d"),
-            "quality_score": (F.col("rating_average") * F.col("rating_count") + F.coalesce("_rating", F.lit(0.0)) * prior) / (F.col("rating_count") + prior),
-            "popularity_score": 0.55 * F.log1p("purchase_count_total") + 0.25 * F.log1p("view_count_total") + 0.20 * F.log1p("revenue_30d"),
-            "novelty_score": -F.log1p(F.col("view_count_total") + F.col("purchase_count_total")),
-            "is_cold": (F.col("view_count_total") + F.col("purchase_count_total") < 5).cast("int"),
-        }
-    )
+    base = derived_product_features(base, prior)
     for name in ("popularity_score", "trending_score", "novelty_score"):
         base = minmax_all(base, name)
     return base.select("product_id", *PRODUCT_FEATURES)

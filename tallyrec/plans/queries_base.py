@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyrec.config import TREND_WEIGHTS
-from tallyrec.operators import counters, features, popularity, split, validation, weighting
+from tallyrec.operators import asof, counters, features, popularity, split, validation, weighting
 from tallyrec.plans.registry import Tables, on, register, rounded
 from tallyrec.sources import io
 
@@ -199,6 +199,58 @@ register(
     round((pop - min(pop) over ()) / (max(pop) over () - min(pop) over ()), 6) as popularity_score, round((ts - min(ts) over ()) / (max(ts) over () - min(ts) over ()), 6) as trending_score, round((nov - min(nov) over ()) / (max(nov) over () - min(nov) over ()), 6) as novelty_score from q""",
     "ev prod ia clock",
 )
+#: Days on which a user bought: the training rows, each with what was known before that day.
+TRAINED_SQL = "tr as (select distinct user_id, us // 86400000000 as day from ia where event_type = 'PURCHASE' and user_id is not null)"
+
+
+def trained(t: Tables):
+    return t.rows.filter("event_type = 'PURCHASE' and user_id is not null").select("user_id", asof.day_of("occurred_at").alias("day")).distinct()
+
+
+AT_USER = ["total_spending", "avg_purchase_price", "median_purchase_price", "price_percentile_mean", "avg_order_value", "days_since_last_event", "days_since_first_seen", "category_concentration", "brand_concentration", "events_per_active_day", "view_to_purchase_rate"]
+AT_COUNTS = ["total_events", "total_views", "total_clicks", "total_carts", "total_purchases", "distinct_products_viewed", "distinct_categories", "distinct_brands", "session_count", "active_days"]
+register(
+    "f1_user_features_asof",
+    on(lambda t: rounded(asof.user_features_at(asof.user_days(t.rows, t.products), trained(t), t.orders).select("user_id", "day", *[F.col(c).cast("long").alias(c) for c in AT_COUNTS], *AT_USER), *AT_USER, digits=8)),
+    f"""with {TRAINED_SQL},
+    pc as (select price, (sum(n) over (order by price rows unbounded preceding) - n + (n + 1) / 2.0) / sum(n) over () as pct from (select price, count(*) as n from prod where price is not null group by 1)),
+    j as (select tr.user_id, tr.day, ia.us, ia.event_type, ia.product_id, ia.category_id, ia.brand_id, ia.session_key, case when event_type = 'PURCHASE' then ia.price end as paid, case when event_type = 'PURCHASE' then pc.pct end as pct from tr left join ia on ia.user_id = tr.user_id and ia.us < tr.day * 86400000000 left join pc on pc.price = ia.price),
+    hc as (select user_id, day, sum(n * n) / pow(sum(n), 2) as h from (select user_id, day, category_id, count(*)::double as n from j where category_id is not null group by all) group by all),
+    hb as (select user_id, day, sum(n * n) / pow(sum(n), 2) as h from (select user_id, day, brand_id, count(*)::double as n from j where brand_id is not null group by all) group by all),
+    od as (select tr.user_id, tr.day, avg(grand_total) as v from tr join ord on ord.user_id = tr.user_id and epoch_us(placed_at::timestamp) < tr.day * 86400000000 group by all),
+    g as (select user_id, day, count(us) as total_events, count(*) filter (event_type = 'PRODUCT_VIEW') as total_views, count(*) filter (event_type = 'PRODUCT_CLICK') as total_clicks, count(*) filter (event_type = 'ADD_TO_CART') as total_carts, count(*) filter (event_type = 'PURCHASE') as total_purchases,
+        count(distinct case when event_type = 'PRODUCT_VIEW' then product_id end) as distinct_products_viewed, count(distinct category_id) as distinct_categories, count(distinct brand_id) as distinct_brands, count(distinct session_key) as session_count, count(distinct us // 86400000000) as active_days,
+        coalesce(sum(paid), 0) as spent, avg(paid) as ap, median(paid) as mp, avg(pct) as pp, max(us) as last_us, min(us) as first_us from j group by all)
+    select user_id, day::int as day, total_events, total_views, total_clicks, total_carts, total_purchases, distinct_products_viewed, distinct_categories, distinct_brands, session_count, active_days, round(spent, 8) as total_spending, round(coalesce(ap, 0), 8) as avg_purchase_price, round(coalesce(mp, 0), 8) as median_purchase_price, round(coalesce(pp, 0), 8) as price_percentile_mean,
+        round(case when total_events > 0 then coalesce(od.v, spent) else spent end, 8) as avg_order_value, round(coalesce((day * 86400000000 - last_us) / 86400e6, 0), 8) as days_since_last_event, round(coalesce((day * 86400000000 - first_us) / 86400e6, 0), 8) as days_since_first_seen, round(coalesce(hc.h, 0), 8) as category_concentration, round(coalesce(hb.h, 0), 8) as brand_concentration,
+        round(case when active_days > 0 then total_events / active_days else 0 end, 8) as events_per_active_day, round(case when total_views > 0 then total_purchases / total_views else 0 end, 8) as view_to_purchase_rate
+    from g left join hc using (user_id, day) left join hb using (user_id, day) left join od using (user_id, day)""",
+    "ev prod ia ord",
+)
+
+
+def last_days(t: Tables, n: int = 10) -> list[int]:
+    """The last ``n`` days of the events."""
+    last = t.rows.agg(F.max(asof.day_of("occurred_at"))).first()[0]
+    return list(range(last - n + 1, last + 1)) if last is not None else []
+
+
+AT_PRODUCT = ["view_count_total", "view_count_30d", "view_count_7d", "cart_count_30d", "purchase_count_total", "purchase_count_30d", "distinct_buyers"]
+register(
+    "f16_product_features_asof",
+    on(lambda t: rounded(asof.product_features_at(asof.product_days(t.rows), t.products, last_days(t)).select("product_id", "day", *[F.col(c).cast("long").alias(c) for c in AT_PRODUCT], "repeat_purchase_rate", "trending_score", "conversion_rate"), "repeat_purchase_rate", "trending_score", "conversion_rate", digits=5)),
+    f"""with dy as (select (max(us) // 86400000000)::int - i as day from ia, range(10) r(i) group by i),
+    j as (select product_id, day, us, event_type, user_id, day - us // 86400000000 as back, day * 86400000000 - us as behind from ia, dy where us < day * 86400000000),
+    c as (select product_id, day, count(*) filter (event_type = 'PRODUCT_VIEW') as v, count(*) filter (event_type = 'PRODUCT_VIEW' and back <= 30) as v30, count(*) filter (event_type = 'PRODUCT_VIEW' and back <= 7) as v7, count(*) filter (event_type = 'ADD_TO_CART' and back <= 30) as c30, count(*) filter (event_type = 'PURCHASE') as b, count(*) filter (event_type = 'PURCHASE' and back <= 30) as b30,
+        sum(case when back <= 7 then {TREND_SQL} * pow(0.5, behind / 3600e6 / 42.0) end) as ts from j group by all),
+    u as (select product_id, day, count(*) as buyers, avg((n > 1)::int) as repeats from (select product_id, day, user_id, count(*) as n from j where event_type = 'PURCHASE' and user_id is not null group by all) group by all),
+    q as (select prod.id as product_id, dy.day, coalesce(v, 0) as v, coalesce(v30, 0) as v30, coalesce(v7, 0) as v7, coalesce(c30, 0) as c30, coalesce(b, 0) as b, coalesce(b30, 0) as b30, coalesce(buyers, 0) as buyers, coalesce(repeats, 0) as repeats, coalesce(ts, 0) as ts from prod cross join dy left join c on c.product_id = prod.id and c.day = dy.day left join u on u.product_id = prod.id and u.day = dy.day)
+    select product_id, day, v as view_count_total, v30 as view_count_30d, v7 as view_count_7d, c30 as cart_count_30d, b as purchase_count_total, b30 as purchase_count_30d, buyers as distinct_buyers, round(repeats, 5) as repeat_purchase_rate,
+        round(case when max(ts) over w > min(ts) over w then (ts - min(ts) over w) / (max(ts) over w - min(ts) over w) else 0 end, 5) as trending_score, round((b30 + 20 * case when sum(v30) over w > 0 then sum(b30) over w / sum(v30) over w else 0 end) / (v30 + 20), 5) as conversion_rate
+    from q window w as (partition by day)""",
+    "ev prod ia",
+)
+
 HISTORY_SQL = "ph as (select user_id, product_id, count(*) filter (event_type = 'PRODUCT_VIEW') as view_count, count(*) filter (event_type = 'ADD_TO_CART') as cart_count, count(*) filter (event_type = 'PURCHASE') as purchase_count, (any_value(now_us) - max(us)) / 86400e6 as days from pre, clock group by all)"
 register("f26_pair_history", on(lambda t: rounded(features.pair_history(t.rows, t.now), "days_since_interaction", digits=4)), f"with {PRE_SQL}, {HISTORY_SQL} select user_id, product_id, view_count, cart_count, purchase_count, round(days, 4) as days_since_interaction from ph", "ev prod ia clock")
 
