@@ -78,7 +78,7 @@ def test_blocks_carry_words_over(monkeypatch):
 def test_head_is_found_and_used(spark):
     rows = resampling._rows(queries.table(spark, SF, "documents"))
     head = resampling.learn_head(rows, 500, 20_000)
-    assert 100 < len(head.words) <= 500 and 20 < len(head.pairs) <= 20_000
+    assert 20 < len(head.words) <= 500 and 20 < len(head.pairs) <= 20_000
     assert (head.tables[3] != 0xFFFFFFFF).sum() >= 0.9 * len(head.pairs)
 
 
