@@ -53,6 +53,14 @@ def _psi(counts: DataFrame, features: DataFrame) -> DataFrame:
     return features.join(found, "feature", "left").fillna(0.0, ["psi"]).withColumn("severity", severity(F.col("psi")))
 
 
+def ks_p_value(statistic, n_r, n_c):
+    """Asymptotic p-value of a two-sample statistic."""
+    root = F.sqrt(n_r * n_c / (n_r + n_c))
+    lam = (root + 0.12 + 0.11 / root) * statistic
+    series = sum(((-1) ** (j - 1)) * F.exp(-2.0 * j * j * lam * lam) for j in range(1, 8))
+    return F.when(statistic <= 0, 1.0).otherwise(F.least(F.greatest(2 * series, F.lit(0.0)), F.lit(1.0)))
+
+
 def ks(reference: DataFrame, current: DataFrame, parts: int = 64) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic of each feature with its asymptotic p-value.
 
@@ -71,11 +79,7 @@ def ks(reference: DataFrame, current: DataFrame, parts: int = 64) -> DataFrame:
     share = lambda s: F.try_divide(F.sum(s).over(upto) + F.col(f"before_{s}"), F.col(f"all_{s}"))
     gaps = dealt.join(F.broadcast(sums), ["feature", "part"]).withColumn("gap", F.abs(share("r") - share("c")))
     found = gaps.groupBy("feature").agg(F.max("gap").alias("ks"), F.sum("r").cast("double").alias("n_r"), F.sum("c").cast("double").alias("n_c"))
-    root = F.sqrt(F.col("n_r") * F.col("n_c") / (F.col("n_r") + F.col("n_c")))
-    lam = (root + 0.12 + 0.11 / root) * F.col("ks")
-    series = sum(((-1) ** (j - 1)) * F.exp(-2.0 * j * j * lam * lam) for j in range(1, 8))
-    p = F.when(F.col("ks") <= 0, 1.0).otherwise(F.least(F.greatest(2 * series, F.lit(0.0)), F.lit(1.0)))
-    return found.select("feature", "ks", p.alias("ks_p_value"))
+    return found.select("feature", "ks", ks_p_value(F.col("ks"), F.col("n_r"), F.col("n_c")).alias("ks_p_value"))
 
 
 def compare(reference: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:

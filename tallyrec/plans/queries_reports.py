@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyrec.functions.columns import stable_bucket
-from tallyrec.operators import analytics, drift, quality, significance, weighting
+from tallyrec.operators import analytics, asof, drift, profiles, quality, significance, weighting
+from tallyrec.plans.queries_base import last_days, trained
 from tallyrec.plans.queries_lists import accuracy
 from tallyrec.plans.registry import Tables, on, register, rounded
+from tallyrec.session import checkpointed
 
 IA = "ev prod ia"
 
@@ -198,6 +200,37 @@ register("n5_compare", on(lambda t: rounded(drift.compare(*halves(t), ["value",
 register("n6_should_retrain", on(lambda t: drift.should_retrain(drift.compare(*halves(t), ["value", "product"]))), f"with {PSI_SQL} select count(*) filter (psi >= 0.25)::bigint as alerts, count(*) filter (psi >= 0.1 and psi < 0.25)::bigint as warnings, count(*) filter (psi >= 0.25) >= 2 or (count(*) filter (psi >= 0.25) >= 1 and count(*) filter (psi >= 0.1 and psi < 0.25) >= 3) as retrain from ps", "ev")
 
 
+def watched(t: Tables):
+    """Daily profiles of the 13 watched features: users as of the days they bought on, the catalogue as of the last ten days."""
+    users = asof.user_features_at(asof.user_days(t.rows, t.products), trained(t), t.orders)
+    return profiles.watched_profiles(users, asof.product_features_at(asof.product_days(t.rows), t.products, last_days(t)))
+
+
+def profile_drift(t: Tables):
+    kept = checkpointed(watched(t))
+    day = last_days(t)[-5]
+    return profiles.compare_profiles(profiles.window_profile(kept, 0, day), profiles.window_profile(kept, day + 1, day + 10))
+
+
+register("n5_profiles", on(profile_drift))
+AUDIENCE = ["event_type", "device_type"]
+
+
+def audiences(t: Tables):
+    """Users of two weeks by event type, from one table of daily sketches by event type and device."""
+    kept = checkpointed(profiles.daily_audience(t.events, AUDIENCE))
+    day = last_days(t)[-1]
+    return profiles.overlap(profiles.audience(kept, day - 13, day - 7, ["event_type"]), profiles.audience(kept, day - 6, day, ["event_type"]), ["event_type"])
+
+
+# fewer users than a sketch has entries, so that its numbers are exact
+register(
+    "m3_audience_overlap",
+    on(audiences),
+    "with d as (select event_type, user_id, us // 86400000000 as day, (select max(us) // 86400000000 from ia) as last from ev where user_id is not null), g as (select event_type, user_id, bool_or(day between last - 13 and last - 7) as a, bool_or(day between last - 6 and last) as b from d group by all) select event_type, count(*) filter (a) as a_users, count(*) filter (b) as b_users, count(*) filter (a and b) as both, count(*) filter (a or b) as either from g where a or b group by 1",
+    "ev prod ia",
+)
+
 def metrics(t: Tables):
     counts = weighting.event_type_counts(t.rows)
     total = counts.agg(F.sum("n").cast("double").alias("total"))
