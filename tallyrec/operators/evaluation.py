@@ -144,5 +144,20 @@ def personalisation(recs: DataFrame, k: int = 10, most: int = 400, seed: int = 4
     return people.join(total, "model", "left").select("model", F.when(pairs > 0, 1 - F.coalesce("likeness", F.lit(0.0)) / pairs).otherwise(0.0).alias("personalisation"))
 
 
+def personalisation_of_all(recs: DataFrame, k: int = 10, hashes: int = 128) -> DataFrame:
+    """Mean Jaccard distance between the lists of all users, with its standard error.
+
+    Two sets have the same least hash with a chance that is their Jaccard likeness, so the likeness of two users drawn at random is the chance
+    that theirs collide: counted by value for each of ``hashes`` functions, without forming a pair.
+    """
+    lists = recs.filter(F.col("rank") <= k).groupBy("model", "user_id").agg(F.collect_set("product_id").alias("items"))
+    least = F.transform(F.sequence(F.lit(1), F.lit(hashes)), lambda i: F.array_min(F.transform("items", lambda x: F.xxhash64(i, x))))
+    values = lists.select("model", F.posexplode(least).alias("function", "value")).groupBy("model", "function", "value").agg(F.count(F.lit(1)).alias("n"))
+    n, pairs = F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1).cast("double"))
+    chances = values.groupBy("model", "function").agg(F.try_divide(pairs, n * (n - 1)).alias("chance"))
+    out = chances.groupBy("model").agg(F.avg("chance").alias("likeness"), (F.stddev_samp("chance") / F.sqrt(F.count(F.lit(1)))).alias("error"))
+    return out.select("model", F.when(F.col("likeness").isNull(), 0.0).otherwise(1 - F.col("likeness")).alias("personalisation"), F.coalesce("error", F.lit(0.0)).alias("standard_error"))
+
+
 def evaluation_part(user: Column, seed: int = 42) -> Column:
     return stable_bucket(F.concat(F.lit(f"{seed}:"), user.cast("string")))

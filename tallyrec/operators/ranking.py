@@ -58,9 +58,21 @@ def shuffle_key(seed: int, *columns: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]), 256)
 
 
-def sample_negatives(rows: DataFrame, each: int = 120, seed: int = 42) -> DataFrame:
-    """All positives, and ``each`` negatives a list in a hash's order."""
-    w = W.partitionBy("user_id", F.col("label") > 0).orderBy(shuffle_key(seed, "user_id", "product_id"))
+def hashed_share(*columns: Column) -> Column:
+    """A number between 0 and 1 from the first four bytes of SHA-256."""
+    return (F.conv(F.substring(F.sha2(F.concat_ws(":", *[c.cast("string") for c in columns]), 256), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+
+
+def sample_negatives(rows: DataFrame, each: int = 120, seed: int = 42, *, hard: str | None = None) -> DataFrame:
+    """All positives, and ``each`` negatives a list: in a hash's order, or, with ``hard``, likelier the nearer they are to the front.
+
+    ``hard`` names the column with a candidate's place (from 1).  Each negative draws an exponential time of rate ``1 / place``
+    and the earliest are kept, which is drawing without replacement with chances in proportion to the rates.
+    """
+    order = [shuffle_key(seed, "user_id", "product_id")]
+    if hard is not None:
+        order = [-F.log(hashed_share(F.lit(seed), F.col("user_id"), F.col("product_id"))) * F.greatest(F.col(hard).cast("double"), F.lit(1.0)), F.col("product_id")]
+    w = W.partitionBy("user_id", F.col("label") > 0).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(w)).filter((F.col("label") > 0) | (F.col("_n") <= each)).drop("_n")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyrec.operators import candidates as cand
@@ -173,6 +174,12 @@ mixed = lambda t: ranking.with_labels(seen(t), ranking.labels(t.rows))  # noqa:
 register("i3_feature_rows", on(lambda t: ranking_rows(t)))
 register("i4_answered", on(lambda t: ranking.keep_answered(mixed(t)).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))), f"with {LABEL_SQL}, {MIXED_SQL} select user_id, count(*) as n from mi group by 1 having max(label) > 0", "ev prod ia")
 register("i5_negatives", on(lambda t: ranking.sample_negatives(mixed(t), 5)), f"with {LABEL_SQL}, {MIXED_SQL} select user_id, product_id, label::int as label from (select *, row_number() over (partition by user_id, label > 0 order by sha256('42:' || user_id || ':' || product_id)) as n from mi) where label > 0 or n <= 5", "ev prod ia")
+register(
+    "i5_hard_negatives",
+    on(lambda t: ranking.sample_negatives(mixed(t).withColumn("place", F.row_number().over(W.partitionBy("user_id").orderBy("product_id"))), 5, hard="place")),
+    f"with {LABEL_SQL}, {MIXED_SQL}, pl as (select *, row_number() over (partition by user_id order by product_id) as place from mi), ks as (select *, -ln((('0x' || substr(sha256('42:' || user_id || ':' || product_id), 1, 8))::bigint + 0.5) / 4294967296) * place as key from pl) select user_id, product_id, label::int as label, place::int as place from (select *, row_number() over (partition by user_id, label > 0 order by key, product_id) as n from ks) where label > 0 or n <= 5",
+    "ev prod ia",
+)
 register("i6_fit_or_stop", on(lambda t: ranking.fit_or_stop(people(t))), "select distinct user_id, case when ('0x' || substr(sha256('42:' || user_id), 1, 16))::ubigint % 10000 < 8500 then 'fit' else 'stop' end as part from ia", "ev prod ia")
 register("i12_summary", on(lambda t: rounded(ranking.summary(mixed(t)), "positive_rate", "mean_group")), f"with {LABEL_SQL}, {MIXED_SQL} select count(*) as n_rows, count(distinct user_id) as queries, round(avg((label > 0)::int), 6) as positive_rate, round(count(*) / count(distinct user_id), 6) as mean_group from mi", "ev prod ia")
 
@@ -319,6 +326,7 @@ register("k8_diversity", on(lambda t: rounded(evaluation.intra_list_diversity(mo
 register("k9_novelty", on(lambda t: rounded(evaluation.novelty((m := models(t))[1], m[0].filter("fold = 'train'")), "novelty")), f"with {MODELS_SQL}, s as (select product_id, -log2(count(*) / (select count(*) from tn)) as s from tn group by 1), e as (select model, user_id, avg(coalesce(s, 0)) as x from rc left join s using (product_id) where rank <= 10 group by all) select model, round(avg(x), 6) as novelty from e group by 1", "ev prod ia")
 register("k10_serendipity", on(lambda t: rounded(evaluation.serendipity((m := models(t))[1], m[2], m[1].filter("model = 'popular'")), "serendipity")), f"with {MODELS_SQL}, o as (select user_id, product_id from rc where model = 'popular' and rank <= 10) select model, round(avg(n / 10), 6) as serendipity from (select model, user_id, count(*) filter (tg.user_id is not null and o.user_id is null) as n from rc left join tg using (user_id, product_id) left join o using (user_id, product_id) where rank <= 10 group by all) group by 1", "ev prod ia")
 register("k11_exposure_gini", on(lambda t: rounded(evaluation.exposure_gini(models(t)[1]), "gini")), f"with {MODELS_SQL}, c as (select model, product_id, count(*) as n from rc where rank <= 10 group by all), r as (select *, row_number() over (partition by model order by n) as i, count(*) over (partition by model) as m from c) select model, round(2 * sum(i * n) / (any_value(m) * sum(n)) - (any_value(m) + 1) / any_value(m), 6) as gini from r group by 1", "ev prod ia")
+register("k12_personalisation_all", on(lambda t: evaluation.personalisation_of_all(models(t)[1])))
 register("k12_personalisation", on(lambda t: rounded(evaluation.personalisation(models(t)[1], most=60), "personalisation")), f"""with {MODELS_SQL}, ch as (select user_id from (select distinct user_id from rc) order by sha256('42:' || user_id), user_id limit 60), tp as (select distinct model, user_id, product_id from rc where rank <= 10 and user_id in (select user_id from ch)), n as (select model, user_id, count(*) as n from tp group by all),
     b as (select a.model, a.user_id as u, b.user_id as v, count(*) as both_ from tp a join tp b on a.model = b.model and a.product_id = b.product_id and a.user_id < b.user_id group by all), l as (select b.model, sum(both_ / (x.n + y.n - both_)) as s from b join n x on x.model = b.model and x.user_id = u join n y on y.model = b.model and y.user_id = v group by 1)
     select n.model, round(1 - coalesce(any_value(s), 0) / (count(*) * (count(*) - 1) / 2), 6) as personalisation from n left join l using (model) group by 1""", "ev prod ia")

@@ -70,7 +70,8 @@ def read_parquet(spark: SparkSession, folder: str, only: tuple[str, ...] | None
 
 def read_jdbc(spark: SparkSession, url: str, months: list[tuple[datetime, datetime]], properties: dict | None = None) -> Dataset:
     """The same tables from a database; events by month, one partition each, bounds half open."""
-    parts = [f"occurred_at >= '{a.isoformat()}' and occurred_at < '{b.isoformat()}'" for a, b in months]
+    # quoted as Spark's own filters are, with times in JDBC's own form, which every driver turns into its database's
+    parts = [f"\"occurred_at\" >= {{ts '{a:%Y-%m-%d %H:%M:%S.%f}'}} and \"occurred_at\" < {{ts '{b:%Y-%m-%d %H:%M:%S.%f}'}}" for a, b in months]
     found = {}
     for name, schema in TABLES.items():
         raw = spark.read.jdbc(url, name, predicates=parts, properties=properties or {}) if name == "events" else spark.read.jdbc(url, name, properties=properties or {})
