@@ -58,7 +58,7 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 5
 #: Distinct words that a task counts before it hands them on.
-HELD_WORDS = 400_000
+HELD_WORDS = 150_000
 
 #: Letters are told apart as ASCII ones by case, further Latin ones, and those of other scripts.
 CLASSES = ("lower", "upper", "accented", "letter", "mark", "digit", "point", "symbol", "space", "other")
@@ -171,14 +171,19 @@ def _count_tasks(usual: Usual):
         words: dict[str | None, Counter] = {}
         chars: dict[str | None, np.ndarray] = {}
         ties: dict[str | None, set] = {}
+        held = 0
 
-        def rows():
-            table = [(lang, word.decode(), None, None, n) for lang, found in words.items() for word, n in found.items()]
-            table += [(lang, None, CLASSES[k], None, int(n)) for lang, found in chars.items() for k, n in enumerate(found)]
-            table += [(lang, None, None, tie, 1) for lang, found in ties.items() for tie in found]
-            words.clear(), chars.clear(), ties.clear()
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*table, strict=True), kinds, strict=True)], ["lang", "word", "class", "tie", "n"])
+        def columns(langs: list, words: list, classes: list, ties: list, n: list) -> pa.RecordBatch:
+            filled = [x if x is not None else [None] * len(n) for x in (langs, words, classes, ties)]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
+            return pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(filled, kinds, strict=True)), pa.array(n, pa.int64())], ["lang", "word", "class", "tie", "n"])
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang in list(chars):
+                found, counted, own = words.pop(lang), chars.pop(lang), ties.pop(lang)
+                yield columns([lang] * len(CLASSES), None, list(CLASSES), None, [int(n) for n in counted])
+                yield columns([lang] * len(own), None, None, list(own), [1] * len(own))
+                yield columns([lang] * len(found), [w.decode() for w in found], None, None, list(found.values()))
 
         for batch in batches:
             for lang, tie, cell in zip(batch["lang"].to_pylist(), batch["tie"].to_pylist(), batch["text"], strict=True):
@@ -191,10 +196,10 @@ def _count_tasks(usual: Usual):
                 # so many different ones are enough to tell that there are enough
                 if len(own := ties.setdefault(lang, set())) < MIN_DOCS:
                     own.add(tie)
-            if sum(map(len, words.values())) > HELD_WORDS:
-                yield rows()
-        if chars:
-            yield rows()
+                held += 1
+                if held % 64 == 0 and sum(map(len, words.values())) > HELD_WORDS:
+                    yield from rows()
+        yield from rows()
 
     return run
 
