@@ -47,6 +47,7 @@ def fit(weights: DataFrame, *, factors: int = 64, rounds: int = 20, regularisati
     als = ALS(userCol="u", itemCol="i", ratingCol="r", implicitPrefs=True, rank=factors, alpha=alpha, regParam=regularisation, maxIter=rounds, seed=seed, coldStartStrategy="drop")
     as_double = F.col("features").cast("array<double>").alias("vector")
     rating = F.col("weight").cast("float").alias("r")
+    weights = checkpointed(weights.select("user_id", "product_id", "weight"))  # read for the ids' bounds and for the fit
     ends = weights.agg(F.least(F.min("user_id"), F.min("product_id")).alias("lo"), F.greatest(F.max("user_id"), F.max("product_id")).alias("hi")).first()
     if ends["lo"] is not None and ends["lo"] >= 0 and ends["hi"] < 2**31:
         # the model's ids are integers; where the own ids are such, no index is needed

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyrec.functions.columns import minmax_within, top_k
+from tallyrec.session import checkpointed
 
 
 #: Items of a basket that are paired in one task.
@@ -20,13 +22,10 @@ def neighbours(baskets: DataFrame, *, least: int, most: int | None, min_support:
     support can't be in a pair that reaches it, so they are left out of the self-join.  A basket of more
     than ``BLOCK`` items is joined block by block, so that its pairs are spread over many tasks.
     """
-    items = baskets.select("basket", "product_id").distinct()
-    sizes = items.groupBy("basket").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.filter(F.col("n") >= least)
-    if most is not None:
-        sizes = sizes.filter(F.col("n") <= most)
-    items = items.join(sizes, "basket")
-    total = sizes.agg(F.count(F.lit(1)).cast("double").alias("total"))
+    # dealt out by basket once: both the distinct items and a basket's size are found there
+    sized = baskets.select("basket", "product_id").repartition("basket").distinct().withColumn("n", F.count(F.lit(1)).over(W.partitionBy("basket")))
+    items = checkpointed(sized.filter(F.col("n").between(least, most) if most is not None else F.col("n") >= least))
+    total = items.select("basket").distinct().agg(F.count(F.lit(1)).cast("double").alias("total"))
     marginals = items.groupBy("product_id").agg(F.count(F.lit(1)).alias("n_item"))
     frequent = items.join(marginals.filter(F.col("n_item") >= min_support).select("product_id"), "product_id", "left_semi").withColumn("last", (F.floor((F.col("n") - 1) / BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("product_id"), F.col("last") + 1).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("last")))

@@ -67,8 +67,12 @@ def views(events: DataFrame) -> DataFrame:
 def top_percent_share(events: DataFrame) -> DataFrame:
     """The share of views that the first of 100 tiles of products has."""
     counts = views(events).groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
-    tiled = counts.withColumn("tile", F.ntile(100).over(W.orderBy(F.desc("n"), "product_id")))
-    return tiled.agg(F.round(F.sum(F.when(F.col("tile") == 1, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("share"))
+    # products of equal counts are counted first, so the ordered window is over distinct counts
+    bins = counts.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
+    w = W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)
+    tile = F.ceil(F.sum("m").over(W.partitionBy()) / 100.0)
+    taken = F.greatest(F.least(tile - F.coalesce(F.sum("m").over(w), F.lit(0)), F.col("m")), F.lit(0))
+    return bins.withColumn("taken", taken).agg(F.round(F.sum(F.col("taken") * F.col("n")) / F.sum(F.col("m") * F.col("n")), 6).alias("share"))
 
 
 def top_share_median(rows: DataFrame, level: str, least: int = 5) -> DataFrame:

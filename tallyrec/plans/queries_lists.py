@@ -60,7 +60,7 @@ register("g16_changed_text", on(lambda t: content.changed(content.product_text(t
 
 
 def text_vectors(t: Tables):
-    texts = content.product_text(t.products).persist()
+    texts = checkpointed(content.product_text(t.products))
     return content.tfidf(texts)(texts)
 
 
@@ -98,8 +98,8 @@ BUDGETS = {"covisitation": 80, "category_affinity": 60, "brand_affinity": 40, "t
 
 
 def sources(t: Tables) -> dict:
-    w, ex = matrix(t), bought(t)
-    recent, scores = cand.contexts(t.rows), popularity.popular(w)
+    w, ex = checkpointed(matrix(t)), bought(t)
+    recent, scores = checkpointed(cand.contexts(t.rows)), checkpointed(popularity.popular(w))
     brand = popularity.top_by_group(scores, t.products, "brand_id", 40)
     category = popularity.top_by_group(scores, t.products, "category_id", 60)
     return {
@@ -288,7 +288,7 @@ tg as (select user_id, product_id, max(case event_type when 'PURCHASE' then 3 wh
 
 
 def models(t: Tables):
-    f = folds(t).persist()
+    f = checkpointed(folds(t))
     train = f.filter("fold = 'train'")
     users = f.filter("fold = 'test'").select("user_id").distinct()
     counts = train.groupBy("product_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
