@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyrec.llm.common import stage
+from tallyrec.llm.common import released, stage
 from tallyrec.llm.simhash import near_rows
 from tallyrec.llm.token_store import encoder
 
@@ -144,7 +144,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataF
     dealt = rows.withColumn("deal", F.pmod(F.xxhash64("doc_id", "source", "cluster", "length", F.monotonically_increasing_id()), F.lit(groups)))
     # a task may get several groups; each is packed by itself
     dealt = dealt.repartition(groups, "deal").sortWithinPartitions("deal", "doc_id")
-    return dealt.select("deal", "doc_id", "source", "cluster", "length").mapInArrow(_pack_tasks(capacity), PACKED)
+    return dealt.select("deal", "doc_id", "source", "cluster", "length").mapInArrow(released(_pack_tasks(capacity)), PACKED)
 
 
 def _length_tasks(tokenizer_path: str):
@@ -165,7 +165,7 @@ def document_lengths(docs: DataFrame, tokenizer_path: str | None = None) -> Data
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64(text).alias("tie"), text.alias("text"))
     if tokenizer_path:
-        return rows.mapInArrow(_length_tasks(tokenizer_path), "doc_id long, source string, tie long, length int")
+        return rows.mapInArrow(released(_length_tasks(tokenizer_path)), "doc_id long, source string, tie long, length int")
     words = F.array_remove(F.split("text", r"[ \t-\r]+"), "")
     return rows.select("doc_id", "source", "tie", (F.size(words) + 1).alias("length"))
 

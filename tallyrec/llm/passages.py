@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyrec.llm.common import drop_staged, stage, staged_so_far, tasks_of, text_or_empty
+from tallyrec.llm.common import drop_staged, released, stage, staged_so_far, tasks_of, text_or_empty
 from tallyrec.llm.components import connected_components
 
 #: Words within which a cut is the least: of passages that are copied exactly, and of long paragraphs.
@@ -187,7 +187,7 @@ def _paragraph_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def paragraphs(docs: DataFrame) -> DataFrame:
     """Every paragraph (with its band keys) and every piece (without): document, first word, words, hash."""
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), text_or_empty())
-    return rows.mapInArrow(_paragraph_tasks, PARAGRAPHS)
+    return rows.mapInArrow(released(_paragraph_tasks), PARAGRAPHS)
 
 
 def minhashes(flat: np.ndarray, edges: np.ndarray, n: int) -> np.ndarray:
@@ -269,7 +269,7 @@ def words_again(docs: DataFrame, found: DataFrame, pids: DataFrame) -> DataFrame
     places = found.filter("keys is not null").join(pids, "pid", "left_semi").groupBy("pid").agg(F.min(F.struct("doc_id", "start", "n_words")).alias("at"))
     spans = places.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("pid", "at.start", "at.n_words")).alias("spans"))
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), text_or_empty())
-    return texts.join(spans, "doc_id").select("text", "spans").mapInArrow(_word_tasks, "pid long, words array<int>")
+    return texts.join(spans, "doc_id").select("text", "spans").mapInArrow(released(_word_tasks), "pid long, words array<int>")
 
 
 def edit_distance(a: list[int], b: list[int]) -> int:
@@ -385,7 +385,7 @@ def band_links(banded: DataFrame, words_of, similarity: float, edited: float, cr
     dealt = met.filter(F.col("members") <= crowd).select("key", "pid")
     if crowded.limit(1).count():
         words = stage(words, "paragraph-words")
-        finer = words.join(crowded.select("pid").distinct(), "pid", "left_semi").mapInArrow(_key_tasks(BANDS, EXTRA), "pid long, keys array<long>")
+        finer = words.join(crowded.select("pid").distinct(), "pid", "left_semi").mapInArrow(released(_key_tasks(BANDS, EXTRA)), "pid long, keys array<long>")
         again = crowded.join(finer, "pid").select("pid", F.col("key").alias("whole"), F.explode("keys").alias("key")).select("pid", F.xxhash64("whole", "key").alias("key"))
         again = stage(_counted(again.distinct()), "finer-bands")
         dealt = dealt.unionByName(again.filter(F.col("members") <= crowd).select("key", "pid"))
@@ -393,12 +393,12 @@ def band_links(banded: DataFrame, words_of, similarity: float, edited: float, cr
         part = still.select(F.xxhash64("key", F.pmod(F.xxhash64("pid"), F.col("parts"))).alias("key"), "pid")
         firsts = still.groupBy("key", "parts").agg(F.min("pid").alias("pid")).select("key", "pid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
         dealt = dealt.unionByName(part.unionByName(firsts.select(F.xxhash64("key", "part").alias("key"), "pid")).distinct())
-    return dealt.join(words, "pid").repartition(tasks, "key").sortWithinPartitions("key", "pid").mapInArrow(_verify_tasks(similarity, edited), "a long, b long")
+    return dealt.join(words, "pid").repartition(tasks, "key").sortWithinPartitions("key", "pid").mapInArrow(released(_verify_tasks(similarity, edited)), "a long, b long")
 
 
 def near_links(found: DataFrame, similarity: float = SIMILARITY, edited: float = EDITED, crowd: int = CROWD) -> DataFrame:
     """Spanning links ``a, b`` between similar distinct paragraphs ``found (pid, words)``; words are codes, ``SHINGLE`` of them at least."""
-    return band_links(found.mapInArrow(_key_tasks(0, BANDS), "pid long, keys array<long>"), lambda pids: found.join(pids, "pid", "left_semi"), similarity, edited, crowd)
+    return band_links(found.mapInArrow(released(_key_tasks(0, BANDS)), "pid long, keys array<long>"), lambda pids: found.join(pids, "pid", "left_semi"), similarity, edited, crowd)
 
 
 RUNS = ["doc_id", "start_word", "n_words", "cluster_id", "keeper_doc_id", "removed"]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyrec.llm.common import stage, text_or_empty
+from tallyrec.llm.common import released, stage, text_or_empty
 from tallyrec.llm.quality_rules import SYMBOLS, char_classes
 
 STATISTICS = ("words", "word_length", "distinct", "upper", "symbol", "point", "digit", "top_word", "adjacent", "shout", "marked", "short", "dup_lines", "line_words", "wide", "capital")
@@ -80,7 +80,7 @@ def _statistics_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def document_statistics(docs: DataFrame) -> DataFrame:
     """``doc_id, tie, f0, f1, ...``: ``tie`` is the text's hash."""
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty()).withColumn("tie", F.xxhash64("text")).mapInArrow(_statistics_tasks, FEATURES)
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty()).withColumn("tie", F.xxhash64("text")).mapInArrow(released(_statistics_tasks), FEATURES)
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
@@ -142,7 +142,7 @@ def score_rows(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held_o
     features = stage(document_statistics(docs), "quality-statistics")
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("label"))
     train = stage(features.join(known.filter(fold_of(F.col("doc_id"), folds) != held_out_fold), "doc_id").drop("doc_id", "tie"), "quality-training")
-    scored = features.mapInArrow(_score_tasks(fit(train)), "doc_id long, tie long, score double")
+    scored = features.mapInArrow(released(_score_tasks(fit(train))), "doc_id long, tie long, score double")
     return scored.select("doc_id", "tie", (fold_of(F.col("doc_id"), folds) == held_out_fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

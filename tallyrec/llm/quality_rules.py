@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyrec.llm.common import stage, text_or_empty
+from tallyrec.llm.common import released, stage, text_or_empty
 
 COMMON_WORDS = 60
 MIN_SHARE = 1e-4
@@ -157,7 +157,7 @@ class Usual:
 
 def usual_of(rows: DataFrame, spread: float = SPREAD) -> Usual:
     """The mean shares of all different texts of ``rows (tie, text)``, and the bounds."""
-    seen = stage(rows.select("tie", "text").mapInArrow(_class_tasks, "tie long, length int, shares array<double>").filter("length is not null").dropDuplicates(["tie"]), "usual-shares")
+    seen = stage(rows.select("tie", "text").mapInArrow(released(_class_tasks), "tie long, length int, shares array<double>").filter("length is not null").dropDuplicates(["tie"]), "usual-shares")
     mean = [x or 0.0 for x in seen.agg(*[F.avg(F.col("shares")[k]) for k in range(5)]).first()]
     term = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
     p, q = [F.col("shares")[k] for k in range(5)], [F.lit(x) for x in mean]
@@ -214,7 +214,7 @@ def references(rows: DataFrame, usual: Usual, common: int = COMMON_WORDS) -> lis
 
     ``rows (lang, tie, text)``.  What reaches the driver is ``common`` words and a few classes a language.
     """
-    counted = rows.select(F.col("lang").cast("string"), "tie", "text").mapInArrow(_count_tasks(usual), "lang string, word string, class string, tie long, n long")
+    counted = rows.select(F.col("lang").cast("string"), "tie", "text").mapInArrow(released(_count_tasks(usual)), "lang string, word string, class string, tie long, n long")
     counts = stage(counted.groupBy("lang", "word", "class", "tie").agg(F.sum("n").alias("n")), "reference-counts")
     able = counts.filter("tie is not null").groupBy("lang").count().filter(F.col("count") >= MIN_DOCS).select("lang")
     counts = counts.join(able.withColumnRenamed("lang", "able"), F.col("lang").eqNullSafe(F.col("able")), "left_semi")
@@ -334,7 +334,7 @@ def judge_quality(docs: DataFrame, *, spread: float = SPREAD) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), text_or_empty()).withColumn("tie", F.xxhash64("text"))
     usual = usual_of(texts, spread)
     found = references(texts, usual)
-    rows = stage(texts.mapInArrow(_measure_tasks(found, usual), MEASURES), "quality-measures")
+    rows = stage(texts.mapInArrow(released(_measure_tasks(found, usual)), MEASURES), "quality-measures")
     rows = _too_far(rows, "word_distance", "nearest", "n_words", spread)
     rows = _too_far(rows, "char_distance", "char_nearest", "word_chars", spread)
     strange = [F.coalesce(F.col(x) > F.col(f"{x}_bound") + 0.5 / STEPS, F.lit(False)) for x in ("word_distance", "char_distance")]

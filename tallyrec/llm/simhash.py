@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyrec.llm.common import stage, tasks_of, text_or_empty
+from tallyrec.llm.common import released, stage, tasks_of, text_or_empty
 from tallyrec.llm.components import connected_components
 
 SHINGLE, SEED, BUDGET = 4, 42, 4
@@ -64,7 +64,7 @@ def _fingerprint_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, tie, fp``: the text's hash, and the 64 bits, read as signed."""
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty())
-    return rows.withColumn("tie", F.xxhash64("text")).mapInArrow(_fingerprint_tasks, "doc_id long, tie long, fp long")
+    return rows.withColumn("tie", F.xxhash64("text")).mapInArrow(released(_fingerprint_tasks), "doc_id long, tie long, fp long")
 
 
 def blocks(bits: int, n: int) -> list[tuple[int, int]]:
@@ -196,7 +196,7 @@ def fingerprint_links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT)
     for i in range(budget + 1):
         chosen = F.when(F.col("hot") & (F.col("block") == i), subs(i)).otherwise(chosen)
     spread = dealt.select("fp", "block", "key", F.inline(chosen)).repartition(tasks_of(distinct.sparkSession), "block", "key", "sub", "rest")
-    return spread.select("fp", "block", "sub").mapInArrow(_link_tasks(budget), "a long, b long")
+    return spread.select("fp", "block", "sub").mapInArrow(released(_link_tasks(budget)), "a long, b long")
 
 
 def near_rows(docs: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
