@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyrec.operators import candidates as cand
 from tallyrec.operators import collaborative, content, cooccurrence, evaluation, features, listwise, neighbours, popularity, ranking, rerank
 from tallyrec.functions.columns import top_k
+from tallyrec.plans import two_stage
 from tallyrec.plans.queries_base import AFF_SQL, FOLD_SQL, MATRIX_SQL, POP_SQL, PRE_SQL, PRODUCT_SQL, TREND_FIT, USER_SQL, folds, matrix, pair_table, product_table, user_table
 from tallyrec.plans.registry import Tables, on, register, rounded
 from tallyrec.session import checkpointed
@@ -311,6 +312,10 @@ def accuracy(t: Tables):
 register("k1_accuracy_by_user", on(lambda t: rounded(accuracy(t), *[m for m in evaluation.METRICS if m != "hit"])), f"with {ACCURACY_SQL} select model, user_id, round(precision, 6) as precision, round(recall, 6) as recall, round(map, 6) as map, round(ndcg, 6) as ndcg, round(graded_ndcg, 6) as graded_ndcg, hit, round(mrr, 6) as mrr from ac", "ev prod ia")
 
 
+#: Ten sources, pool, rankers, blend and diversity, evaluated on the test fold.
+register("k18_two_stage", on(lambda t: two_stage.run(t.data, folds(t), boosting={"rounds": 20, "patience": 6, "rate": 0.2})))
+
+
 def by_segment(t: Tables):
     f, recs, targets = models(t)
     return evaluation.means(evaluation.accuracy(recs, targets), evaluation.segments(f.filter("fold = 'train'"), targets))
