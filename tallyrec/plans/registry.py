@@ -83,6 +83,6 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 def load() -> dict[str, Query]:
     """All queries, once the modules that register them are imported."""
-    from tallyrec.plans import queries_base, queries_lists, queries_reports  # noqa: F401
+    from tallyrec.plans import queries_base, queries_jobs, queries_lists, queries_reports  # noqa: F401
 
     return QUERIES
