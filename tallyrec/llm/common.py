@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -65,6 +66,9 @@ def drop_staged(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...]
         _STAGED.remove(at)
         path = jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(conf).delete(path, True)
+    # exchanges of tables that are written by now go from the disks only once the driver has collected what stood for them
+    gc.collect()
+    jvm.System.gc()
 
 
 def text_or_empty(name: str = "text"):
