@@ -1,9 +1,10 @@
 """What must not be sent whole to the driver, formed twice or cut, however small the test tables are."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyrec.operators import asof, features
+from tallyrec.operators import asof, content, features, neighbours, profiles
 from tallyrec.plans.registry import Tables, load
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +38,47 @@ def test_features_at_days_read_the_events_once(spark, tables):
     found = asof.product_features_at(asof.product_days(tables.rows), tables.products, [19740, 19741])
     assert "events.parquet" not in "".join(found.inputFiles())
     assert load()["f16_product_features_asof"](spark, SF).count() == 10 * tables.products.count()
+
+
+def test_overlaps_are_exact_beyond_a_sketch(spark):
+    n = 40_000  # a sketch of 2 ** 14 entries only estimates so many
+    at = lambda day: F.timestamp_seconds(F.lit(86_400 * day))
+    early, late = spark.range(n).select(F.col("id").alias("user_id"), at(3).alias("occurred_at")), spark.range(n // 2, 2 * n).select(F.col("id").alias("user_id"), at(11).alias("occurred_at"))
+    events = early.unionByName(early).unionByName(late).unionByName(late.limit(3).withColumn("user_id", F.lit(None).cast("long"))).withColumn("kind", F.lit("x"))
+    (row,) = profiles.exact_overlap(profiles.daily_users(events, ["kind"]), (0, 6), (7, 13), ["kind"]).collect()
+    assert (row.a_users, row.b_users, row.both, row.either) == (n, n * 3 // 2, n // 2, 2 * n)
+
+
+def test_the_factor_of_close_values_is_exact(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((600, 150)) < 0.05, 1.0, 0.0)  # values lie close together
+    rows = spark.createDataFrame([(i, Vectors.sparse(150, {int(j): float(v[j]) for j in np.flatnonzero(v)})) for i, v in enumerate(x)], ["product_id", "vector"])
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    reduced, kept = content.reduce_rank(rows, 5)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - jobs < 20
+    got = np.array([r.vector for r in reduced.orderBy("product_id").collect()])
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(got @ got.T, (u[:, :5] * s[:5] ** 2) @ u[:, :5].T, atol=1e-4)
+    assert kept == pytest.approx((s[:5] ** 2).sum() / (s**2).sum(), abs=1e-6)
+    nothing, kept = content.reduce_rank(spark.createDataFrame([(1, Vectors.sparse(4, {}))], ["product_id", "vector"]), 2)
+    assert [r.vector for r in nothing.collect()] == [[0.0, 0.0]] and kept == 0
+
+
+def test_blocks_of_any_size_find_the_same(spark):
+    rng = np.random.default_rng(4)
+    v = rng.integers(-1, 2, (90, 6)).astype(float)  # many ties
+    vectors = spark.createDataFrame([(i, v[i].tolist()) for i in range(90)], "product_id long, vector array<double>")
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    w = v / np.where(size > 0, size, 1)
+    for block in (7, 40, 8000):
+        found = {(r["item"], r["rank"]): (r.neighbour, r.score) for r in content.similar(vectors, 5, block=block).collect()}
+        assert len(found) == 450
+        for i in range(90):
+            want = sorted(((-round(float(w[i] @ w[j]), 9), j) for j in range(90) if j != i))[:5]
+            assert [round(found[i, r + 1][1], 9) for r in range(5)] == [-s for s, _ in want]
+
+
+def test_texts_are_dealt_over_tasks(spark, tables):
+    assert content.dealt_text(tables.products).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
