@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyrec.operators import asof, content, features, neighbours, profiles
+from tallyrec.operators import asof, content, features, profiles, ranking
 from tallyrec.plans.registry import Tables, load
 
 SF = "/root/testdata/sf0.001"
@@ -82,3 +82,18 @@ def test_blocks_of_any_size_find_the_same(spark):
 
 def test_texts_are_dealt_over_tasks(spark, tables):
     assert content.dealt_text(tables.products).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_effects_are_ranked_within_their_row(spark):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(u, p, int(rng.random() < 0.4), *map(float, rng.integers(-2, 3, 3))) for u in range(12) for p in range(5)], "user_id long, product_id long, label int, b double, a double, c double")
+    model = ranking.pointwise(rows, ("b", "a", "c"))
+    found = ranking.attributions(model, rows, ("b", "a", "c"), keep=2)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    scaled = {(r.user_id, r.product_id): r.v for r in model.transform(rows).select("user_id", "product_id", content.vector_to_array("features").alias("v")).collect()}
+    w = model.stages[-1].coefficients.toArray()
+    got = {(r.user_id, r.product_id, r["rank"]): (r.feature, r.effect) for r in found.collect()}
+    assert len(got) == 120
+    for (u, p), v in scaled.items():
+        want = sorted(((-abs(x * y), n, x * y) for x, y, n in zip(v, w, "bac", strict=True)))[:2]
+        assert [got[u, p, i + 1] for i in range(2)] == [(n, pytest.approx(e)) for _, n, e in want]
