@@ -1,7 +1,7 @@
 """Sessions and attribution as keyed state with event-time timers.
 
 A key's state is a few values, whatever has come before, so a batch costs what it brings: a
-session is one row that each event widens, a purchase waits until the watermark has passed it and then
+session is one row that each event widens (the sessions of a hash slot are read and written together), a purchase waits until the watermark has passed it and then
 takes the last click before it.  Event ids are remembered until their time is behind
 the watermark, so batches that come again change nothing.  State goes to RocksDB, whose snapshots lie with the query's checkpoint.
 """
@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyrec.streaming.streams import LATE
 
@@ -35,70 +36,72 @@ def _known(value) -> bool:
 
 
 SESSION_ROWS = "session_key string, user_id long, device_type string, started_at timestamp, ended_at timestamp, event_count long, converted boolean, closed boolean"
+#: Slots that sessions are dealt into by their key's hash; a slot's live sessions are one row of state.
+SLOTS = 4096
+# times in microseconds; a user's and a device's place is the time and id of the event that first had it; of ``ids`` a session has as many as events
+_SLOT_STATE = "keys array<string>, started array<long>, ended array<long>, events array<long>, converted array<boolean>, user array<long>, user_at array<long>, user_id array<long>, device array<string>, device_at array<long>, device_id array<long>, ids array<long>"
+_SLOT_OUT = "session_key string, user_id long, device_type string, started_us long, ended_us long, event_count long, converted boolean, closed boolean"
 
 
-class SessionRows(StatefulProcessor):
+def _slot_update(late_ms: int):
     """One row a session: first known user and device, first and last time, events, converted.
 
     A changed session's row is given out once a batch; with ``closed`` set once more when the watermark is
     ``late_ms`` past its last event, after which its state is gone.
     """
 
-    def __init__(self, late_ms: int = LATE_MS):
-        self.late_ms = late_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        # times in microseconds; a user's and a device's place is the time and id of the event that first had it
-        self.row = handle.getValueState("row", "started long, ended long, events long, converted boolean, user long, user_at long, user_id long, device string, device_at long, device_id long, timer long")
-        self.ids = handle.getMapState("ids", "event_id long", "at long")
-
-    def _frame(self, key, row: tuple, closed: bool) -> pd.DataFrame:
-        started, ended, events, converted, user, _, _, device, *_ = row
-        at = lambda us: pd.Timestamp(us, unit="us")
-        return pd.DataFrame({"session_key": [key[0]], "user_id": pd.array([user], "Int64"), "device_type": [device or "unknown"], "started_at": [at(started)], "ended_at": [at(ended)], "event_count": [events], "converted": [converted], "closed": [closed]})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        had = tuple(self.row.get()) if self.row.exists() else None
-        started, ended, events, converted, user, user_at, user_id, device, device_at, device_id, timer = had or (None, None, 0, False, None, None, None, None, None, None, None)
-        for frame in rows:
-            for at, event, owner, kind, what in zip(_micros(frame["occurred_at"]), frame["event_id"].tolist(), frame["user_id"].tolist(), frame["device_type"].tolist(), frame["event_type"].tolist(), strict=True):
-                event = int(event)
-                if self.ids.containsKey((event,)):
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held: dict[str, list] = {}
+        if state.exists:
+            *columns, ids = state.get
+            first = 0
+            for session, *row in zip(*columns, strict=True):
+                held[session] = [*row, dict.fromkeys(ids[first : first + row[2]])]
+                first += row[2]
+        changed: dict[str, None] = {}
+        for frame in frames:
+            for session, at, event, owned, owner, kind, what in zip(*(frame[c].tolist() for c in ("session_key", "at", "event_id", "owned", "user_id", "device_type", "event_type")), strict=True):
+                row = held.setdefault(session, [at, at, 0, False, None, None, None, None, None, None, {}])
+                if event in row[10]:
                     continue
-                self.ids.updateValue((event,), (at,))
-                started, ended = min(at, started if started is not None else at), max(at, ended if ended is not None else at)
-                events, converted = events + 1, converted or what == "PURCHASE"
-                if _known(owner) and (user_at is None or (at, event) < (user_at, user_id)):
-                    user, user_at, user_id = int(owner), at, event
-                if _known(kind) and kind != "unknown" and (device_at is None or (at, event) < (device_at, device_id)):
-                    device, device_at, device_id = kind, at, event
-        if had is not None and events == had[2]:
-            return
-        expiry = max(ended // 1000 + self.late_ms, timerValues.getCurrentWatermarkInMs() + 1)
-        if expiry != timer:
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(expiry)
-        row = (started, ended, events, converted, user, user_at, user_id, device, device_at, device_id, expiry)
-        self.row.update(row)
-        yield self._frame(key, row, False)
+                row[10][event] = None
+                changed[session] = None
+                row[0], row[1], row[2], row[3] = min(at, row[0]), max(at, row[1]), row[2] + 1, row[3] or what == "PURCHASE"
+                if owned and (row[5] is None or (at, event) < (row[5], row[6])):
+                    row[4:7] = owner, at, event
+                if _known(kind) and kind != "unknown" and (row[8] is None or (at, event) < (row[8], row[9])):
+                    row[7:10] = kind, at, event
+        passed = state.getCurrentWatermarkMs()
+        closed = {session: row for session, row in held.items() if session not in changed and row[1] // 1000 + late_ms <= passed}
+        out = [(session, held[session], False) for session in changed] + [(session, row, True) for session, row in closed.items()]
+        held = {session: row for session, row in held.items() if session not in closed}
+        if held:
+            columns = [list(c) for c in zip(*held.values(), strict=True)]
+            state.update((list(held), *columns[:10], [event for ids in columns[10] for event in ids]))
+            state.setTimeoutTimestamp(max(min(columns[1]) // 1000 + late_ms, passed + 1))
+        else:
+            state.remove()
+        if out:
+            value = lambda i: [row[i] for _, row, _ in out]
+            yield pd.DataFrame({"session_key": [o[0] for o in out], "user_id": pd.array(value(4), "Int64"), "device_type": [d or "unknown" for d in value(7)], "started_us": value(0), "ended_us": value(1), "event_count": value(2), "converted": value(3), "closed": [o[2] for o in out]})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.row.exists():
-            yield self._frame(key, tuple(self.row.get()), True)
-            self.row.clear()
-            self.ids.clear()
+    return update
 
-    def close(self) -> None:
-        pass
 
+def sessions(events: DataFrame, late: str = LATE, late_ms: int = LATE_MS, slots: int = SLOTS) -> DataFrame:
+    """Rows of changed sessions, to be read in update mode: the last one of a session stands.
 
-def sessions(events: DataFrame, late: str = LATE, late_ms: int = LATE_MS) -> DataFrame:
-    """Rows of changed sessions, to be read in update mode: the last one of a session stands."""
+    State is read and written by slot, not by session: calling Python and the state for each session takes
+    milliseconds, and there are about half as many sessions as events.
+    """
     use_rocksdb(events.sparkSession)
-    rows = events.filter("session_key is not null").withWatermark("occurred_at", late).select("session_key", "occurred_at", "event_id", "user_id", "device_type", "event_type")
-    return rows.groupBy("session_key").transformWithStateInPandas(SessionRows(late_ms), SESSION_ROWS, "Update", "EventTime")
+    rows = events.filter("session_key is not null").withWatermark("occurred_at", late).select(
+        F.pmod(F.xxhash64("session_key"), F.lit(slots)).alias("slot"), "session_key", "occurred_at", F.unix_micros("occurred_at").alias("at"), "event_id",
+        F.col("user_id").isNotNull().alias("owned"), F.coalesce("user_id", F.lit(0)).alias("user_id"), "device_type", "event_type",
+    )
+    kept = rows.groupBy("slot").applyInPandasWithState(_slot_update(late_ms), _SLOT_OUT, _SLOT_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    times = [F.timestamp_micros(f"{c}_us").alias(f"{c}_at") for c in ("started", "ended")]
+    return kept.select("session_key", "user_id", "device_type", *times, "event_count", "converted", "closed")
 
 
 ATTRIBUTED = "purchase_id long, user_id long, product_id long, click_id long, bought_at timestamp"

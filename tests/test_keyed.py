@@ -64,6 +64,16 @@ def test_sessions_leave_the_state(spark, tmp_path):
     assert closed == {"old": 5, "new": 3}
 
 
+def test_state_is_kept_by_slot(spark, tmp_path):
+    """Rows of state for each session, event id and timer cost milliseconds each (b18_streamed_sessions)."""
+    rows = events(400, 7)
+    query = keyed.sessions(batches(spark, tmp_path, [rows[:200], rows[200:], rows[:100]]), slots=3).writeStream.format("memory").queryName("keyed_slots").outputMode("update").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    assert query.awaitTermination(300)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 3
+    last = {r.session_key: tuple(r)[:-1] for r in spark.table("keyed_slots").orderBy("event_count").collect()}
+    assert last == {r.session_key: tuple(r) for r in counters.roll_up_sessions(spark.createDataFrame(rows, streams.EVENT_COLUMNS)).collect()}
+
+
 def test_last_clicks_equal_the_batch_attribution(spark, tmp_path):
     rows = [(i, t, kind, u or 1, s, p, *x) for i, t, kind, u, s, p, *x in events(300, 5)]
     shuffled = rows[:]
