@@ -1,5 +1,6 @@
 """What must not be sent whole to the driver, formed twice or cut, however small the test tables are."""
 
+import re
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +98,16 @@ def test_effects_are_ranked_within_their_row(spark):
     for (u, p), v in scaled.items():
         want = sorted(((-abs(x * y), n, x * y) for x, y, n in zip(v, w, "bac", strict=True)))[:2]
         assert [got[u, p, i + 1] for i in range(2)] == [(n, pytest.approx(e)) for _, n, e in want]
+
+
+def test_tasks_of_pairs_grow_in_number(spark, monkeypatch):
+    """Rows of an exchange over the session's fixed number of tasks grow with the input (g25_bought_together, g26_bought_for_users, j9_similar_or)."""
+    from tallyrec.operators import cooccurrence
+
+    items = spark.createDataFrame([(o, (o * k) % 17) for o in range(90) for k in (1, 2, 3)], "order_id long, product_id long")
+    plain = sorted(map(tuple, cooccurrence.bought_together(items).collect()))
+    monkeypatch.setattr(cooccurrence, "DEALT", 10)
+    dealt = cooccurrence.bought_together(items)
+    assert sorted(map(tuple, dealt.collect())) == plain
+    numbers = [int(n) for n in re.findall(r"hashpartitioning\(x#\d+L?, y#\d+L?, (\d+)\)", dealt._jdf.queryExecution().executedPlan().toString())]
+    assert numbers and min(numbers) > int(spark.conf.get("spark.sql.shuffle.partitions"))
