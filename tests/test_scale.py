@@ -111,3 +111,33 @@ def test_tasks_of_pairs_grow_in_number(spark, monkeypatch):
     assert sorted(map(tuple, dealt.collect())) == plain
     numbers = [int(n) for n in re.findall(r"hashpartitioning\(x#\d+L?, y#\d+L?, (\d+)\)", dealt._jdf.queryExecution().executedPlan().toString())]
     assert numbers and min(numbers) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_unit_sums_a_vector_once(spark):
+    import time
+
+    rows = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(30_000)), lambda x: x.cast("double")).alias("v"))
+    start = time.monotonic()
+    size = rows.select(content.unit(F.col("v")).alias("v")).select(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("n")).first()["n"]
+    assert abs(size - 1) < 1e-9
+    # 30,000 sums of 30,000 values would take minutes
+    assert time.monotonic() - start < 30
+    odd = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [3.0, 4.0]), (4, [])], "id long, v array<double>")
+    assert {r.id: r.u for r in odd.select("id", content.unit(F.col("v")).alias("u")).collect()} == {1: [0.0, 0.0], 2: None, 3: [0.6, 0.8], 4: []}
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_text_vectors_dont_pass_through_python(spark):
+    texts = spark.createDataFrame([(1, "red chair"), (2, "red chair and table"), (3, None), (4, "red red table")], "product_id long, text string").fillna("")
+    assert "Python" not in _plan(content.tfidf(texts)(texts))
+
+
+def test_taste_doesnt_open_vectors(spark):
+    anchors = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 12, 1)], "user_id long, product_id long, rank int")
+    vectors = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 1.0]), (12, None)], "product_id long, vector array<double>")
+    found = content.taste(anchors, vectors)
+    assert "Generate" not in _plan(found)
+    assert [(r.user_id, [round(x, 6) for x in r.vector]) for r in found.collect()] == [(1, [0.707107, 0.707107])]
