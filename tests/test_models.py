@@ -147,3 +147,16 @@ def test_ranking_rows_take_each_feature_once(spark):
         assert got[7][c] == 200 + i and got[8][c] == 0
     for i, c in enumerate(ranking.SOURCE_FEATURES):
         assert got[7][c] == 300 + i
+
+
+def test_a_pools_label_goes_with_its_features(spark):
+    gathered = spark.createDataFrame([(1, 7, "content", 0.5, 0), (1, 8, "popularity", 0.1, 1)], "user_id long, product_id long, source string, score double, rank int")
+    pool = spark.createDataFrame([(1, 7, 1, 3), (1, 8, 2, 0)], "user_id long, product_id long, rank int, label int")
+    sources = ranking.source_features(gathered, pool)
+    assert {r.product_id: (r.label, r.candidate_rank) for r in sources.collect()} == {7: (3, 1), 8: (0, 2)}
+    users = spark.createDataFrame([(1, *[1.0] * len(ranking.USER_FEATURES))], ["user_id", *ranking.USER_FEATURES])
+    products = spark.createDataFrame([(7, *[2.0] * len(ranking.PRODUCT_FEATURES))], ["product_id", *ranking.PRODUCT_FEATURES])
+    pairs = spark.createDataFrame([(1, 7, *[3.0] * len(ranking.PAIR_FEATURES))], ["user_id", "product_id", *ranking.PAIR_FEATURES])
+    rows = ranking.assemble(users, products, pairs, sources)
+    assert rows.columns == ["user_id", "product_id", *ranking.FEATURES, "label"]
+    assert {r.product_id: (r.label, r.user_total_events, r.product_price) for r in rows.collect()} == {7: (3, 1.0, 2.0), 8: (0, 1.0, 0.0)}
