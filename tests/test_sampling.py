@@ -48,3 +48,13 @@ def test_personalisation_of_all_users(spark):
         assert abs(got[m].personalisation - want) <= 4 * got[m].standard_error and got[m].standard_error < 0.02
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_positives_of_one_slot_are_dealt_into_groups(spark, monkeypatch):
+    from tallyrec.operators import collaborative
+
+    rows = spark.createDataFrame([(u, (u * 7 + i) % 40, 1.0) for u in range(30) for i in range(5)], "user_id long, product_id long, weight double")
+    found = lambda: {tuple(r) for r in collaborative.triples(rows).collect()}
+    whole = found()
+    monkeypatch.setattr(collaborative, "DRAWN", 10)
+    assert found() == whole and len(whole) == 450
