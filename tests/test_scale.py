@@ -141,3 +141,20 @@ def test_taste_doesnt_open_vectors(spark):
     found = content.taste(anchors, vectors)
     assert "Generate" not in _plan(found)
     assert [(r.user_id, [round(x, 6) for x in r.vector]) for r in found.collect()] == [(1, [0.707107, 0.707107])]
+
+
+def test_a_search_takes_the_asked_items_against_all(spark):
+    rng = np.random.default_rng(8)
+    vectors = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(120)], "product_id long, vector array<double>")
+    asked = vectors.filter("product_id % 50 = 0").select("product_id")
+    whole = {(r["item"], r["rank"]): (r.neighbour, r.score) for r in content.similar(vectors, 5).collect() if r["item"] % 50 == 0}
+    for block in (8000, 30):
+        found = {(r["item"], r["rank"]): (r.neighbour, r.score) for r in content.similar_to(asked, vectors, 5, block=block).collect()}
+        assert {k: v[0] for k, v in found.items()} == {k: v[0] for k, v in whole.items()} and len(found) == 15
+        assert all(abs(found[k][1] - whole[k][1]) < 1e-12 for k in found)
+
+
+def test_the_search_for_similar_products_asks_every_fiftieth(spark):
+    found = load()["g13_similar_products"](spark, SF)
+    n = spark.read.parquet(f"{SF}/part.parquet").filter("p_partkey % 50 = 0").count()
+    assert {r["item"] % 50 for r in found.select("item").distinct().collect()} == {0} and found.count() == 10 * n
