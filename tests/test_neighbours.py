@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyrec.operators import content, neighbours
-from tallyrec.plans import registry
+from tallyrec.operators import candidates, content, neighbours
+from tallyrec.plans import queries_lists, registry
 
 SF = "/root/testdata/sf0.01"
 VECTORS = "product_id long, vector array<double>"
@@ -92,3 +92,12 @@ def test_no_list_is_whole_in_a_task(spark):
     index = neighbours.build(rows, k=5, lists=3)
     plan = neighbours.search(index, rows, 5, own=True, block=50)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_the_indexed_search_asks_every_fiftieth_user(spark):
+    t = registry.Tables(spark, "/root/testdata/sf0.001")
+    found = registry.load()["g15_indexed_for_users"](spark, t.dir)
+    v = queries_lists.content_vectors(t)
+    exact = content.recommend(content.taste(candidates.contexts(t.rows).filter("user_id % 50 = 0"), v), v, t.rows.select("user_id", "product_id"), 10)
+    assert {r.user_id % 50 for r in found.collect()} == {0}
+    assert recall(found, exact, "user_id", "product_id") >= 0.9
