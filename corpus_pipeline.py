@@ -29,9 +29,7 @@ def _without(docs: DataFrame, gone: DataFrame, how: str = "left_anti") -> DataFr
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the discriminant takes for good."""
-    scores = quality_model.score_rows(docs, table(spark, sf_dir, "labels"))
-    bad = scores.filter("predicted = 0 and doc_id is not null").select("doc_id", F.col("tie").alias("_tie")).distinct()
-    return _without(_with_tie(docs), stage(bad, "rejected")).select(*docs.columns)
+    return quality_model.good_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tallyrec.llm.common import released, stage, text_or_empty
 from tallyrec.llm.quality_rules import SYMBOLS, char_classes
@@ -34,7 +35,8 @@ SHRINK_POOLED, SHRINK_DIAGONAL, RIDGE = 0.1, 0.1, 1e-3
 #: Log-density differences are divided by this before the logistic, as the statistics aren't normal.
 TEMPERATURE = 20.0
 FOLDS = 5
-FEATURES = "doc_id long, tie long, " + ", ".join(f"f{i} double" for i in range(len(STATISTICS)))
+COLUMNS = [f"f{i}" for i in range(len(STATISTICS))]
+FEATURES = "doc_id long, tie long, " + ", ".join(f"{c} double" for c in COLUMNS)
 
 
 def statistics(text: str) -> list[float]:
@@ -124,28 +126,60 @@ def log_odds(model: dict, x: np.ndarray) -> np.ndarray:
     return good - bad
 
 
+def scores(model: dict, x: np.ndarray) -> np.ndarray:
+    if "constant" in model:
+        return np.full(len(x), model["constant"])
+    return 1 / (1 + np.exp(-np.clip(log_odds(model, x) / TEMPERATURE, -500, 500)))
+
+
 def _score_tasks(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if "constant" in model:
-                score = np.full(len(batch), model["constant"])
-            else:
-                x = np.column_stack([batch[f"f{i}"].to_numpy() for i in range(len(STATISTICS))])
-                score = 1 / (1 + np.exp(-np.clip(log_odds(model, x) / TEMPERATURE, -500, 500)))
+            score = scores(model, np.column_stack([batch[c].to_numpy() for c in COLUMNS]))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tie"], pa.array(score)], ["doc_id", "tie", "score"])
 
     return run
 
 
+def trained(features: DataFrame, labels: DataFrame, folds: int, held_out_fold: int) -> dict:
+    """The classes' parameters from the labelled rows of ``features (doc_id, f0, f1, ...)`` outside the held-out fold."""
+    known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("label"))
+    return fit(stage(features.join(known.filter(fold_of(F.col("doc_id"), folds) != held_out_fold), "doc_id").select("label", *COLUMNS), "quality-training"))
+
+
 def score_rows(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held_out_fold: int = 0, threshold: float = 0.3) -> DataFrame:
     """``doc_id, tie, held_out, score, predicted`` of every document; ``tie`` tells rows of one id with different texts apart."""
     features = stage(document_statistics(docs), "quality-statistics")
-    known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("label"))
-    train = stage(features.join(known.filter(fold_of(F.col("doc_id"), folds) != held_out_fold), "doc_id").drop("doc_id", "tie"), "quality-training")
-    scored = features.mapInArrow(released(_score_tasks(fit(train))), "doc_id long, tie long, score double")
+    scored = features.mapInArrow(released(_score_tasks(trained(features, labels, folds, held_out_fold))), "doc_id long, tie long, score double")
     return scored.select("doc_id", "tie", (fold_of(F.col("doc_id"), folds) == held_out_fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def _row_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch["row"].field("text")
+        x = np.array([statistics(t.as_py() or "") for t in texts], float).reshape(len(batch), len(STATISTICS))
+        yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(x.shape[1]))], ["row", "doc_id", *COLUMNS])
+
+
+def good_rows(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held_out_fold: int = 0, threshold: float = 0.3) -> DataFrame:
+    """``docs`` without those predicted 0; rows without an id stay.
+
+    A row is written with its statistics and keeps them beside it, so no text is exchanged to meet its score.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long"))
+    rows = rows.mapInArrow(released(_row_tasks), StructType([*rows.schema.fields, *(StructField(c, DoubleType()) for c in COLUMNS)]))
+    rows = stage(rows, "quality-rows")
+    model = trained(rows.select("doc_id", *COLUMNS), labels, folds, held_out_fold)
+
+    @F.pandas_udf("double")
+    def score(*columns):
+        import pandas as pd
+
+        return pd.Series(scores(model, np.column_stack(columns)))
+
+    return rows.filter(F.col("doc_id").isNull() | (score(*COLUMNS) >= threshold)).select("row.*")
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document."""
     return score_rows(docs, labels, **options).drop("tie")

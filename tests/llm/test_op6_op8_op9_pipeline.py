@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyrec.llm import decontaminate, packing, passages, quality_model, queries, simhash
@@ -312,3 +313,18 @@ def test_pipeline_of_odd_rows_equals_plain_stages(spark, tmp_path):
     assert {r.doc_id for r in out} <= {d for d, _ in kept} and len(out) > 10
     for _, step in corpus_pipeline.STAGES:
         assert step(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_quality_keeps_what_scores_say_without_exchanging_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = docs.limit(3).select("doc_id", F.lit(None).cast("string").alias("text"), "lang", "source", "n_chars").unionByName(docs.limit(5).withColumn("doc_id", F.lit(None).cast("long")))
+    docs = docs.unionByName(odd).withColumn("f0", F.lit("more"))
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    scored = quality_model.score_rows(docs, labels).collect()
+    good = {(r.doc_id, r.tie) for r in scored if r.predicted == 1}
+    got = corpus_pipeline.quality(spark, docs, "/root/testdata/sf0.001")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.dtypes == docs.dtypes
+    want = [r for r in docs.withColumn("tie", F.xxhash64(F.coalesce("text", F.lit("")))).collect() if r.doc_id is None or (r.doc_id, r.tie) in good]
+    assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(repr(tuple(r)[:-1]) for r in want)
+    assert 0 < len(want) < docs.count()
